@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from paneflow.operators.snapshot_changes import lag_in_series
-from paneflow.session import cut, small
+from paneflow.session import cut, once, small
 
 
 def complete_object(payload: Column) -> Column:
@@ -177,15 +177,19 @@ def rescue_ingest(records: DataFrame, target: list[Field], renames: DataFrame |
     new_path; as ``drift`` reports them, after approval) promotes fields: a rescued value of a renamed field is replayed
     into the typed column of its first name, in every file of the feed. Broken lines give no row.
     """
-    base = records.select(*keep, F.col(spec.feed).alias("feed"), F.col(spec.file_no).cast("bigint").alias("file_no"), complete_object(F.col(spec.payload)).alias("v")).where("v is not null")
+    base = records.select(*keep, F.col(spec.feed).alias("feed"), F.col(spec.file_no).cast("bigint").alias("file_no"), F.col(spec.payload).alias("__raw"))
+    base = once(base, "v", complete_object(F.col("__raw"))).where("v is not null")
     parents = sorted({f.path.rsplit("/properties/", 1)[0] for f in target} | {"#"})
-    entries = []
-    for p in parents:
-        at = "$" + "".join(f".{x}" for x in p.split("/properties/")[1:])
-        m = F.try_variant_get("v", at, "map<string,variant>")
-        entries.append(F.transform(F.coalesce(F.map_entries(m), F.array().cast("array<struct<key:string,value:variant>>")), lambda e, p=p: F.struct(F.concat(F.lit(p + "/properties/"), e["key"]).alias("path"), e["value"].alias("value"))))
+    none = F.array().cast("array<struct<key:string,value:variant>>")
+
+    def fields_of(parent: str) -> Column:
+        m = F.try_variant_get("v", "$" + "".join(f".{x}" for x in parent.split("/properties/")[1:]), "map<string,variant>")
+        return F.transform(F.coalesce(F.map_entries(m), none), lambda e: F.struct(F.concat(F.lit(parent + "/properties/"), e["key"]).alias("path"), e["value"].alias("value")))
+
+    entries = [fields_of(p) for p in parents]
     inner = [p for p in parents if p != "#"]
-    base = base.withColumn("__e", F.filter(F.concat(*entries), lambda e: ~e["path"].isin(inner) if inner else F.lit(True)))
+    apart = [*inner, "#" + "".join(f"/properties/{x}" for x in version_path.split(".")[1:])]
+    base = once(base, "__f", F.filter(F.concat(*entries), lambda e: ~e["path"].isin(apart)))
     if renames is not None:
         alias = renames.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("file_no", "path", "new_path"))).alias("r")).select(
             "feed",
@@ -193,15 +197,17 @@ def rescue_ingest(records: DataFrame, target: list[Field], renames: DataFrame |
         )
         base = base.join(small(alias), "feed", "left")
         first = lambda e: F.coalesce(F.get(F.transform(F.filter(F.col("__m"), lambda y: y["a"] == e["path"]), lambda y: y["c"]), F.lit(0)), e["path"])
-        base = base.withColumn("__e", F.transform("__e", lambda e: F.struct(first(e).alias("to"), e["path"].alias("path"), e["value"].alias("value"))))
+        base = once(base, "__e", F.transform("__f", lambda e: F.struct(first(e).alias("to"), e["path"].alias("path"), e["value"].alias("value"))))
     else:
-        base = base.withColumn("__e", F.transform("__e", lambda e: F.struct(e["path"].alias("to"), e["path"].alias("path"), e["value"].alias("value"))))
+        base = once(base, "__e", F.transform("__f", lambda e: F.struct(e["path"].alias("to"), e["path"].alias("path"), e["value"].alias("value"))))
     # the value under the target's own name goes before one under a later name
-    pick = {f.name: F.coalesce(F.get(F.filter("__e", lambda e, f=f: e["path"] == f.path), F.lit(0)), F.get(F.filter("__e", lambda e, f=f: e["to"] == f.path), F.lit(0))) for f in target}
-    base = base.withColumns({f"__{n}": c for n, c in pick.items()})
-    typed = {f.name: F.try_variant_get(F.col(f"__{f.name}")["value"], "$", f.type) for f in target}
-    base = base.withColumns(typed)
-    used = F.array_compact(F.array(*[F.when(F.col(f.name).isNotNull() | F.schema_of_variant(F.col(f"__{f.name}")["value"]).eqNullSafe("VOID"), F.col(f"__{f.name}")["path"]) for f in target]))
-    left = F.filter("__e", lambda e: ~F.array_contains(used, e["path"]))
-    body = F.array_join(F.transform(left, lambda e: F.concat(F.to_json(F.struct(e["path"].alias("p"))).substr(F.lit(6), F.length(F.to_json(F.struct(e["path"].alias("p")))) - 6), F.lit(":"), F.coalesce(F.to_json(e["value"]), F.lit("null")))), ",")
-    return base.select(*keep, "feed", "file_no", F.try_variant_get("v", version_path, "string").alias("source_schema_version"), *[f.name for f in target], F.when(F.size(left) > 0, F.concat(F.lit("{"), body, F.lit("}"))).alias("_rescued"))
+    where = lambda side, path: F.get(F.filter("__e", lambda e: e[side] == path), F.lit(0))
+    base = once(base, "__p", F.struct(*[F.coalesce(where("path", f.path), where("to", f.path)).alias(f.name) for f in target]))
+    base = once(base, "__t", F.struct(*[F.try_variant_get(F.col(f"__p.{f.name}.value"), "$", f.type).alias(f.name) for f in target]))
+    placed = lambda f: F.col(f"__t.{f.name}").isNotNull() | F.is_variant_null(F.col(f"__p.{f.name}.value"))
+    base = once(base, "__used", F.array_compact(F.array(*[F.when(placed(f), F.col(f"__p.{f.name}.path")) for f in target])))
+    base = once(base, "__left", F.filter("__e", lambda e: ~F.array_contains(F.col("__used"), e["path"])))
+    quoted = lambda text: F.regexp_extract(F.to_json(F.struct(text.alias("p"))), r"(?s)^\{\"p\":(.*)\}$", 1)
+    body = F.array_join(F.transform("__left", lambda e: F.concat(quoted(e["path"]), F.lit(":"), F.coalesce(F.to_json(e["value"]), F.lit("null")))), ",")
+    rescued = F.when(F.size("__left") > 0, F.concat(F.lit("{"), body, F.lit("}"))).alias("_rescued")
+    return base.select(*keep, "feed", "file_no", F.try_variant_get("v", version_path, "string").alias("source_schema_version"), *[F.col(f"__t.{f.name}").alias(f.name) for f in target], rescued)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if the optimizer's own upper estimate of its size is below this.
@@ -58,6 +58,14 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once for each row.
+
+    The optimizer may inline a costly expression wherever it is used; a one-element explode keeps it from doing so.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def default_parallelism(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
