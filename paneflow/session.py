@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,26 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    at = os.path.join(tempfile.mkdtemp(prefix="paneflow-ship-"), "paneflow.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("paneflow", os.path.relpath(full, root)))
+    sc.addPyFile(at)
+    _SHIPPED.add(sc.applicationId)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's upper estimate of the size of ``df``."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
@@ -72,6 +93,7 @@ def default_parallelism(spark: SparkSession) -> int:
 
 def spread(df: DataFrame, min_partitions: int | None = None, *keys: str) -> DataFrame:
     """Spread rows over all cores before CPU-heavy work, whatever files they came in; hot keys do not matter as rows go round robin."""
+    ship_package(df.sparkSession)
     n = min_partitions or max(default_parallelism(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(n, *keys) if keys else df.repartition(n)
 
