@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from paneflow.llm.encoding import encode_corpus
 from paneflow.llm.languages import detect, wrong_labels
 from paneflow.llm.leakage import leaks
+from paneflow.llm.linkage import link
+from paneflow.llm.pii import find_personal_data
 from paneflow.llm.text_forms import match_key, normalized, shown_labels
 from paneflow.sources.tables import latest, table
 
@@ -45,3 +47,27 @@ def p9_segments(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p7_ids": p7_ids, "p8_found": p8_found, "p8_passages": p8_passages, "p9_found": p9_found, "p9_segments": p9_segments}
 SQL: dict[str, str] = {}
+
+
+def _link(spark: SparkSession, root: str) -> DataFrame:
+    return link(*[table(spark, root, n) for n in ("derived_items", "dom_nodes", "ax_nodes", "text_runs", "captures")])
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return _link(spark, root).select("capture_id", "dom_source_id", "item_source_id")
+
+
+def p2_matches(spark: SparkSession, root: str) -> DataFrame:
+    return _link(spark, root).withColumn("evidence", F.to_json("evidence")).withColumn("viewport_rect", F.to_json("viewport_rect"))
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    found = find_personal_data(table(spark, root, "view_nodes"))
+    return found.select("view_node_id", "field", F.explode("found").alias("f")).select("view_node_id", "field", "f.kind").distinct()
+
+
+def p3_redacted(spark: SparkSession, root: str) -> DataFrame:
+    return find_personal_data(table(spark, root, "view_nodes")).select("view_node_id", "field", "redacted", F.size("found").alias("n_found"))
+
+
+QUERIES |= {"p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p3_redacted": p3_redacted}
