@@ -36,6 +36,10 @@ TAG_GROUPS = {"button": "button", "a": "link", "td": "cell", "th": "cell", "h1":
 WIDGET_TAGS = ("button", "a", "td", "th", "h1", "h2", "h3", "h4", "input", "textarea", "select", "img", "label", "summary", "option", "li")
 
 
+# Texts that a busy widget shows in place of its own.
+BUSY = "^(?:loading|please wait|working|wait|busy|saving|[^\\p{L}\\p{N}]*)[.…]*$"
+
+
 @dataclass(frozen=True)
 class LinkSpec:
     cell_width: float = 128.0
@@ -141,7 +145,7 @@ def vote(pairs: DataFrame) -> DataFrame:
     # text that was read may break off: its like is then the beginning of the name
     begun = lambda a, n: F.when((F.length(a) >= 4) & (F.length(n) > F.length(a)), near(a, F.substring(n, 1, F.length(a))) - 0.1).otherwise(0.0)
     similar = F.array_max(F.transform("names", lambda n: F.greatest(*[f(F.col(c), n) for c in ("said", "shown") for f in (near, begun)])))
-    out = pairs.withColumn("similar", F.when(F.col("said") != "", similar)).withColumn("overlap_share", F.when(read, held).otherwise(overlap))
+    out = pairs.withColumn("similar", F.when(~F.col("said").rlike(BUSY), similar)).withColumn("overlap_share", F.when(read, held).otherwise(overlap))
     group = _lookup(CLASS_GROUPS, F.col("item_class"))
     return out.withColumns(
         {
