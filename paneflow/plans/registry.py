@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from paneflow.plans import general
+from paneflow.plans import general, reference, reference_sql
 
 
 def queries() -> dict:
-    return {**general.QUERIES}
+    return {**reference.QUERIES, **general.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {**general.SQL}
+    return {**reference_sql.SQL, **general.SQL}
