@@ -55,12 +55,13 @@ def styles_of(dom: DataFrame) -> DataFrame:
     return facts.select("capture_id", "source_id", "property", F.when(color, canonical_color(F.col("fact.s"))).alias("color"), F.when(~color, css_length_px(F.col("fact.s"), F.col("fact.n"))).alias("value_css_px"))
 
 
-def claims(dom_norm: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame, include_hidden: bool = False) -> DataFrame:
+def claims(dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame, include_hidden: bool = False) -> DataFrame:
     """Long form: capture_id, entity, kind, frame_id, fact, source_type, source_id, value, confidence, stage, ord.
 
     An entity is a visible DOM row; accessibility rows and text runs join it by their explicit link, else stand alone.
     """
-    doms = dom_norm if include_hidden else dom_norm.where("visible and visibility <> 'hidden'")
+    # hidden is what is not visible or has no bounds; no geometry is needed to say so
+    doms = rows_of(dom if include_hidden else dom.where("visible and bounds is not null"))
     d = doms.select("capture_id", F.concat(F.lit("dom:"), "source_id").alias("entity"), F.lit("dom").alias("kind"), "frame_id", F.lit("role").alias("fact"), F.lit("dom").alias("source_type"), "source_id", F.col("role").alias("value"), F.lit(0.9).alias("confidence"), F.lit(0).alias("stage"), "ord")
     known = doms.select("capture_id", F.col("source_id").alias("dom_id"))
     a = rows_of(ax).where("not ignored").withColumnRenamed("backend_dom_source_id", "dom_id").join(known.withColumn("hit", F.lit(True)), ["capture_id", "dom_id"], "left")
@@ -92,7 +93,7 @@ def resolve_facts(claimed: DataFrame) -> DataFrame:
 def fused_nodes(dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame, include_hidden: bool = False) -> DataFrame:
     """One row per entity: candidate_id in total order, facts, geometry of its DOM row, confidence and flags."""
     norm = normalize_dom(dom, captures)
-    claimed = claims(norm, ax, runs, captures, include_hidden)
+    claimed = claims(dom, ax, runs, captures, include_hidden)
     facts = resolve_facts(claimed)
     wide = facts.groupBy("capture_id", "entity").agg(*[F.max(F.when(F.col("fact") == f, F.struct("value", "confidence", "conflict"))).alias(f) for f in ("role", "name", "text")])
     entities = claimed.groupBy("capture_id", "entity").agg(F.min(F.struct("stage", "ord", "source_id", "kind", "frame_id")).alias("e"), F.array_sort(F.collect_set(F.struct("stage", "ord", "source_type", "source_id", F.col("confidence")))).alias("evidence"))

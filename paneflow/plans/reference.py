@@ -86,8 +86,7 @@ def text_back_references(spark, root):
 
 
 def _claims(spark, root):
-    dom, ax, runs, caps = _t(spark, root, "dom_nodes", "ax_nodes", "text_runs", "captures")
-    return O.claims(O.normalize_dom(dom, caps), ax, runs, caps)
+    return O.claims(*_t(spark, root, "dom_nodes", "ax_nodes", "text_runs", "captures"))
 
 
 def fuse_claims(spark, root):

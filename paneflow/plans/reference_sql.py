@@ -1 +1,190 @@
-SQL: dict[str, str] = {}
+"""SQL with the same rows as the queries in ``reference``, in the dialect of DuckDB. Joins are plain, without any grid."""
+
+from __future__ import annotations
+
+from paneflow import schemas as S
+from paneflow.functions.lengths import PX_PER_UNIT
+from paneflow.operators.design import CATEGORY
+
+
+def _map(d: dict) -> str:
+    return "MAP {" + ", ".join(f"'{k}': " + (f"'{v}'" if isinstance(v, str) else repr(v)) for k, v in d.items()) + "}"
+
+
+def _one(name: str, keys: str = "capture_id, source_id") -> str:
+    cond = " AND ".join(f"{k.strip()} IS NOT NULL" for k in keys.split(","))
+    return f"(SELECT * FROM {name} WHERE {cond} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY received_at DESC) = 1)"
+
+
+def r6(x: str) -> str:
+    return f"floor(({x}) * 1e6 + 0.5) / 1e6"
+
+
+def _in(values: list[str]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+DOM, AX, RUNS, CAPS, ITEMS = _one("dom_nodes"), _one("ax_nodes"), _one("text_runs"), _one("captures", "capture_id"), _one("derived_items")
+BOX = f"""b AS (SELECT capture_id, source_id AS node_id, frame_id, bounds.x AS x, bounds.y AS y, bounds.width AS w, bounds.height AS h, role, tag AS kind,
+  CASE WHEN visible THEN 'visible' ELSE 'hidden' END AS visibility FROM {DOM})"""
+PARENT = """par AS (SELECT b.capture_id, b.node_id, arg_min(o.node_id, {'a': o.w * o.h, 'i': o.node_id}) AS parent_id FROM b LEFT JOIN b o ON o.capture_id = b.capture_id AND o.frame_id = b.frame_id
+  AND o.node_id <> b.node_id AND o.x <= b.x AND o.y <= b.y AND o.x + o.w >= b.x + b.w AND o.y + o.h >= b.y + b.h AND o.w * o.h > b.w * b.h GROUP BY ALL)"""
+ANC = """anc AS (SELECT capture_id, node_id, parent_id AS ancestor_id, 1 AS distance FROM par WHERE parent_id IS NOT NULL
+  UNION ALL SELECT a.capture_id, a.node_id, p.parent_id, a.distance + 1 FROM anc a JOIN par p ON p.capture_id = a.capture_id AND p.node_id = a.ancestor_id WHERE p.parent_id IS NOT NULL)"""
+SIG = "concat_ws('|', coalesce(role, '_'), coalesce(kind, '_'), CASE WHEN w IS NULL OR h IS NULL THEN '_' ELSE CAST(CAST(floor(w / 10 + 0.5) * 10 AS BIGINT) AS VARCHAR) || 'x' || CAST(CAST(floor(h / 10 + 0.5) * 10 AS BIGINT) AS VARCHAR) END)"
+SIGS = f"sg AS (SELECT b.*, par.parent_id, {SIG} AS signature FROM b JOIN par USING (capture_id, node_id))"
+PAIRS = """sp AS (SELECT capture_id, greatest(100.0, max(x + w), max(y + h)) AS span FROM b WHERE x IS NOT NULL GROUP BY capture_id),
+g AS (SELECT b.*, greatest(50.0, span / 20) AS c FROM b JOIN sp USING (capture_id) WHERE x IS NOT NULL),
+pr AS (SELECT a.capture_id, a.node_id AS a, o.node_id AS o, a.x AS ax, a.y AS ay, a.w AS aw, a.h AS ah, o.x AS bx, o.y AS by_, o.w AS bw, o.h AS bh FROM g a JOIN g o ON a.capture_id = o.capture_id AND a.node_id < o.node_id
+  AND floor(a.x / a.c) <= floor((o.x + o.w) / a.c) AND floor(o.x / a.c) <= floor((a.x + a.w) / a.c) AND floor(a.y / a.c) <= floor((o.y + o.h) / a.c) AND floor(o.y / a.c) <= floor((a.y + a.h) / a.c))"""
+OVER = """ov AS (SELECT * FROM (SELECT capture_id, a AS from_id, o AS to_id, i / (aw * ah + bw * bh - i) AS iou FROM
+  (SELECT *, greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, by_ + bh) - greatest(ay, by_)) AS i FROM pr) WHERE i > 0) WHERE iou >= 0.1)"""
+ALIGN = """big AS (SELECT capture_id, parent_id, signature FROM sg GROUP BY ALL HAVING count(*) >= 3),
+mem AS (SELECT sg.capture_id, node_id, coalesce(sg.parent_id, 'root') || ':' || sg.signature AS region FROM sg JOIN big ON sg.capture_id = big.capture_id AND sg.parent_id IS NOT DISTINCT FROM big.parent_id AND sg.signature = big.signature),
+al AS (SELECT pr.capture_id, a AS from_id, o AS to_id, unnest(list_filter([CASE WHEN abs(ax - bx) <= 4 THEN 'aligned_start' END, CASE WHEN abs(ax + aw * 0.5 - (bx + bw * 0.5)) <= 4 THEN 'aligned_center' END,
+  CASE WHEN abs(ax + aw - (bx + bw)) <= 4 THEN 'aligned_end' END], lambda k: k IS NOT NULL)) AS kind FROM pr JOIN mem m ON m.capture_id = pr.capture_id AND m.node_id = pr.a JOIN mem n ON n.capture_id = pr.capture_id AND n.node_id = pr.o AND n.region = m.region)"""
+NEAR = """dd AS (SELECT capture_id, a AS n, o AS m, pow(ax + aw / 2 - bx - bw / 2, 2) + pow(ay + ah / 2 - by_ - bh / 2, 2) AS d FROM pr UNION ALL SELECT capture_id, o, a, pow(ax + aw / 2 - bx - bw / 2, 2) + pow(ay + ah / 2 - by_ - bh / 2, 2) FROM pr),
+nr AS (SELECT DISTINCT capture_id, least(n, m) AS from_id, greatest(n, m) AS to_id FROM (SELECT * FROM dd QUALIFY row_number() OVER (PARTITION BY capture_id, n ORDER BY d, m) <= 4))"""
+NEXT = """rn AS (SELECT * FROM (SELECT b.capture_id, b.node_id AS from_id, lead(b.node_id) OVER (PARTITION BY b.capture_id, coalesce(parent_id, '') ORDER BY y, x, b.node_id) AS to_id FROM b JOIN par USING (capture_id, node_id) WHERE x IS NOT NULL AND y IS NOT NULL) WHERE to_id IS NOT NULL)"""
+EDGES = """ed AS (SELECT capture_id, 'contains' AS kind, parent_id AS from_id, node_id AS to_id FROM par WHERE parent_id IS NOT NULL UNION ALL SELECT capture_id, 'reading_next', from_id, to_id FROM rn
+  UNION ALL SELECT capture_id, 'overlaps', from_id, to_id FROM ov UNION ALL SELECT capture_id, kind, from_id, to_id FROM al UNION ALL SELECT capture_id, 'near', from_id, to_id FROM nr)"""
+GRAPH = ", ".join([BOX, PARENT, SIGS, PAIRS, OVER, ALIGN, NEAR, NEXT, EDGES])
+DEG = "dg AS (SELECT capture_id, node_id, count(*) AS degree FROM (SELECT capture_id, from_id AS node_id FROM ed UNION ALL SELECT capture_id, to_id FROM ed) GROUP BY ALL)"
+
+_C = "coalesce(f.transform_to_parent, [1.0, 0.0, 0.0, 1.0, 0.0, 0.0])"
+NORM = f"""fr AS (SELECT capture_id, unnest(frames) AS f FROM {CAPS}),
+nd AS (SELECT d.*, c.viewport AS v, {_C} AS t FROM {DOM} d JOIN {CAPS} c USING (capture_id) LEFT JOIN fr ON fr.capture_id = d.capture_id AND fr.f.frame_id = d.frame_id),
+k AS (SELECT *, t[1] * bounds.x + t[3] * bounds.y + t[5] AS x1, t[2] * bounds.x + t[4] * bounds.y + t[6] AS y1,
+  t[1] * (bounds.x + bounds.width) + t[3] * (bounds.y + bounds.height) + t[5] AS x2, t[2] * (bounds.x + bounds.width) + t[4] * (bounds.y + bounds.height) + t[6] AS y2,
+  t[1] * (bounds.x + bounds.width) + t[3] * bounds.y + t[5] AS x3, t[2] * (bounds.x + bounds.width) + t[4] * bounds.y + t[6] AS y3,
+  t[1] * bounds.x + t[3] * (bounds.y + bounds.height) + t[5] AS x4, t[2] * bounds.x + t[4] * (bounds.y + bounds.height) + t[6] AS y4 FROM nd),
+n0 AS (SELECT *, least(x1, x2, x3, x4) AS dx, least(y1, y2, y3, y4) AS dy, greatest(x1, x2, x3, x4) - least(x1, x2, x3, x4) AS dw, greatest(y1, y2, y3, y4) - least(y1, y2, y3, y4) AS dh FROM k),
+n1 AS (SELECT *, dx - v.scroll_x_css_px AS vx, dy - v.scroll_y_css_px AS vy, v.width_css_px AS vw, v.height_css_px AS vh FROM n0),
+nm AS (SELECT *, vx / vw BETWEEN 0 AND 1 AND vy / vh BETWEEN 0 AND 1 AND dw / vw BETWEEN 0 AND 1 AND dh / vh BETWEEN 0 AND 1 AS inside,
+  CASE WHEN NOT visible OR dx IS NULL THEN 'hidden' WHEN vx + dw <= 1e-6 OR vy + dh <= 1e-6 OR vx >= vw - 1e-6 OR vy >= vh - 1e-6 THEN 'offscreen'
+       WHEN vx >= -1e-6 AND vy >= -1e-6 AND vx + dw <= vw + 1e-6 AND vy + dh <= vh + 1e-6 THEN 'visible' ELSE 'clipped' END AS visibility FROM n1)"""
+
+
+def color(x: str) -> str:
+    v = f"lower(trim({x}))"
+    parts = f"list_transform(list_filter(regexp_split_to_array(regexp_extract({v}, '^rgba?\\(\\s*([^)]*)\\)$', 1), '[,/\\s]+'), lambda p: p <> ''), lambda p: TRY_CAST(p AS DOUBLE))"
+    byte = lambda e: f"printf('%02x', CAST(greatest(0, least(255, floor({e} + 0.5))) AS INTEGER))"
+    p = lambda i: f"({parts})[{i}]"
+    rgb = f"'#' || {byte(p(1))} || {byte(p(2))} || {byte(p(3))}"
+    return f"""CASE WHEN {v} IN {_in(list(S.NAMED_COLORS))} THEN {_map(S.NAMED_COLORS)}[{v}]
+      WHEN regexp_matches({v}, '^#[0-9a-f]{{3,4}}$') THEN '#' || regexp_replace(substr({v}, 2), '([0-9a-f])', '\\1\\1', 'g')
+      WHEN regexp_matches({v}, '^#[0-9a-f]{{6}}(ff)?$') THEN substr({v}, 1, 7) WHEN regexp_matches({v}, '^#[0-9a-f]{{8}}$') THEN {v}
+      WHEN len({parts}) = 4 AND {p(4)} >= 0 AND {p(4)} < 1 THEN {rgb} || {byte(p(4) + ' * 255')} WHEN len({parts}) IN (3, 4) THEN {rgb} END"""
+
+
+_LEN = r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+))([a-z%]*)$"
+PX = f"coalesce(e.value.n, TRY_CAST(nullif(regexp_extract(lower(trim(e.value.s)), '{_LEN}', 1), '') AS DOUBLE) * {_map({**PX_PER_UNIT, '': 1.0})}[regexp_extract(lower(trim(e.value.s)), '{_LEN}', 2)])"
+STYLE = f"st AS (SELECT capture_id, source_id, e.key AS property, CASE WHEN regexp_matches(e.key, '(?i)colou?r') THEN {color('e.value.s')} END AS color, CASE WHEN NOT regexp_matches(e.key, '(?i)colou?r') THEN {PX} END AS px FROM (SELECT capture_id, source_id, unnest(map_entries(style_facts)) AS e FROM {DOM}))"
+_lit = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else repr(x)
+TOKENS = "tk AS (SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(_lit(x) for x in t) + ")" for t in S.DESIGN_TOKENS) + ") t(token_ref, category, value_str, value_num))"
+MATCH = f"""ob AS (SELECT *, {_map(CATEGORY)}[property] AS category FROM st WHERE property IN {_in(list(CATEGORY))}),
+tm AS (SELECT ob.capture_id, ob.source_id, property, 'color' AS category, coalesce(min(token_ref), 'category:color') AS token_ref, CASE WHEN min(token_ref) IS NULL THEN 'drift' ELSE 'exact' END AS status, CAST(NULL AS DOUBLE) AS delta
+    FROM ob LEFT JOIN tk ON tk.category = 'color' AND tk.value_str = ob.color WHERE ob.category = 'color' AND ob.color IS NOT NULL GROUP BY ob.capture_id, ob.source_id, property
+  UNION ALL SELECT capture_id, source_id, property, category, n.r, CASE WHEN n.d = 0 THEN 'exact' WHEN n.d <= greatest(0.5, abs(px) * 0.02) THEN 'within_tolerance' ELSE 'drift' END, n.d FROM
+    (SELECT ob.capture_id, ob.source_id, property, ob.category, px, min({{'d': abs(value_num - px), 'r': token_ref}}) AS n FROM ob JOIN tk USING (category) WHERE ob.category <> 'color' AND px IS NOT NULL GROUP BY ALL))"""
+
+_VIS = f"SELECT capture_id, source_id FROM {DOM} WHERE visible AND bounds IS NOT NULL"
+CLAIMS = f"""vis AS ({_VIS}),
+cl AS (SELECT d.capture_id, 'dom:' || source_id AS entity, 'role' AS fact, 'dom' AS source_type, source_id, role AS value, 0.9 AS confidence FROM {DOM} d WHERE visible AND bounds IS NOT NULL
+  UNION ALL SELECT a.capture_id, CASE WHEN v.source_id IS NULL THEN 'ax:' || a.source_id ELSE 'dom:' || v.source_id END, f.fact, 'accessibility', a.source_id, CASE f.fact WHEN 'role' THEN a.role ELSE a.name END, 0.85
+    FROM {AX} a LEFT JOIN vis v ON v.capture_id = a.capture_id AND v.source_id = a.backend_dom_source_id, (VALUES ('role'), ('name')) f(fact) WHERE NOT a.ignored
+  UNION ALL SELECT r.capture_id, CASE WHEN v.source_id IS NULL THEN 'text:' || r.source_id ELSE 'dom:' || v.source_id END, f.fact, 'text_run', r.source_id, CASE WHEN list_contains(c.redaction.redacted_source_ids, r.source_id) THEN '' ELSE r.text END, 0.8
+    FROM {RUNS} r LEFT JOIN {CAPS} c ON c.capture_id = r.capture_id LEFT JOIN vis v ON v.capture_id = r.capture_id AND v.source_id = r.dom_source_id, (VALUES ('name'), ('text')) f(fact))"""
+FACTS = """rk AS (SELECT *, CASE fact WHEN 'role' THEN CASE source_type WHEN 'accessibility' THEN 3 WHEN 'dom' THEN 2 ELSE 1 END WHEN 'name' THEN CASE source_type WHEN 'accessibility' THEN 3 WHEN 'text_run' THEN 2 ELSE 1 END
+    ELSE CASE source_type WHEN 'text_run' THEN 3 WHEN 'ocr' THEN 2 WHEN 'accessibility' THEN 1 ELSE 0 END END AS rank FROM cl WHERE trim(value) <> ''),
+fc AS (SELECT capture_id, entity, fact, arg_min(value, {'a': -rank, 'b': -confidence, 'c': value}) AS value, arg_min(confidence, {'a': -rank, 'b': -confidence, 'c': value}) AS top, count(DISTINCT value) > 1 AS conflict FROM rk GROUP BY ALL)"""
+SALIENCY = f"""sz AS (SELECT capture_id, greatest(1.0, max(x + w)) AS vw, greatest(1.0, max(y + h)) AS vh FROM b GROUP BY capture_id),
+sl AS (SELECT capture_id, node_id, {r6(f"CASE WHEN x IS NULL THEN greatest(0, least(1, 0.1 + 0.1 * wt)) ELSE greatest(0, least(1, 0.35 * greatest(0, least(1, 1 - y / vh)) + 0.2 * greatest(0, least(1, 1 - abs((x + w / 2) / vw - 0.5) * 2)) + 0.25 * greatest(0, least(1, sqrt(w * h / greatest(1.0, vw * vh)))) + 0.2 * wt)) END")} AS saliency
+  FROM (SELECT *, CAST(coalesce({_map(S.SALIENCY_WEIGHTS)}[role], 0.3) AS DOUBLE) AS wt FROM b JOIN sz USING (capture_id)))"""
+SIDES = f"""sn AS {_one("snapshot_nodes", "snapshot_id, node_id")},
+hd AS (SELECT snapshot_id, max(page_key) AS page_key, max(captured_at) AS captured_at FROM graph_snapshots GROUP BY snapshot_id),
+pp AS (SELECT * FROM (SELECT lag(snapshot_id) OVER (PARTITION BY page_key ORDER BY captured_at, snapshot_id) AS base_id, snapshot_id AS pair FROM hd) WHERE base_id IS NOT NULL),
+bb AS (SELECT pair, sn.* FROM pp JOIN sn ON sn.snapshot_id = base_id), tt AS (SELECT pair, sn.* FROM pp JOIN sn ON sn.snapshot_id = pair)"""
+NAMED = f"na AS (SELECT b.*, a.name FROM b LEFT JOIN (SELECT capture_id, backend_dom_source_id AS node_id, min(name) AS name FROM {AX} WHERE backend_dom_source_id IS NOT NULL GROUP BY ALL) a USING (capture_id, node_id))"
+SAN = "regexp_replace(replace(replace({0}, '<<<', '<_<_<'), '>>>', '>_>_>'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')"
+VIEWN = _one("view_nodes", "view_node_id")
+_WHITE = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{200b}\x{200c}\x{200d}\x{feff}]+"
+_U16 = "(length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+_PLAIN = ["kind", "parent_node_id", "role", "name", "text", "color", "font_size_css_px"]
+_CHANGED = " OR ".join(f"bb.{c} IS DISTINCT FROM tt.{c}" for c in _PLAIN)
+_RECTBAD = "NOT isfinite({0}.x) OR NOT isfinite({0}.y) OR NOT isfinite({0}.width) OR NOT isfinite({0}.height) OR {0}.width < 0 OR {0}.height < 0 OR {0}.x IS NULL OR {0}.y IS NULL OR {0}.width IS NULL OR {0}.height IS NULL"
+_RECTFAR = "abs({0}.x) > 1e7 OR abs({0}.y) > 1e7 OR abs({0}.width) > 1e7 OR abs({0}.height) > 1e7"
+
+
+def _rect(src: str, col: str) -> str:
+    return f"SELECT * FROM (SELECT capture_id, CASE WHEN {col} IS NULL THEN NULL WHEN {_RECTBAD.format(col)} THEN 'non_finite' WHEN {_RECTFAR.format(col)} THEN 'overflow' END AS code, source_id FROM {src}) WHERE code IS NOT NULL"
+
+
+_HINTS = " UNION ALL ".join(f"SELECT capture_id, source_id AS node_id, '{k}' AS kind, attributes['{a}'] AS value, '{s}' AS scope, {u} AS uniqueness, {st} AS stability FROM d WHERE attributes['{a}'] <> ''" for a, k, s, u, st in S.ATTRIBUTE_HINTS)
+
+SQL = {
+    "normalize_geometry": f"WITH {NORM} SELECT capture_id, source_id, {r6('dx')} AS doc_x, {r6('dy')} AS doc_y, {r6('dw')} AS doc_width, {r6('dh')} AS doc_height, {r6('vx')} AS view_x, {r6('vy')} AS view_y, CASE WHEN vx IS NOT NULL THEN {r6('dw')} END AS view_width, CASE WHEN vx IS NOT NULL THEN {r6('dh')} END AS view_height, CASE WHEN inside THEN {r6('vx / vw')} END AS norm_x, CASE WHEN inside THEN {r6('vy / vh')} END AS norm_y, CASE WHEN inside THEN {r6('dw / vw')} END AS norm_width, CASE WHEN inside THEN {r6('dh / vh')} END AS norm_height, visibility FROM nm",
+    "css_color": f"SELECT original, {color('original')} AS canonical FROM (SELECT DISTINCT e.value.s AS original FROM (SELECT unnest(map_entries(style_facts)) AS e FROM dom_nodes) WHERE regexp_matches(e.key, '(?i)colou?r') AND e.value.s IS NOT NULL)",
+    "css_length": f"WITH {STYLE} SELECT capture_id, source_id, property, {r6('px')} AS value_css_px FROM st WHERE NOT regexp_matches(property, '(?i)colou?r')",
+    "match_text": f"SELECT capture_id, source_id, lower(trim(regexp_replace(nfc_normalize(text), '{_WHITE}', ' ', 'g'))) AS match_text FROM {RUNS}",
+    "token_estimate": f"SELECT doc_id, CAST(ceil({_U16.format('text')} / 4.0) AS BIGINT) AS tokens FROM documents",
+    "patch_tokens": f"SELECT capture_id, CAST(ceil(viewport.width_css_px / 16) * ceil(viewport.height_css_px / 16) AS BIGINT) AS tokens_16, CAST(ceil(viewport.width_css_px / 28) * ceil(viewport.height_css_px / 28) AS BIGINT) AS tokens_28 FROM {CAPS}",
+    "sanitize_text": f"SELECT doc_id, sha256({SAN.format('text')}) AS digest FROM documents",
+    "implicit_role": f"SELECT capture_id, source_id, CASE WHEN trim(attributes['role']) <> '' THEN attributes['role'] WHEN lower(tag) = 'input' THEN coalesce({_map(S.INPUT_ROLES)}[lower(coalesce(attributes['type'], ''))], 'textbox') WHEN lower(tag) = 'a' AND attributes['href'] IS NULL THEN NULL ELSE {_map(S.TAG_ROLES)}[lower(tag)] END AS implied FROM {DOM}",
+    "durable_attributes": f"SELECT capture_id, source_id, e.key AS attribute, e.value AS value FROM (SELECT capture_id, source_id, unnest(map_entries(attributes)) AS e FROM {DOM}) WHERE e.key IN {_in(S.DURABLE_ATTRIBUTES)} AND e.value <> ''",
+    "url_identity": f"""SELECT capture_id, f.frame_id AS frame_id, CASE WHEN p = '' THEN '/' ELSE p END || q AS route, substr('cap_' || regexp_replace(regexp_replace(f.url, '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 96) AS slug
+      FROM (SELECT capture_id, f, regexp_extract(f.url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p, regexp_extract(f.url, '(\\?[^#]*)', 1) AS q FROM (SELECT capture_id, unnest(frames) AS f FROM {CAPS}))""",
+    "text_back_references": f"SELECT capture_id, dom_source_id, string_agg(source_id, ',' ORDER BY ord, source_id) AS text_source_ids FROM {RUNS} WHERE dom_source_id IS NOT NULL GROUP BY ALL",
+    "fuse_claims": f"WITH {CLAIMS} SELECT capture_id, entity, count(DISTINCT source_id) AS sources, count(*) FILTER (trim(value) <> '') AS claims FROM cl GROUP BY ALL",
+    "fuse_facts": f"WITH {CLAIMS}, {FACTS} SELECT capture_id, entity, fact, value, {r6('CASE WHEN conflict THEN top * 0.5 ELSE top END')} AS confidence, conflict FROM fc",
+    "derived_best_match": f"""WITH {NORM}, it AS (SELECT i.capture_id, i.source_id, rect_image_px.x / s AS x, rect_image_px.y / s AS y, rect_image_px.width / s AS w, rect_image_px.height / s AS h FROM (SELECT i.*, c.viewport.device_scale_factor AS s FROM {ITEMS} i JOIN {CAPS} c USING (capture_id) WHERE kind IN ('vision_parser', 'ocr')) i WHERE s > 0),
+      sc AS (SELECT it.capture_id, it.source_id, x, y, w, h, greatest(0, least(x + w, vx + dw) - greatest(x, vx)) * greatest(0, least(y + h, vy + dh) - greatest(y, vy)) AS i, dw * dh AS a FROM it JOIN nm ON nm.capture_id = it.capture_id WHERE nm.visible AND vx IS NOT NULL)
+      SELECT capture_id, source_id, {r6('max(i / (w * h + a - i))')} AS iou FROM sc WHERE i > 0 AND i / (w * h + a - i) >= 0.5 GROUP BY ALL""",
+    "containment_parent": f"WITH {BOX}, {PARENT} SELECT * FROM par",
+    "hierarchy_depth": f"WITH RECURSIVE {BOX}, {PARENT}, {ANC} SELECT par.capture_id, par.node_id, CAST(coalesce(max(distance), 0) AS INTEGER) AS depth FROM par LEFT JOIN anc USING (capture_id, node_id) GROUP BY ALL",
+    "descendants": f"WITH RECURSIVE {BOX}, {PARENT}, {ANC} SELECT capture_id, ancestor_id AS node_id, count(*) AS n_descendants FROM anc GROUP BY ALL",
+    "region_promotion": f"WITH RECURSIVE {BOX}, {PARENT}, {ANC} SELECT b.capture_id, b.node_id AS root_id, 'list' AS region_kind, count(anc.node_id) + 1 AS member_count, count(*) FILTER (distance = 1) AS item_count FROM b LEFT JOIN anc ON anc.capture_id = b.capture_id AND anc.ancestor_id = b.node_id WHERE role = 'group' GROUP BY ALL",
+    "repeated_regions": f"WITH {BOX}, {PARENT}, {SIGS} SELECT capture_id, parent_id, signature, count(*) AS item_count, count(*) FILTER (visibility IN ('visible', 'clipped')) AS visible_item_count, min(node_id) AS first_id, 'sha256:' || sha256(signature) AS pattern_hash FROM sg GROUP BY capture_id, parent_id, signature HAVING count(*) >= 3",
+    "reading_next": f"WITH {BOX}, {PARENT}, {NEXT} SELECT * FROM rn",
+    "overlaps": f"WITH {BOX}, {PAIRS}, {OVER} SELECT capture_id, from_id, to_id, {r6('iou')} AS iou FROM ov",
+    "aligned": f"WITH {BOX}, {PARENT}, {SIGS}, {PAIRS}, {ALIGN} SELECT * FROM al",
+    "near_knn": f"WITH {BOX}, {PAIRS}, {NEAR} SELECT * FROM nr",
+    "relation_counts": f"WITH {GRAPH} SELECT capture_id, kind, count(*) AS n FROM ed GROUP BY ALL",
+    "edge_degree": f"WITH {GRAPH}, {DEG} SELECT * FROM dg",
+    "graph_metrics": f"WITH {GRAPH}, {DEG} SELECT n.*, coalesce(e.edges, 0) AS edges, coalesce(m.max_degree, 0) AS max_degree FROM (SELECT capture_id, count(*) AS nodes, count(*) FILTER (role IN {_in(S.INTERACTIVE_ROLES)}) AS interactive, count(x) AS with_geometry FROM b GROUP BY ALL) n LEFT JOIN (SELECT capture_id, count(*) AS edges FROM ed GROUP BY ALL) e USING (capture_id) LEFT JOIN (SELECT capture_id, max(degree) AS max_degree FROM dg GROUP BY ALL) m USING (capture_id)",
+    "node_identity": f"WITH RECURSIVE {BOX}, {PARENT}, ow AS (SELECT b.capture_id, b.node_id, parent_id, concat_ws('|', frame_id, coalesce(kind, '_'), b.node_id) AS own FROM b JOIN par USING (capture_id, node_id)), id AS (SELECT capture_id, node_id, sha256('root|' || own) AS identity FROM ow WHERE parent_id IS NULL UNION ALL SELECT ow.capture_id, ow.node_id, sha256(id.identity || '|' || own) FROM ow JOIN id ON id.capture_id = ow.capture_id AND id.node_id = ow.parent_id) SELECT * FROM id",
+    "node_kind": f"SELECT capture_id, source_id, CASE WHEN lower(role) = 'document' THEN 'document' WHEN lower(role) = 'img' OR lower(tag) = 'img' THEN 'image' WHEN lower(tag) = 'canvas' THEN 'canvas' WHEN lower(role) IN {_in(S.INTERACTIVE_ROLES)} THEN 'control' ELSE 'element' END AS node_kind, CASE WHEN role IS NOT NULL THEN coalesce({_map(S.AFFORDANCE_VERBS)}[role], 'focus') END AS verb FROM {DOM}",
+    "locator_hints": f"""WITH d AS {DOM}, hi AS ({_HINTS} UNION ALL SELECT capture_id, source_id, 'role_name', concat_ws(':', frame_id, role, attributes['aria-label']), 'route_version', 0.85, 0.8 FROM d WHERE role IS NOT NULL AND attributes['aria-label'] IS NOT NULL
+      UNION ALL SELECT capture_id, source_id, 'structural_path', concat_ws('/', frame_id, coalesce(parent_source_id, 'root'), source_id), 'route_version', 0.9, 0.6 FROM d)
+      SELECT capture_id, node_id, CAST(row_number() OVER w - 1 AS INTEGER) AS rank, kind, value, scope, CAST(uniqueness AS DOUBLE) AS uniqueness, CAST(stability AS DOUBLE) AS stability FROM hi WINDOW w AS (PARTITION BY capture_id, node_id ORDER BY stability DESC, uniqueness DESC, kind, value, scope) QUALIFY row_number() OVER w <= 8""",
+    "token_match": f"WITH {STYLE}, {TOKENS}, {MATCH} SELECT capture_id, source_id, property, category, token_ref, status, {r6('delta')} AS delta FROM tm",
+    "token_summary": f"WITH {STYLE}, {TOKENS}, {MATCH} SELECT capture_id, count(*) FILTER (status IN ('exact', 'within_tolerance')) AS authoritative, 0 AS advisory, count(*) FILTER (status = 'drift') AS drift, 0 AS excepted FROM tm GROUP BY ALL",
+    "token_exceptions": f"WITH {STYLE}, {TOKENS}, {MATCH}, te AS (SELECT capture_id, CASE WHEN status = 'drift' AND (category = 'spacing' AND source_id = 'dom_5' OR category = 'radii') THEN 'excepted' ELSE status END AS status FROM tm) SELECT capture_id, 0 AS authoritative, count(*) FILTER (status IN ('exact', 'within_tolerance', 'excepted')) AS advisory, count(*) FILTER (status = 'drift') AS drift, count(*) FILTER (status = 'excepted') AS excepted FROM te GROUP BY ALL",
+    "violations": f"WITH {STYLE}, {TOKENS}, {MATCH}, vi AS (SELECT capture_id, source_id, property, tm.category, tm.token_ref, delta, {r6('CASE WHEN delta IS NOT NULL AND value_num > 0 THEN 0.9 * (0.5 + 0.5 * least(1.0, delta / value_num)) ELSE 0.9 END')} AS severity FROM tm LEFT JOIN tk ON tk.token_ref = tm.token_ref WHERE status = 'drift') SELECT capture_id, source_id, property, category, token_ref, {r6('delta')} AS delta, severity, CAST(row_number() OVER w AS INTEGER) AS rank FROM vi WINDOW w AS (PARTITION BY capture_id ORDER BY severity DESC, source_id, category, property) QUALIFY row_number() OVER w <= 20",
+    "saliency": f"WITH {BOX}, {SALIENCY} SELECT * FROM sl",
+    "action_map": f"WITH {BOX}, {NAMED} SELECT capture_id, node_id, CAST(row_number() OVER w AS INTEGER) AS rank, role, {_map(S.AFFORDANCE_VERBS)}[role] AS verb, {SAN.format('name')} AS name FROM na WHERE role IN {_in(S.AFFORDANCE_ROLES)} AND visibility = 'visible' WINDOW w AS (PARTITION BY capture_id ORDER BY node_id) QUALIFY row_number() OVER w <= 40",
+    "summary_view": f"WITH RECURSIVE {BOX}, {PARENT}, {ANC}, de AS (SELECT par.capture_id, par.node_id, CAST(coalesce(max(distance), 0) AS INTEGER) AS depth FROM par LEFT JOIN anc USING (capture_id, node_id) GROUP BY ALL), nn AS (SELECT b.*, depth, coalesce(role IN {_in(S.AFFORDANCE_ROLES)}, false) AS act FROM b JOIN de USING (capture_id, node_id)), pa AS (SELECT capture_id, 'affordance' AS part, row_number() OVER (PARTITION BY capture_id ORDER BY node_id) AS rank, node_id, role, depth FROM nn WHERE act UNION ALL SELECT capture_id, 'outline', row_number() OVER (PARTITION BY capture_id ORDER BY depth, node_id), node_id, role, depth FROM nn WHERE NOT act AND depth <= 2) SELECT * FROM pa WHERE rank <= 40",
+    "focus_view": f"""WITH {GRAPH}, fe AS (SELECT capture_id, from_id, to_id FROM ed WHERE kind IN ('contains', 'reading_next') UNION SELECT capture_id, to_id, from_id FROM ed WHERE kind IN ('contains', 'reading_next')),
+      f0 AS (SELECT DISTINCT capture_id, node_id, 0 AS distance FROM b WHERE role = 'checkbox'), f1 AS (SELECT DISTINCT fe.capture_id, fe.to_id AS node_id, 1 AS distance FROM f0 JOIN fe ON fe.capture_id = f0.capture_id AND fe.from_id = f0.node_id),
+      f2 AS (SELECT DISTINCT fe.capture_id, fe.to_id AS node_id, 2 AS distance FROM f1 JOIN fe ON fe.capture_id = f1.capture_id AND fe.from_id = f1.node_id), al2 AS (SELECT capture_id, node_id, min(distance) AS distance FROM (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2) GROUP BY ALL)
+      SELECT *, CAST(row_number() OVER w AS INTEGER) AS rank FROM al2 WINDOW w AS (PARTITION BY capture_id ORDER BY distance, node_id) QUALIFY row_number() OVER w <= 120""",
+    "view_budget": f"""WITH {BOX}, {NAMED}, rw AS (SELECT capture_id, row_number() OVER (PARTITION BY capture_id ORDER BY node_id) AS rank, concat_ws(' ', node_id, role, {SAN.format('name')}) AS text FROM na WHERE role IN {_in(S.AFFORDANCE_ROLES)}),
+      su AS (SELECT capture_id, budget, sum(ceil({_U16.format('text')} / 4.0)) AS tokens, count(*) AS included FROM rw, (VALUES (64), (32), (16), (8), (4), (2), (1)) t(budget) WHERE rank <= budget GROUP BY ALL)
+      SELECT capture_id, CAST(max(budget) AS INTEGER) AS budget, CAST(arg_max(tokens, budget) AS BIGINT) AS tokens, arg_max(included, budget) AS included FROM su WHERE tokens <= 120 OR budget = 1 GROUP BY capture_id""",
+    "withheld_nodes": f"SELECT view_node_id, CASE WHEN NOT hide THEN name END AS name, CASE WHEN NOT hide THEN text END AS text, hide AS withheld FROM (SELECT *, coalesce(list_has_any(sensitivity, {S.WITHHELD}), false) AS hide FROM {VIEWN})",
+    "sensitive_digest": f"SELECT snapshot_ref, count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(candidate_id), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM {VIEWN} WHERE list_has_any(sensitivity, {S.FAIL_CLOSED}) AND (trim(coalesce(name, '')) <> '' OR trim(coalesce(text, '')) <> '') GROUP BY ALL",
+    "delta_encode": f"WITH {SIDES}, de AS (SELECT coalesce(bb.pair, tt.pair) AS pair, coalesce(bb.node_id, tt.node_id) AS node_id, CASE WHEN tt.node_id IS NULL THEN 'remove_node' ELSE 'upsert_node' END AS op FROM bb FULL JOIN tt ON bb.pair = tt.pair AND bb.node_id = tt.node_id WHERE bb.node_id IS NULL OR tt.node_id IS NULL OR {_CHANGED}) SELECT pair, CAST(row_number() OVER (PARTITION BY pair ORDER BY op, node_id) - 1 AS INTEGER) AS seq, op, node_id FROM de",
+    "delta_apply": f"WITH {SIDES} SELECT pair, node_id, {', '.join(_PLAIN)} FROM tt",
+    "issues": f"""WITH c AS {CAPS} SELECT capture_id, 'missing_field' AS code, NULL AS source_id FROM c WHERE {' OR '.join(f"trim(coalesce({k}, '')) = ''" for k in ('schema_version', 'capture_version', 'repo_owner', 'repo_name', 'route'))}
+      UNION ALL SELECT capture_id, 'unsupported_major', NULL FROM c WHERE split_part(schema_version, '.', 1) <> '1'
+      UNION ALL SELECT capture_id, 'invalid_viewport', NULL FROM c WHERE NOT coalesce(viewport.width_css_px > 0 AND viewport.height_css_px > 0 AND viewport.device_scale_factor > 0, false)
+      UNION ALL SELECT capture_id, 'missing_redaction', NULL FROM c WHERE redaction IS NULL OR trim(coalesce(redaction.policy_version, '')) = ''
+      UNION ALL {_rect(DOM, 'bounds')} UNION ALL {_rect(RUNS, 'bounds')} UNION ALL {_rect(ITEMS, 'rect_image_px')}
+      UNION ALL SELECT capture_id, 'invalid_confidence', source_id FROM {ITEMS} WHERE confidence IS NULL OR NOT isfinite(confidence) OR confidence NOT BETWEEN 0 AND 1
+      UNION ALL SELECT capture_id, 'missing_provider', source_id FROM {ITEMS} WHERE trim(coalesce(provider, '')) = '' OR trim(coalesce(provider_version, '')) = ''
+      UNION ALL SELECT capture_id, 'duplicate_source_id', source_id FROM (SELECT capture_id, source_id FROM {DOM} UNION ALL SELECT capture_id, source_id FROM {AX} UNION ALL SELECT capture_id, source_id FROM {RUNS} UNION ALL SELECT capture_id, source_id FROM {ITEMS}) GROUP BY capture_id, source_id HAVING count(*) > 1""",
+    "issues_parent": f"WITH d AS {DOM} SELECT capture_id, 'missing_parent' AS code, source_id FROM d WHERE parent_source_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d p WHERE p.capture_id = d.capture_id AND p.source_id = d.parent_source_id)",
+    "issues_cycle": f"WITH RECURSIVE d AS (SELECT capture_id, source_id, CASE ord WHEN 13 THEN 'dom_14' WHEN 14 THEN 'dom_13' ELSE parent_source_id END AS p FROM {DOM}), ok AS (SELECT capture_id, source_id FROM d WHERE p IS NULL OR NOT EXISTS (SELECT 1 FROM d q WHERE q.capture_id = d.capture_id AND q.source_id = d.p) UNION SELECT d.capture_id, d.source_id FROM d JOIN ok ON ok.capture_id = d.capture_id AND ok.source_id = d.p) SELECT capture_id, 'parent_cycle' AS code, source_id FROM d WHERE NOT EXISTS (SELECT 1 FROM ok WHERE ok.capture_id = d.capture_id AND ok.source_id = d.source_id)",
+    "cohort_reduction": f"SELECT source AS cohort, {r6('1 - sum(c) / sum(b)')} AS reduction FROM (SELECT source, octet_length(encode(text)) AS b, octet_length(encode(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS c FROM documents WHERE text IS NOT NULL) GROUP BY source",
+    "stability_probe": f"WITH {BOX} SELECT capture_id, count(*) AS boxes, CAST(sum(CAST('0x' || substr(sha256(concat_ws(',', node_id, CAST(floor(x * 10 + 0.5) AS BIGINT), CAST(floor(y * 10 + 0.5) AS BIGINT), CAST(floor(w * 10 + 0.5) AS BIGINT), CAST(floor(h * 10 + 0.5) AS BIGINT))), 1, 12) AS BIGINT) % 1000000007) AS BIGINT) AS digest FROM b WHERE x IS NOT NULL GROUP BY ALL",
+}
