@@ -65,7 +65,8 @@ def elements(dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame
     The latest delivery of each row holds. Elements that are hidden, without bounds or without area cannot be shown.
     """
     caps = latest(captures.where("capture_id is not null").select("capture_id", "received_at", "frames"), ["capture_id"], "received_at", ["frames"]).select("capture_id", "frames")
-    d = latest(dom.where("capture_id is not null and source_id is not null"), ["capture_id", "source_id"], "received_at", ["frame_id", "ord", "parent_source_id", "role", "tag", "attributes", "bounds", "visible"]).drop("received_at")
+    slim = dom.where("capture_id is not null and source_id is not null").withColumns({"label": F.element_at("attributes", "aria-label"), "input_type": F.element_at("attributes", "type")})
+    d = latest(slim, ["capture_id", "source_id"], "received_at", ["frame_id", "ord", "parent_source_id", "role", "tag", "label", "input_type", "bounds", "visible"]).drop("received_at")
     # a box around a widget has other elements than icons inside it
     boxes = d.where("parent_source_id is not null and lower(coalesce(tag, '')) <> 'svg'").select("capture_id", F.col("parent_source_id").alias("source_id"), F.lit(True).alias("box")).distinct()
     d = d.where("visible and bounds.width > 0 and bounds.height > 0 and lower(coalesce(tag, '')) not in ('body', 'html', 'canvas')")
@@ -76,9 +77,9 @@ def elements(dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame
     r = r.where("text is not null and text <> '[redacted]'").groupBy("capture_id", F.col("dom_source_id").alias("source_id")).agg(F.array_join(F.array_sort(F.collect_set("text")), " ").alias("run_text"))
     e = d.join(a, ["capture_id", "source_id"], "left").join(r, ["capture_id", "source_id"], "left").join(boxes, ["capture_id", "source_id"], "left")
     tag = F.lower(F.coalesce("tag", F.lit("")))
-    label = F.element_at("attributes", "aria-label")
+    label = F.col("label")
     group = F.coalesce(
-        F.when(tag == "input", F.when(F.lower(F.coalesce("role", "ax_role", F.element_at("attributes", "type"), F.lit(""))).isin("checkbox", "radio", "switch"), "checkbox").otherwise("textbox")),
+        F.when(tag == "input", F.when(F.lower(F.coalesce("role", "ax_role", F.col("input_type"), F.lit(""))).isin("checkbox", "radio", "switch"), "checkbox").otherwise("textbox")),
         F.element_at(F.create_map(*[F.lit(x) for kv in TAG_GROUPS.items() for x in kv]), F.when(tag != "div", tag)),
         _lookup(CLASS_GROUPS, F.coalesce("role", "ax_role")),
         F.when(tag == "div", "tab"),
@@ -106,13 +107,15 @@ def candidates(found: DataFrame, page: DataFrame, spec: LinkSpec = LinkSpec()) -
     """
     m, cw, ch = spec.margin, spec.cell_width, spec.cell_height
     r = F.col("rect")
+    # one row for each level in use, at most ``levels`` of them
     level = F.least(F.lit(spec.levels), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((r["width"] + 2 * m) / cw, (r["height"] + 2 * m) / ch)))).cast("int"))
+    used = sorted(x[0] for x in page.select(level.alias("level")).distinct().collect()) or [0]
     e = page.withColumn("level", level).withColumn("k", F.pow(F.lit(2.0), F.col("level")))
     cells = lambda lo, hi, c: F.sequence(F.floor(lo / (F.col("k") * c)), F.floor(hi / (F.col("k") * c)))
     e = e.withColumn("gx", F.explode(cells(r["x"] - m, r["x"] + r["width"] + m, cw))).withColumn("gy", F.explode(cells(r["y"] - m, r["y"] + r["height"] + m, ch))).drop("k")
     b = F.col("box")
     cx, cy = b["x"] + b["width"] / 2, b["y"] + b["height"] / 2
-    i = found.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(spec.levels)))).withColumn("gx", F.floor(cx / (cw * F.pow(F.lit(2.0), F.col("level"))))).withColumn("gy", F.floor(cy / (ch * F.pow(F.lit(2.0), F.col("level")))))
+    i = found.withColumn("level", F.explode(F.array(*[F.lit(x) for x in used]))).withColumn("gx", F.floor(cx / (cw * F.pow(F.lit(2.0), F.col("level"))))).withColumn("gy", F.floor(cy / (ch * F.pow(F.lit(2.0), F.col("level")))))
     near = (cx >= r["x"] - m) & (cx <= r["x"] + r["width"] + m) & (cy >= r["y"] - m) & (cy <= r["y"] + r["height"] + m)
     return i.join(e, ["capture_id", "level", "gx", "gy"]).where(near).drop("level", "gx", "gy")
 
@@ -120,15 +123,15 @@ def candidates(found: DataFrame, page: DataFrame, spec: LinkSpec = LinkSpec()) -
 def _with_loose_runs(page: DataFrame, runs: DataFrame, captures: DataFrame, spec: LinkSpec) -> DataFrame:
     """Elements with the texts of runs that lost their link: each goes to the smallest widget that holds its centre."""
     caps = latest(captures.where("capture_id is not null").select("capture_id", "received_at", "frames"), ["capture_id"], "received_at", ["frames"]).select("capture_id", "frames")
-    r = latest(runs.where("capture_id is not null and source_id is not null"), ["capture_id", "source_id"], "received_at", ["frame_id", "text", "dom_source_id", "bounds"])
-    r = r.where("dom_source_id is null and text is not null and text <> '[redacted]' and bounds.width > 0 and bounds.height > 0").join(small(caps), "capture_id")
+    unlinked = "capture_id is not null and source_id is not null and dom_source_id is null and text is not null and text <> '[redacted]' and bounds.width > 0 and bounds.height > 0"
+    r = latest(runs.where(unlinked), ["capture_id", "source_id"], "received_at", ["frame_id", "text", "bounds"]).join(small(caps), "capture_id")
     r = r.select("capture_id", F.col("source_id").alias("run"), "text", G.transform_rect(G.frame_transform(F.col("frames"), F.col("frame_id")), F.col("bounds")).alias("box"))
     held = candidates(r, page.where("widget > 0").select("capture_id", "dom_source_id", "rect"), spec)
     b, e = F.col("box"), F.col("rect")
     held = held.where((G.intersection_area(b, e) >= 0.8 * G.area(b)) & (b["height"] < e["height"] + 4))
     owner = held.groupBy("capture_id", "run").agg(F.min_by(F.struct("dom_source_id", "text"), F.struct(G.area(e), "dom_source_id")).alias("o"))
-    texts = owner.groupBy("capture_id", F.col("o.dom_source_id").alias("dom_source_id")).agg(F.array_sort(F.collect_set("o.text")).alias("loose"))
-    return page.join(texts, ["capture_id", "dom_source_id"], "left").withColumn("names", F.concat("names", F.coalesce("loose", F.array().cast("array<string>")))).withColumn("name", F.coalesce("name", F.get("loose", F.lit(0)))).drop("loose")
+    texts = cut(owner.groupBy("capture_id", F.col("o.dom_source_id").alias("dom_source_id")).agg(F.array_sort(F.collect_set("o.text")).alias("loose")))
+    return page.join(small(texts), ["capture_id", "dom_source_id"], "left").withColumn("names", F.concat("names", F.coalesce("loose", F.array().cast("array<string>")))).withColumn("name", F.coalesce("name", F.get("loose", F.lit(0)))).drop("loose")
 
 
 def vote(pairs: DataFrame) -> DataFrame:
@@ -196,36 +199,49 @@ class LabelModel:
         return p
 
 
-def link(derived: DataFrame, dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame, spec: LinkSpec = LinkSpec()) -> DataFrame:
-    """Fused matches: capture_id, dom_source_id, item_source_id, role, name, viewport_rect, evidence, confidence.
+def match(derived: DataFrame, dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame, spec: LinkSpec = LinkSpec()) -> tuple[DataFrame, DataFrame]:
+    """(matches, elements): capture_id, dom_source_id, item_source_id, confidence; and the elements matched against.
 
-    An item has one element at most: the one of greatest posterior, ties by score, then by order. evidence holds both
-    rows. Null keys, boxes without area and captures without viewport match nothing; repeated rows count once; empty
-    tables give no rows.
+    An item has one element at most: the one of greatest posterior, ties by score, then by order. Null keys, boxes
+    without area and captures without viewport match nothing; repeated rows count once; empty tables give no rows.
     """
     spark = derived.sparkSession
     table = build_table(spark)
-    page = cut(_with_loose_runs(elements(dom, ax, runs, captures), runs, captures, spec))
-    # the texts are compared by look, in lower case; each distinct one is normalized once
-    texts = normalized(page.select(F.explode("names").alias("n")).distinct(), "n", table, "nf").select("n", "nf")
-    page = page.withColumn("n", F.explode_outer("names")).join(small(texts), "n", "left").groupBy("capture_id", "dom_source_id").agg(F.first("ord").alias("ord"), F.first("rect").alias("rect"), F.first("group").alias("group"), F.first("role").alias("role"), F.first("name").alias("name"), F.first("widget").alias("widget"), F.array_distinct(F.flatten(F.collect_set(F.array(F.lower("nf.look"), F.lower("nf.display"))))).alias("names"))
-    found = normalized(items(derived, captures), "item_text", table, "tf").withColumns({"said": F.lower("tf.look"), "shown": F.lower("tf.display")}).drop("tf")
-    voted = cut(vote(candidates(found, page, spec)).drop("names", "said", "shown", "group", "widget", "item_class"))
-    names = [f"v_{x}" for b in BLOCKS for x in b]
-    at = iter(range(len(names)))
+    page = cut(elements(dom, ax, runs, captures))
+    page = _with_loose_runs(page, runs, captures, spec)
+    # the texts are compared by look and by display, in lower case; each distinct one is normalized once
+    texts = normalized(page.select(F.explode("names").alias("n")).distinct(), "n", table, "nf").select("n", F.array(F.lower("nf.look"), F.lower("nf.display")).alias("forms"))
+    named = page.select("capture_id", "dom_source_id", F.explode("names").alias("n")).join(small(texts), "n").groupBy("capture_id", "dom_source_id").agg(F.array_distinct(F.flatten(F.collect_set("forms"))).alias("forms"))
+    slim = page.select("capture_id", "dom_source_id", "ord", "rect", "group", "widget").join(named, ["capture_id", "dom_source_id"], "left").withColumn("names", F.coalesce("forms", F.array().cast("array<string>"))).drop("forms")
+    found = items(derived, captures)
+    read = normalized(found.select("item_text").where("item_text is not null").distinct(), "item_text", table, "tf").select("item_text", F.lower("tf.look").alias("said"), F.lower("tf.display").alias("shown"))
+    found = found.select("capture_id", "item_source_id", "kind", "box", "item_class", "item_text").join(small(read), "item_text", "left").drop("item_text").na.fill("", ["said", "shown"])
+    votes = [f"v_{x}" for b in BLOCKS for x in b]
+    voted = cut(vote(candidates(found, slim, spec)).select("capture_id", "item_source_id", "dom_source_id", "ord", "kind", "score", *votes))
+    at = iter(range(len(votes)))
     blocks = tuple(tuple(next(at) for _ in b) for b in BLOCKS)
-    counted = voted.groupBy("kind", *names).count().collect()  # at most two times three to the number of functions
+    counted = voted.groupBy("kind", *votes).count().collect()  # at most two times three to the number of functions
     rows = []
     for kind in ("vision_parser", "ocr"):
-        mine = sorted((tuple(r[n] for n in names), r["count"]) for r in counted if r["kind"] == kind)
-        post = LabelModel(blocks).fit(np.asarray([m[0] for m in mine]).reshape(len(mine), len(names)), np.asarray([m[1] for m in mine]), spec.rounds)
+        mine = sorted((tuple(r[n] for n in votes), r["count"]) for r in counted if r["kind"] == kind)
+        post = LabelModel(blocks).fit(np.asarray([m[0] for m in mine]).reshape(len(mine), len(votes)), np.asarray([m[1] for m in mine]), spec.rounds)
         rows += [(kind, *m[0], float(p)) for m, p in zip(mine, post)]
-    posterior = spark.createDataFrame(rows, "kind string, " + ", ".join(f"{n} int" for n in names) + ", confidence double")
-    scored = voted.join(F.broadcast(posterior), ["kind", *names]).where(F.col("confidence") >= spec.accept)
-    keep = F.struct("dom_source_id", "role", "name", "rect", "confidence", "kind", "box", "item_text", "item_confidence")
-    best = scored.groupBy("capture_id", "item_source_id").agg(F.max_by(keep, F.struct("confidence", "score", -F.col("ord"), "dom_source_id")).alias("m"))
+    posterior = spark.createDataFrame(rows, "kind string, " + ", ".join(f"{n} int" for n in votes) + ", confidence double")
+    scored = voted.join(F.broadcast(posterior), ["kind", *votes]).where(F.col("confidence") >= spec.accept)
+    best = scored.groupBy("capture_id", "item_source_id").agg(F.max(F.struct("confidence", "score", -F.col("ord"), "dom_source_id")).alias("m"))
+    return best.select("capture_id", F.col("m.dom_source_id").alias("dom_source_id"), "item_source_id", F.col("m.confidence").alias("confidence")), page
+
+
+def link(derived: DataFrame, dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame, spec: LinkSpec = LinkSpec()) -> DataFrame:
+    """Fused matches: capture_id, dom_source_id, item_source_id, role, name, viewport_rect, evidence, confidence.
+
+    evidence holds both rows with their own confidence. Cases as in ``match``.
+    """
+    matches, page = match(derived, dom, ax, runs, captures, spec)
+    own = items(derived, captures).select("capture_id", "item_source_id", "kind", "item_text", "item_confidence")
+    full = matches.join(page.select("capture_id", "dom_source_id", "role", "name", "rect"), ["capture_id", "dom_source_id"]).join(own, ["capture_id", "item_source_id"])
     claim = lambda kind, i, c: F.struct(kind.alias("source_type"), i.alias("source_id"), c.alias("confidence"))
-    return best.select(
-        "capture_id", F.col("m.dom_source_id").alias("dom_source_id"), "item_source_id", F.col("m.role").alias("role"), F.coalesce("m.name", "m.item_text").alias("name"), F.col("m.rect").alias("viewport_rect"),
-        F.array(claim(F.lit("dom"), F.col("m.dom_source_id"), F.lit(0.9)), claim(F.col("m.kind"), F.col("item_source_id"), F.col("m.item_confidence"))).alias("evidence"), F.col("m.confidence").alias("confidence"),
+    return full.select(
+        "capture_id", "dom_source_id", "item_source_id", "role", F.coalesce("name", "item_text").alias("name"), F.col("rect").alias("viewport_rect"),
+        F.array(claim(F.lit("dom"), F.col("dom_source_id"), F.lit(0.9)), claim(F.col("kind"), F.col("item_source_id"), F.col("item_confidence"))).alias("evidence"), "confidence",
     )

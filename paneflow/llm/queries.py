@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paneflow.llm.encoding import encode_corpus
 from paneflow.llm.languages import detect, wrong_labels
 from paneflow.llm.leakage import leaks
-from paneflow.llm.linkage import link
+from paneflow.llm.linkage import link, match
 from paneflow.llm.pii import find_personal_data
 from paneflow.llm.text_forms import match_key, normalized, shown_labels
 from paneflow.sources.tables import latest, table
@@ -49,16 +49,15 @@ QUERIES = {"p1_found": p1_found, "p1_forms": p1_forms, "p7_ids": p7_ids, "p8_fou
 SQL: dict[str, str] = {}
 
 
-def _link(spark: SparkSession, root: str) -> DataFrame:
-    return link(*[table(spark, root, n) for n in ("derived_items", "dom_nodes", "ax_nodes", "text_runs", "captures")])
+LINK_TABLES = ("derived_items", "dom_nodes", "ax_nodes", "text_runs", "captures")
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return _link(spark, root).select("capture_id", "dom_source_id", "item_source_id")
+    return match(*[table(spark, root, n) for n in LINK_TABLES])[0].select("capture_id", "dom_source_id", "item_source_id")
 
 
 def p2_matches(spark: SparkSession, root: str) -> DataFrame:
-    return _link(spark, root).withColumn("evidence", F.to_json("evidence")).withColumn("viewport_rect", F.to_json("viewport_rect"))
+    return link(*[table(spark, root, n) for n in LINK_TABLES]).withColumn("evidence", F.to_json("evidence")).withColumn("viewport_rect", F.to_json("viewport_rect"))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
