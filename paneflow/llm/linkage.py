@@ -207,6 +207,9 @@ def match(derived: DataFrame, dom: DataFrame, ax: DataFrame, runs: DataFrame, ca
     """
     spark = derived.sparkSession
     table = build_table(spark)
+    # only captures with derived rows can have matches: the others' rows leave before the first shuffle
+    busy = small(derived.where("capture_id is not null and kind in ('vision_parser', 'ocr')").select("capture_id").distinct())
+    dom, ax, runs = (t.join(busy, "capture_id", "left_semi") for t in (dom, ax, runs))
     page = cut(elements(dom, ax, runs, captures))
     page = _with_loose_runs(page, runs, captures, spec)
     # the texts are compared by look and by display, in lower case; each distinct one is normalized once
