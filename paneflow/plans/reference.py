@@ -349,7 +349,8 @@ def mcnemar(spark, root):
     d = table(spark, root, "documents").where("source is not null")
     a, b = F.coalesce(F.col("accepted"), F.lit(False)), F.coalesce(F.col("votes") > 0, F.lit(False))
     c = d.groupBy("source").agg(F.count_if(a & ~b).alias("a_only"), F.count_if(~a & b).alias("b_only"))
-    return c.select("source", "a_only", "b_only", E.mcnemar(F.col("a_only"), F.col("b_only")).alias("p_value"))
+    p = E.mcnemar(F.col("a_only"), F.col("b_only"))
+    return c.select("source", "a_only", "b_only", (F.floor(p * 1e6 + 0.5001) / 1e6).alias("p_value"))
 
 
 def stability_probe(spark, root):

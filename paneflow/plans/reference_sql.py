@@ -188,3 +188,26 @@ SQL = {
     "cohort_reduction": f"SELECT source AS cohort, {r6('1 - sum(c) / sum(b)')} AS reduction FROM (SELECT source, octet_length(encode(text)) AS b, octet_length(encode(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS c FROM documents WHERE text IS NOT NULL) GROUP BY source",
     "stability_probe": f"WITH {BOX} SELECT capture_id, count(*) AS boxes, CAST(sum(CAST('0x' || substr(sha256(concat_ws(',', node_id, CAST(floor(x * 10 + 0.5) AS BIGINT), CAST(floor(y * 10 + 0.5) AS BIGINT), CAST(floor(w * 10 + 0.5) AS BIGINT), CAST(floor(h * 10 + 0.5) AS BIGINT))), 1, 12) AS BIGINT) % 1000000007) AS BIGINT) AS digest FROM b WHERE x IS NOT NULL GROUP BY ALL",
 }
+
+_CL3 = """c3 AS (SELECT d.capture_id, 'dom:' || source_id AS entity, 'dom' AS kind, frame_id, 'dom' AS source_type, source_id, 0 AS stage, ord, 0.9 AS confidence FROM {dom} d WHERE visible AND bounds IS NOT NULL
+  UNION ALL SELECT a.capture_id, CASE WHEN v.source_id IS NULL THEN 'ax:' || a.source_id ELSE 'dom:' || v.source_id END, CASE WHEN v.source_id IS NULL THEN 'ax_only' ELSE 'dom' END, frame_id, 'accessibility', a.source_id, 1, ord, 0.85
+    FROM {ax} a LEFT JOIN vis v ON v.capture_id = a.capture_id AND v.source_id = a.backend_dom_source_id WHERE NOT a.ignored
+  UNION ALL SELECT r.capture_id, CASE WHEN v.source_id IS NULL THEN 'text:' || r.source_id ELSE 'dom:' || v.source_id END, CASE WHEN v.source_id IS NULL THEN 'text' ELSE 'dom' END, frame_id, 'text_run', r.source_id, 2, ord, 0.8
+    FROM {runs} r LEFT JOIN vis v ON v.capture_id = r.capture_id AND v.source_id = r.dom_source_id)""".format(dom=DOM, ax=AX, runs=RUNS)
+
+SQL |= {
+    "fused_nodes": f"""WITH {CLAIMS}, {FACTS}, {NORM}, {_CL3},
+      en AS (SELECT capture_id, entity, min({{'stage': stage, 'ord': ord, 's': source_id, 'kind': kind, 'f': frame_id}}) AS e, count(DISTINCT {{'a': stage, 'b': ord, 'c': source_type, 'd': source_id}}) AS n_evidence FROM c3 GROUP BY ALL),
+      wf AS (SELECT capture_id, entity, max(value) FILTER (fact = 'role') AS role, max(value) FILTER (fact = 'name') AS name, min(CASE WHEN conflict THEN top * 0.5 ELSE top END) AS confidence,
+        concat_ws(',', max(CASE WHEN fact = 'role' AND conflict THEN 'conflict:role' END), max(CASE WHEN fact = 'name' AND conflict THEN 'conflict:name' END), max(CASE WHEN fact = 'text' AND conflict THEN 'conflict:text' END)) AS flags FROM fc GROUP BY ALL),
+      al3 AS (SELECT en.capture_id, en.entity, e.kind AS kind, e.f AS frame_id, e.s AS first_source, wf.role, wf.name, wf.flags, wf.confidence, n_evidence, nm.vx, nm.vy FROM en LEFT JOIN wf USING (capture_id, entity) LEFT JOIN nm ON nm.capture_id = en.capture_id AND 'dom:' || nm.source_id = en.entity)
+      SELECT capture_id, printf('cand_%04d', row_number() OVER (PARTITION BY capture_id ORDER BY frame_id, vy ASC NULLS LAST, vx ASC NULLS LAST, kind, first_source) - 1) AS candidate_id, entity, kind, role, name, CAST(coalesce(confidence, CASE WHEN vx IS NOT NULL THEN 0.6 ELSE 0.4 END) AS DOUBLE) AS confidence, coalesce(flags, '') AS flags, CAST(n_evidence AS INTEGER) AS n_evidence FROM al3""",
+    "mcnemar": """WITH c AS (SELECT source, count(*) FILTER (a AND NOT b) AS a_only, count(*) FILTER (NOT a AND b) AS b_only FROM (SELECT source, coalesce(accepted, false) AS a, coalesce(votes > 0, false) AS b FROM documents WHERE source IS NOT NULL) GROUP BY source)
+      SELECT source, a_only, b_only, floor(least(1.0, 2 * list_sum(list_transform(range(0, least(a_only, b_only) + 1), lambda i: exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) + (a_only + b_only) * ln(0.5))))) * 1e6 + 0.5001) / 1e6 AS p_value FROM c""",
+    "evidence_plan": f"""WITH {BOX}, {SALIENCY}, vp AS (SELECT capture_id, viewport.width_css_px AS vw, viewport.height_css_px AS vh FROM {CAPS}),
+      c1 AS (SELECT b.capture_id, b.node_id, x, y, w, h, saliency, vp.vw AS vw, vp.vh AS vh, greatest(x, 0.0) AS cx, greatest(y, 0.0) AS cy, least(x + w, vp.vw) - greatest(x, 0.0) AS cw, least(y + h, vp.vh) - greatest(y, 0.0) AS ch FROM b JOIN sl USING (capture_id, node_id) JOIN vp USING (capture_id) WHERE w > 0 AND h > 0),
+      c2 AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY saliency DESC, cw * ch, node_id) - 1 AS priority FROM c1 WHERE cw > 0 AND ch > 0),
+      c3 AS (SELECT *, greatest(cx - 24, 0.0) AS px, greatest(cy - 24, 0.0) AS py, least(cx + cw + 24, vw) - greatest(cx - 24, 0.0) AS pw, least(cy + ch + 24, vh) - greatest(cy - 24, 0.0) AS ph FROM c2 WHERE priority < 4)
+      SELECT capture_id, node_id, CAST(priority AS INTEGER) AS priority, CASE WHEN big THEN 'full_screenshot' ELSE 'crop' END AS kind, {r6('CASE WHEN big THEN 0.0 ELSE px END')} AS x, {r6('CASE WHEN big THEN 0.0 ELSE py END')} AS y, {r6('CASE WHEN big THEN vw ELSE pw END')} AS w, {r6('CASE WHEN big THEN vh ELSE ph END')} AS h,
+        concat_ws(',', 'requested_refs', CASE WHEN w * h < 1024 THEN 'small_or_dense_target' END, CASE WHEN saliency >= 0.7 THEN 'high_saliency' END) AS reasons FROM (SELECT *, pw * ph > 0.8 * vw * vh AS big FROM c3)""",
+}
