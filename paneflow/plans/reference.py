@@ -12,6 +12,7 @@ from paneflow.operators import design as D
 from paneflow.operators import evaluate as E
 from paneflow.operators import identity as I
 from paneflow.operators import observe as O
+from paneflow.operators import requests as RQ
 from paneflow.operators import structure as R
 from paneflow.operators import validate as V
 from paneflow.operators import views as Q
@@ -313,6 +314,10 @@ def delta_apply(spark, root):
     return rows
 
 
+def diff_view(spark, root):
+    return RQ.diff_view(*_sides(spark, root))
+
+
 def issues(spark, root):
     caps, dom, ax, runs, derived = _t(spark, root, "captures", "dom_nodes", "ax_nodes", "text_runs", "derived_items")
     return V.capture_issues(caps).unionByName(V.geometry_issues(dom, runs)).unionByName(V.derived_issues(derived)).unionByName(V.duplicate_issues(dom, ax, runs, derived))
@@ -365,5 +370,5 @@ QUERIES = {f.__name__: f for f in (
     normalize_geometry, css_color, css_length, match_text, token_estimate, patch_tokens, sanitize_text, implicit_role, durable_attributes, url_identity, text_back_references,
     fuse_claims, fuse_facts, fused_nodes, derived_best_match, containment_parent, hierarchy_depth, descendants, region_promotion, repeated_regions, node_cap, reading_next, overlaps, aligned, near_knn,
     relation_counts, edge_degree, edge_cap, graph_metrics, node_identity, node_kind, locator_hints, token_match, token_summary, token_exceptions, violations, saliency, evidence_plan, action_map, summary_view,
-    focus_view, view_budget, withheld_nodes, sensitive_digest, seal_headers, seal_refs, lineage_scores, lineage_match, delta_encode, delta_apply, issues, issues_parent, issues_cycle, cohort_reduction, bootstrap_ci, mcnemar, stability_probe,
+    focus_view, view_budget, withheld_nodes, sensitive_digest, seal_headers, seal_refs, lineage_scores, lineage_match, delta_encode, delta_apply, diff_view, issues, issues_parent, issues_cycle, cohort_reduction, bootstrap_ci, mcnemar, stability_probe,
 )}

@@ -211,3 +211,9 @@ SQL |= {
       SELECT capture_id, node_id, CAST(priority AS INTEGER) AS priority, CASE WHEN big THEN 'full_screenshot' ELSE 'crop' END AS kind, {r6('CASE WHEN big THEN 0.0 ELSE px END')} AS x, {r6('CASE WHEN big THEN 0.0 ELSE py END')} AS y, {r6('CASE WHEN big THEN vw ELSE pw END')} AS w, {r6('CASE WHEN big THEN vh ELSE ph END')} AS h,
         concat_ws(',', 'requested_refs', CASE WHEN w * h < 1024 THEN 'small_or_dense_target' END, CASE WHEN saliency >= 0.7 THEN 'high_saliency' END) AS reasons FROM (SELECT *, pw * ph > 0.8 * vw * vh AS big FROM c3)""",
 }
+
+_KEPT = " AND ".join(f"b.{c} IS NOT DISTINCT FROM t.{c}" for c in ("role", "name", "text", "color", "font_size_css_px"))
+_MOVE = "greatest(abs(b.viewport_rect.x - t.viewport_rect.x) / 1440.0, abs(b.viewport_rect.width - t.viewport_rect.width) / 1440.0, abs(b.viewport_rect.y - t.viewport_rect.y) / 900.0, abs(b.viewport_rect.height - t.viewport_rect.height) / 900.0)"
+SQL["diff_view"] = f"""WITH {SIDES} SELECT coalesce(b.pair, t.pair) AS pair, coalesce(b.node_id, t.node_id) AS node_id, CASE WHEN b.node_id IS NULL THEN 'added' WHEN t.node_id IS NULL THEN 'removed' ELSE 'matched' END AS outcome,
+  CASE WHEN b.node_id IS NULL OR t.node_id IS NULL THEN NULL WHEN NOT ({_KEPT}) OR (b.viewport_rect IS NULL) <> (t.viewport_rect IS NULL) OR coalesce({_MOVE} > 0.005, false) THEN 'product_change' WHEN coalesce({_MOVE} > 0, false) THEN 'capture_instability' ELSE 'unchanged' END AS change
+  FROM bb b FULL JOIN tt t ON b.pair = t.pair AND b.node_id = t.node_id"""
