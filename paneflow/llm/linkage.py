@@ -42,9 +42,10 @@ BUSY = "^(?:loading|please wait|working|wait|busy|saving|[^\\p{L}\\p{N}]*)[.…]
 
 @dataclass(frozen=True)
 class LinkSpec:
-    cell_width: float = 128.0
-    cell_height: float = 64.0
-    levels: int = 14
+    cell_width: float = 256.0
+    cell_height: float = 128.0
+    #: Each level's cells are four times as wide and high as those of the one below.
+    levels: int = 8
     margin: float = 16.0
     rounds: int = 60
     #: Posterior from which a pair is a match.
@@ -108,14 +109,14 @@ def candidates(found: DataFrame, page: DataFrame, spec: LinkSpec = LinkSpec()) -
     m, cw, ch = spec.margin, spec.cell_width, spec.cell_height
     r = F.col("rect")
     # one row for each level in use, at most ``levels`` of them
-    level = F.least(F.lit(spec.levels), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((r["width"] + 2 * m) / cw, (r["height"] + 2 * m) / ch)))).cast("int"))
+    level = F.least(F.lit(spec.levels), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest((r["width"] + 2 * m) / cw, (r["height"] + 2 * m) / ch)) / 2)).cast("int"))
     used = sorted(x[0] for x in page.select(level.alias("level")).distinct().collect()) or [0]
-    e = page.withColumn("level", level).withColumn("k", F.pow(F.lit(2.0), F.col("level")))
+    e = page.withColumn("level", level).withColumn("k", F.pow(F.lit(4.0), F.col("level")))
     cells = lambda lo, hi, c: F.sequence(F.floor(lo / (F.col("k") * c)), F.floor(hi / (F.col("k") * c)))
     e = e.withColumn("gx", F.explode(cells(r["x"] - m, r["x"] + r["width"] + m, cw))).withColumn("gy", F.explode(cells(r["y"] - m, r["y"] + r["height"] + m, ch))).drop("k")
     b = F.col("box")
     cx, cy = b["x"] + b["width"] / 2, b["y"] + b["height"] / 2
-    i = found.withColumn("level", F.explode(F.array(*[F.lit(x) for x in used]))).withColumn("gx", F.floor(cx / (cw * F.pow(F.lit(2.0), F.col("level"))))).withColumn("gy", F.floor(cy / (ch * F.pow(F.lit(2.0), F.col("level")))))
+    i = found.withColumn("level", F.explode(F.array(*[F.lit(x) for x in used]))).withColumn("gx", F.floor(cx / (cw * F.pow(F.lit(4.0), F.col("level"))))).withColumn("gy", F.floor(cy / (ch * F.pow(F.lit(4.0), F.col("level")))))
     near = (cx >= r["x"] - m) & (cx <= r["x"] + r["width"] + m) & (cy >= r["y"] - m) & (cy <= r["y"] + r["height"] + m)
     return i.join(e, ["capture_id", "level", "gx", "gy"]).where(near).drop("level", "gx", "gy")
 
@@ -147,7 +148,7 @@ def vote(pairs: DataFrame) -> DataFrame:
     near = lambda a, n: F.lit(1.0) - F.levenshtein(a, n) / F.greatest(F.length(a), F.length(n), F.lit(1))
     # text that was read may break off: its like is then the beginning of the name
     begun = lambda a, n: F.when((F.length(a) >= 4) & (F.length(n) > F.length(a)), near(a, F.substring(n, 1, F.length(a))) - 0.1).otherwise(0.0)
-    similar = F.array_max(F.transform("names", lambda n: F.greatest(*[f(F.col(c), n) for c in ("said", "shown") for f in (near, begun)])))
+    similar = F.array_max(F.transform("names", lambda n: F.greatest(*[F.coalesce(f(F.col(c), n), F.lit(0.0)) for c in ("said", "shown") for f in (near, begun)])))
     out = pairs.withColumn("similar", F.when(~F.col("said").rlike(BUSY), similar)).withColumn("overlap_share", F.when(read, held).otherwise(overlap))
     group = _lookup(CLASS_GROUPS, F.col("item_class"))
     return out.withColumns(
@@ -217,8 +218,8 @@ def match(derived: DataFrame, dom: DataFrame, ax: DataFrame, runs: DataFrame, ca
     named = page.select("capture_id", "dom_source_id", F.explode("names").alias("n")).join(small(texts), "n").groupBy("capture_id", "dom_source_id").agg(F.array_distinct(F.flatten(F.collect_set("forms"))).alias("forms"))
     slim = page.select("capture_id", "dom_source_id", "ord", "rect", "group", "widget").join(named, ["capture_id", "dom_source_id"], "left").withColumn("names", F.coalesce("forms", F.array().cast("array<string>"))).drop("forms")
     found = items(derived, captures)
-    read = normalized(found.select("item_text").where("item_text is not null").distinct(), "item_text", table, "tf").select("item_text", F.lower("tf.look").alias("said"), F.lower("tf.display").alias("shown"))
-    found = found.select("capture_id", "item_source_id", "kind", "box", "item_class", "item_text").join(small(read), "item_text", "left").drop("item_text").na.fill("", ["said", "shown"])
+    read = normalized(found.select("item_text").where("item_text is not null").distinct(), "item_text", table, "tf").select("item_text", F.lower("tf.look").alias("said"), F.when(F.lower("tf.display") != F.lower("tf.look"), F.lower("tf.display")).alias("shown"))
+    found = found.select("capture_id", "item_source_id", "kind", "box", "item_class", "item_text").join(small(read), "item_text", "left").drop("item_text").na.fill("", ["said"])
     votes = [f"v_{x}" for b in BLOCKS for x in b]
     voted = cut(vote(candidates(found, slim, spec)).select("capture_id", "item_source_id", "dom_source_id", "ord", "kind", "score", *votes))
     at = iter(range(len(votes)))
