@@ -37,12 +37,16 @@ def containment_parent(nodes: DataFrame, cell: float = 64.0) -> DataFrame:
 
 
 def ancestors(parents: DataFrame) -> DataFrame:
-    """capture_id, node_id, ancestor_id, distance: the transitive closure, a level at a time; cycles end by distance."""
-    edges = cut(parents.where("parent_id is not null").select("capture_id", "node_id", "parent_id"))
+    """capture_id, node_id, ancestor_id, distance: the transitive closure, a level at a time.
+
+    A node that is its own parent is a root. In a cycle each pair counts once, at its least distance, so the walk ends.
+    """
+    edges = cut(parents.where("parent_id is not null and parent_id <> node_id").select("capture_id", "node_id", "parent_id"))
     out = step = edges.select("capture_id", "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"))
     up = edges.select("capture_id", F.col("node_id").alias("ancestor_id"), F.col("parent_id").alias("next"))
     while True:
-        step = cut(step.join(up, ["capture_id", "ancestor_id"]).where("next <> node_id").select("capture_id", "node_id", F.col("next").alias("ancestor_id"), (F.col("distance") + 1).alias("distance")))
+        found = step.join(up, ["capture_id", "ancestor_id"]).where("next <> node_id").select("capture_id", "node_id", F.col("next").alias("ancestor_id"), (F.col("distance") + 1).alias("distance"))
+        step = cut(found.join(out.select("capture_id", "node_id", "ancestor_id"), ["capture_id", "node_id", "ancestor_id"], "left_anti"))
         if step.isEmpty():
             return out
         out = out.unionByName(step)

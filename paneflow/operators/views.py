@@ -99,3 +99,21 @@ def budget_of(sizes: DataFrame, max_tokens: int, max_nodes: int) -> DataFrame:
     t = sizes.withColumn("tokens", token_estimate(F.col("text"))).withColumn("budget", F.explode(F.array(*[F.lit(b) for b in budgets]))).where("rank <= budget")
     sums = t.groupBy("capture_id", "budget").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("included"))
     return sums.where((F.col("tokens") <= max_tokens) | (F.col("budget") == 1)).groupBy("capture_id").agg(F.max(F.struct("budget", "tokens", "included")).alias("b")).select("capture_id", "b.budget", "b.tokens", "b.included")
+
+
+def ax_outline(ax: DataFrame) -> DataFrame:
+    """capture_id, source_id, depth, path, line of the accessibility tree, indented by depth; by path the lines are in pre-order.
+
+    Ignored nodes are left out and their children become roots; so does a node that names itself its parent. Ties of order go by id.
+    """
+    from paneflow.operators.observe import rows_of
+    from paneflow.operators.structure import ancestors
+
+    n = cut(rows_of(ax).where("not ignored").select("capture_id", F.col("source_id").alias("node_id"), F.col("parent_source_id").alias("p"), "role", "name", F.format_string("%07d:%s", F.coalesce("ord", F.lit(0)), "source_id").alias("own")))
+    known = n.select("capture_id", F.col("node_id").alias("p"), F.lit(True).alias("k"))
+    parents = n.join(known, ["capture_id", "p"], "left").select("capture_id", "node_id", F.when(F.col("k") & (F.col("p") != F.col("node_id")), F.col("p")).alias("parent_id"))
+    above = ancestors(parents).join(n.select("capture_id", F.col("node_id").alias("ancestor_id"), "own"), ["capture_id", "ancestor_id"])
+    path = above.groupBy("capture_id", "node_id").agg(F.concat_ws("/", F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "own"))), lambda x: x["own"])).alias("up"), F.max("distance").alias("depth"))
+    out = n.join(path, ["capture_id", "node_id"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), F.coalesce("role", F.lit("generic")), F.when(F.trim(F.coalesce("name", F.lit(""))) != "", F.concat(F.lit(' "'), sanitize(F.col("name")), F.lit('"'))).otherwise(""))
+    return out.select("capture_id", F.col("node_id").alias("source_id"), "depth", F.concat_ws("/", "up", "own").alias("path"), line.alias("line"))

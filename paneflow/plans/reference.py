@@ -245,6 +245,10 @@ def focus_view(spark, root):
     return Q.focus_view(e.where("kind in ('contains', 'reading_next')"), refs)
 
 
+def ax_outline(spark, root):
+    return Q.ax_outline(table(spark, root, "ax_nodes"))
+
+
 def view_budget(spark, root):
     a = _named(spark, root).where(F.col("role").isin(*S.AFFORDANCE_ROLES))
     rows = Q.top_k(a, 64, "node_id").select("capture_id", "rank", F.concat_ws(" ", "node_id", "role", X.sanitize(F.col("name"))).alias("text"))
@@ -370,5 +374,5 @@ QUERIES = {f.__name__: f for f in (
     normalize_geometry, css_color, css_length, match_text, token_estimate, patch_tokens, sanitize_text, implicit_role, durable_attributes, url_identity, text_back_references,
     fuse_claims, fuse_facts, fused_nodes, derived_best_match, containment_parent, hierarchy_depth, descendants, region_promotion, repeated_regions, node_cap, reading_next, overlaps, aligned, near_knn,
     relation_counts, edge_degree, edge_cap, graph_metrics, node_identity, node_kind, locator_hints, token_match, token_summary, token_exceptions, violations, saliency, evidence_plan, action_map, summary_view,
-    focus_view, view_budget, withheld_nodes, sensitive_digest, seal_headers, seal_refs, lineage_scores, lineage_match, delta_encode, delta_apply, diff_view, issues, issues_parent, issues_cycle, cohort_reduction, bootstrap_ci, mcnemar, stability_probe,
+    focus_view, ax_outline, view_budget, withheld_nodes, sensitive_digest, seal_headers, seal_refs, lineage_scores, lineage_match, delta_encode, delta_apply, diff_view, issues, issues_parent, issues_cycle, cohort_reduction, bootstrap_ci, mcnemar, stability_probe,
 )}

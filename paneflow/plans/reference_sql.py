@@ -217,3 +217,7 @@ _MOVE = "greatest(abs(b.viewport_rect.x - t.viewport_rect.x) / 1440.0, abs(b.vie
 SQL["diff_view"] = f"""WITH {SIDES} SELECT coalesce(b.pair, t.pair) AS pair, coalesce(b.node_id, t.node_id) AS node_id, CASE WHEN b.node_id IS NULL THEN 'added' WHEN t.node_id IS NULL THEN 'removed' ELSE 'matched' END AS outcome,
   CASE WHEN b.node_id IS NULL OR t.node_id IS NULL THEN NULL WHEN NOT ({_KEPT}) OR (b.viewport_rect IS NULL) <> (t.viewport_rect IS NULL) OR coalesce({_MOVE} > 0.005, false) THEN 'product_change' WHEN coalesce({_MOVE} > 0, false) THEN 'capture_instability' ELSE 'unchanged' END AS change
   FROM bb b FULL JOIN tt t ON b.pair = t.pair AND b.node_id = t.node_id"""
+SQL["ax_outline"] = f"""WITH RECURSIVE a AS (SELECT *, printf('%07d:%s', coalesce(ord, 0), source_id) AS own FROM {AX} WHERE NOT ignored), tr AS (
+  SELECT capture_id, source_id, role, name, 0 AS depth, own AS path FROM a WHERE parent_source_id IS NULL OR parent_source_id = source_id OR NOT EXISTS (SELECT 1 FROM a q WHERE q.capture_id = a.capture_id AND q.source_id = a.parent_source_id)
+  UNION ALL SELECT a.capture_id, a.source_id, a.role, a.name, tr.depth + 1, tr.path || '/' || a.own FROM a JOIN tr ON tr.capture_id = a.capture_id AND tr.source_id = a.parent_source_id AND a.source_id <> a.parent_source_id)
+  SELECT capture_id, source_id, depth, path, repeat('  ', depth) || coalesce(role, 'generic') || CASE WHEN trim(coalesce(name, '')) <> '' THEN ' "' || {SAN.format('name')} || '"' ELSE '' END AS line FROM tr"""

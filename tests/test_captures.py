@@ -185,3 +185,9 @@ def test_engine_is_deterministic():
                 code = open(os.path.join(folder, f)).read()
                 for bad in ("F.rand(", "F.uuid(", "current_timestamp", "monotonically_increasing_id", ".localCheckpoint("):
                     assert bad not in code, (f, bad)
+
+
+def test_closure_ends_in_cycles(spark):
+    p = spark.createDataFrame([("c", "a", "a"), ("c", "b", "a"), ("c", "x", "y"), ("c", "y", "x"), ("c", "z", "y")], "capture_id string, node_id string, parent_id string")
+    got = {(r.node_id, r.ancestor_id, r.distance) for r in R.ancestors(p).collect()}
+    assert got == {("b", "a", 1), ("x", "y", 1), ("y", "x", 1), ("z", "y", 1), ("z", "x", 2)}
