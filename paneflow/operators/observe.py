@@ -13,16 +13,20 @@ from paneflow.session import small
 from paneflow.sources.tables import latest
 
 
+#: What fusion reads of a derived row.
+DERIVED = ["obs_ord", "item_ord", "kind", "rect_image_px", "text", "confidence"]
+
+
 def lookup(table: dict, key: Column, default=None) -> Column:
     m = F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
     return m if default is None else F.coalesce(m, F.lit(default))
 
 
-def rows_of(df: DataFrame, *keys: str) -> DataFrame:
-    """The latest delivery of each observation; a table without delivery times is taken as it is."""
+def rows_of(df: DataFrame, *keys: str, carry: list[str] | None = None) -> DataFrame:
+    """The latest delivery of each observation, with the columns ``carry`` or all; a table without delivery times is taken as it is."""
     keys = list(keys) or ["capture_id", "source_id"]
     known = df.where(" and ".join(f"{k} is not null" for k in keys))
-    return latest(known, keys, "received_at").drop("received_at") if "received_at" in df.columns else known
+    return latest(known, keys, "received_at", carry=carry).drop("received_at") if "received_at" in df.columns else known
 
 
 def implicit_role(tag: Column, attributes: Column) -> Column:
@@ -55,10 +59,11 @@ def styles_of(dom: DataFrame) -> DataFrame:
     return facts.select("capture_id", "source_id", "property", F.when(color, canonical_color(F.col("fact.s"))).alias("color"), F.when(~color, css_length_px(F.col("fact.s"), F.col("fact.n"))).alias("value_css_px"))
 
 
-def claims(dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame, include_hidden: bool = False) -> DataFrame:
+def claims(dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame, derived: DataFrame, include_hidden: bool = False) -> DataFrame:
     """Long form: capture_id, entity, kind, frame_id, fact, source_type, source_id, value, confidence, stage, ord.
 
-    An entity is a visible DOM row; accessibility rows and text runs join it by their explicit link, else stand alone.
+    An entity is a visible DOM row; accessibility rows and text runs join it by their explicit link, vision and OCR rows
+    by their overlap; what joins none stands alone.
     """
     # hidden is what is not visible or has no bounds; no geometry is needed to say so
     doms = rows_of(dom if include_hidden else dom.where("visible and bounds is not null"))
@@ -73,7 +78,19 @@ def claims(dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame,
     r = r.withColumn("value", F.when(F.array_contains("redacted", F.col("source_id")), F.lit("")).otherwise(F.col("text")))
     r = r.withColumn("entity", F.when(F.col("hit"), F.concat(F.lit("dom:"), "dom_id")).otherwise(F.concat(F.lit("text:"), "source_id"))).withColumn("kind", F.when(F.col("hit"), "dom").otherwise("text"))
     r = r.select("capture_id", "entity", "kind", "frame_id", F.explode(F.array(F.lit("name"), F.lit("text"))).alias("fact"), F.lit("text_run").alias("source_type"), "source_id", "value", F.lit(0.8).alias("confidence"), F.lit(2).alias("stage"), "ord")
-    return d.unionByName(a).unionByName(r)
+    return d.unionByName(a).unionByName(r).unionByName(_derived_claims(derived, dom, captures, include_hidden))
+
+
+def _derived_claims(derived: DataFrame, dom: DataFrame, captures: DataFrame, include_hidden: bool) -> DataFrame:
+    """The text of each vision and OCR row, as a claim of the DOM row that it overlaps most or else of a visual entity."""
+    placed = rows_of(dom, carry=["frame_id", "ord", "bounds", "visible"])
+    best = derived_best_match(derived, normalize_dom(placed, captures), captures, include_hidden=include_hidden).select("capture_id", "source_id", F.col("dom_source_id").alias("dom_id"))
+    i = derived_boxes(derived, captures).join(best, ["capture_id", "source_id"], "left")
+    hit, c = F.col("dom_id").isNotNull(), F.col("confidence")
+    finite = c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    entity = F.when(hit, F.concat(F.lit("dom:"), "dom_id")).otherwise(F.concat(F.lit("visual:"), "source_id"))
+    ord_ = F.coalesce("obs_ord", F.lit(0)).cast("bigint") * (1 << 32) + F.coalesce("item_ord", F.lit(0))
+    return i.select("capture_id", entity.alias("entity"), F.when(hit, "dom").otherwise("visual").alias("kind"), "frame_id", F.lit("text").alias("fact"), F.col("kind").alias("source_type"), "source_id", F.col("text").alias("value"), F.when(finite, G.clamp01(c)).otherwise(0.0).alias("confidence"), F.lit(3).alias("stage"), ord_.alias("ord"))
 
 
 def resolve_facts(claimed: DataFrame) -> DataFrame:
@@ -90,14 +107,15 @@ def resolve_facts(claimed: DataFrame) -> DataFrame:
     return top.select("capture_id", "entity", "fact", F.col("best.value").alias("value"), F.when(conflict, -F.col("best.col2") * S.CONFLICT_FACTOR).otherwise(-F.col("best.col2")).alias("confidence"), conflict.alias("conflict"))
 
 
-def fused_nodes(dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame, include_hidden: bool = False) -> DataFrame:
-    """One row per entity: candidate_id in total order, facts, geometry of its DOM row, confidence and flags."""
+def fused_nodes(dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame, derived: DataFrame, include_hidden: bool = False) -> DataFrame:
+    """One row per entity: candidate_id in total order, facts, geometry of its DOM or derived row, confidence and flags."""
     norm = normalize_dom(dom, captures)
-    claimed = claims(dom, ax, runs, captures, include_hidden)
+    claimed = claims(dom, ax, runs, captures, derived, include_hidden)
     facts = resolve_facts(claimed)
     wide = facts.groupBy("capture_id", "entity").agg(*[F.max(F.when(F.col("fact") == f, F.struct("value", "confidence", "conflict"))).alias(f) for f in ("role", "name", "text")])
     entities = claimed.groupBy("capture_id", "entity").agg(F.min(F.struct("stage", "ord", "source_id", "kind", "frame_id")).alias("e"), F.array_sort(F.collect_set(F.struct("stage", "ord", "source_type", "source_id", F.col("confidence")))).alias("evidence"))
     geo = norm.select("capture_id", F.concat(F.lit("dom:"), "source_id").alias("entity"), "document_rect", "viewport_rect", "normalized_rect", "visibility", "tag", "attributes", "viewport")
+    geo = geo.unionByName(visual_geometry(derived, captures), allowMissingColumns=True)
     n = entities.join(wide, ["capture_id", "entity"], "left").join(geo, ["capture_id", "entity"], "left")
     conf = F.array_min(F.array_compact(F.array("role.confidence", "name.confidence", "text.confidence")))
     flags = F.array_compact(F.array(*[F.when(F.col(f"{f}.conflict"), F.lit(f"conflict:{f}")) for f in ("role", "name", "text")]))
@@ -106,15 +124,41 @@ def fused_nodes(dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFr
     return n.withColumn("candidate_id", F.format_string("cand_%04d", F.row_number().over(order) - 1))
 
 
-def derived_best_match(derived: DataFrame, dom_norm: DataFrame, captures: DataFrame, threshold: float = 0.5, cell: float = 128.0) -> DataFrame:
+def derived_boxes(derived: DataFrame, captures: DataFrame) -> DataFrame:
+    """Vision and OCR rows with box (CSS px, null without a scale), viewport, frames and the frame that the image shows.
+
+    The image is of the page, so its frame is the one without parent. Rows of unknown captures are kept, without a box.
+    """
+    caps = rows_of(captures, "capture_id").select("capture_id", "viewport", "frames")
+    i = rows_of(derived, carry=DERIVED).where("kind in ('vision_parser', 'ocr')").join(small(caps), "capture_id", "left")
+    r, dsf = F.col("rect_image_px"), F.col("viewport.device_scale_factor")
+    page = F.get(F.filter("frames", lambda f: f["parent_frame_id"].isNull()), F.lit(0))["frame_id"]
+    box = F.when((dsf > 0) & r.isNotNull(), G.rect(r["x"] / dsf, r["y"] / dsf, r["width"] / dsf, r["height"] / dsf))
+    return i.withColumns({"box": box, "frame_id": F.coalesce(page, F.lit("root"))})
+
+
+def visual_geometry(derived: DataFrame, captures: DataFrame) -> DataFrame:
+    """Geometry of derived rows that stand alone: the box through the chain of frames, less the scroll, as the reference has it."""
+    v = F.col("viewport")
+    w, h = v["width_css_px"], v["height_css_px"]
+    d = derived_boxes(derived, captures).where("box is not null").withColumn("document_rect", G.transform_rect(G.frame_transform(F.col("frames"), F.col("frame_id")), F.col("box")))
+    d = d.withColumn("viewport_rect", G.translate(F.col("document_rect"), -v["scroll_x_css_px"], -v["scroll_y_css_px"]))
+    r = F.col("viewport_rect")
+    shown = G.visible_part(r, w, h)
+    cut = (shown["width"] < r["width"] - G.EDGE_EPSILON) | (shown["height"] < r["height"] - G.EDGE_EPSILON)
+    normalized = G.rect(F.try_divide(r["x"], w), F.try_divide(r["y"], h), F.try_divide(r["width"], w), F.try_divide(r["height"], h))
+    return d.select("capture_id", F.concat(F.lit("visual:"), "source_id").alias("entity"), "document_rect", "viewport_rect", normalized.alias("normalized_rect"), F.when(shown.isNull(), "offscreen").when(cut, "clipped").otherwise("visible").alias("visibility"), "viewport")
+
+
+def derived_best_match(derived: DataFrame, dom_norm: DataFrame, captures: DataFrame, threshold: float = 0.5, cell: float = 128.0, include_hidden: bool = False) -> DataFrame:
     """capture_id, source_id, dom_source_id, iou: the DOM row that overlaps each derived row most, if by ``threshold``.
 
     Rows meet in the cells of a grid that both cover, so nothing that overlaps is missed. Ties go to DOM order.
     """
     caps = rows_of(captures, "capture_id").select("capture_id", F.col("viewport.device_scale_factor").alias("dsf"))
     r = F.col("rect_image_px")
-    item = rows_of(derived).where("kind in ('vision_parser', 'ocr')").join(small(caps), "capture_id").where("dsf > 0").select("capture_id", "source_id", G.rect(r["x"] / F.col("dsf"), r["y"] / F.col("dsf"), r["width"] / F.col("dsf"), r["height"] / F.col("dsf")).alias("box"))
-    page = dom_norm.where("visible and viewport_rect is not null").select("capture_id", F.col("source_id").alias("dom_source_id"), F.col("ord"), F.col("viewport_rect").alias("rect"))
+    item = rows_of(derived, carry=DERIVED).where("kind in ('vision_parser', 'ocr')").join(small(caps), "capture_id").where("dsf > 0").select("capture_id", "source_id", G.rect(r["x"] / F.col("dsf"), r["y"] / F.col("dsf"), r["width"] / F.col("dsf"), r["height"] / F.col("dsf")).alias("box"))
+    page = dom_norm.where("viewport_rect is not null" if include_hidden else "visible and viewport_rect is not null").select("capture_id", F.col("source_id").alias("dom_source_id"), F.col("ord"), F.col("viewport_rect").alias("rect"))
     cells = lambda df, c: grid_cells(df, F.col(c), cell)
     pairs = cells(item, "box").join(cells(page, "rect"), ["capture_id", "gx", "gy"]).withColumn("iou", G.iou(F.col("box"), F.col("rect"))).where(F.col("iou") >= threshold)
     best = pairs.groupBy("capture_id", "source_id").agg(F.max(F.struct("iou", -F.col("ord"), "dom_source_id")).alias("b"))

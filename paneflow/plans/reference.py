@@ -87,7 +87,7 @@ def text_back_references(spark, root):
 
 
 def _claims(spark, root):
-    return O.claims(*_t(spark, root, "dom_nodes", "ax_nodes", "text_runs", "captures"))
+    return O.claims(*_t(spark, root, "dom_nodes", "ax_nodes", "text_runs", "captures", "derived_items"))
 
 
 def fuse_claims(spark, root):
@@ -99,7 +99,7 @@ def fuse_facts(spark, root):
 
 
 def fused(spark, root):
-    return O.fused_nodes(*_t(spark, root, "dom_nodes", "ax_nodes", "text_runs", "captures"))
+    return O.fused_nodes(*_t(spark, root, "dom_nodes", "ax_nodes", "text_runs", "captures", "derived_items"))
 
 
 def fused_nodes(spark, root):

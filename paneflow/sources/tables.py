@@ -20,15 +20,17 @@ def null_safe_hash(*cols: Column | str) -> Column:
     return F.xxhash64(*parts)
 
 
-def latest(df: DataFrame, keys: list[str], by: str, values: list[str] | None = None) -> DataFrame:
+def latest(df: DataFrame, keys: list[str], by: str, values: list[str] | None = None, carry: list[str] | None = None) -> DataFrame:
     """One row per key: the one with the greatest ``by`` (nulls first); ties are broken by the row's content.
 
     Rows are pre-aggregated on the map side, so a key that holds many rows costs one row per task in the shuffle.
-    Rows with a null in a key stay a group of their own. An empty table gives an empty table.
+    Rows with a null in a key stay a group of their own. An empty table gives an empty table. ``carry`` names the values
+    that are returned, if not all; it does not change which row is picked.
     """
     values = [c for c in df.columns if c not in keys and c != by] if values is None else values
     kinds = dict(df.dtypes)
     plain = [F.to_json(F.struct(c)) if kinds[c].startswith(("map", "array", "struct")) else F.col(c).cast("string") for c in values]
     order = F.struct(F.col(by).isNotNull().alias("p"), F.col(by).alias("t"), null_safe_hash(*plain).alias("h")) if values else F.struct(F.col(by).isNotNull(), F.col(by))
+    values = values if carry is None else carry
     picked = df.groupBy(*keys).agg(F.max_by(F.struct(by, *values), order).alias("__row"))
     return picked.select(*keys, *[F.col("__row").getField(c).alias(c) for c in [by, *values]])

@@ -90,6 +90,23 @@ def test_facts(spark):
     assert got == {"role": ("link", 0.425, True), "text": ("a", 0.35, True)}
 
 
+def test_derived_rows_are_fused(spark):
+    frames = [("main", None, None, None)]
+    caps = spark.createDataFrame([("c", (1000.0, 1000.0, 2.0, 0.0, 0.0), (None, False, []), frames), ("s", (1000.0, 1000.0, 1.0, 0.0, 30.0), (None, False, []), frames)], "capture_id string, viewport struct<width_css_px:double,height_css_px:double,device_scale_factor:double,scroll_x_css_px:double,scroll_y_css_px:double>, redaction struct<policy_version:string,applied:boolean,redacted_source_ids:array<string>>, frames array<struct<frame_id:string,parent_frame_id:string,url:string,transform_to_parent:array<double>>>")
+    dom = spark.createDataFrame([("c", "main", 0, "d", "button", "button", None, (100.0, 100.0, 80.0, 20.0), True)], "capture_id string, frame_id string, ord int, source_id string, role string, tag string, attributes map<string,string>, bounds struct<x:double,y:double,width:double,height:double>, visible boolean")
+    ax = spark.createDataFrame([], "capture_id string, frame_id string, ord int, source_id string, role string, name string, ignored boolean, backend_dom_source_id string")
+    runs = spark.createDataFrame([("c", "main", 0, "t", "Save", "d")], "capture_id string, frame_id string, ord int, source_id string, text string, dom_source_id string")
+    item = lambda c, i, kind, x, y, text, conf: (c, 0, i, kind, f"{kind}_{i}", (x, y, 160.0, 40.0), text, conf)
+    rows = [item("c", 0, "ocr", 200.0, 200.0, "5ave", 0.7), item("c", 1, "vision_parser", 204.0, 200.0, None, 0.5), item("c", 2, "ocr", 700.0, 600.0, "Open", 1.5), item("s", 3, "ocr", 10.0, 20.0, None, None), item("c", 4, "embedding", 200.0, 200.0, "no", 0.9)]
+    derived = spark.createDataFrame(rows, "capture_id string, obs_ord int, item_ord int, kind string, source_id string, rect_image_px struct<x:double,y:double,width:double,height:double>, text string, confidence double")
+    got = {(r.capture_id, r.entity): r for r in O.fused_nodes(dom, ax, runs, caps, derived).collect()}
+    assert set(got) == {("c", "dom:d"), ("c", "visual:ocr_2"), ("s", "visual:ocr_3")}
+    d, v, s = got["c", "dom:d"], got["c", "visual:ocr_2"], got["s", "visual:ocr_3"]
+    assert (d.text.value, d.text.confidence, d.flags) == ("Save", 0.4, ["conflict:text"]) and [e.source_id for e in d.evidence] == ["d", "t", "ocr_0", "vision_parser_1"]
+    assert (v.kind, v.frame_id, v.text.value, v.confidence, tuple(v.viewport_rect), v.visibility, v.candidate_id) == ("visual", "main", "Open", 1.0, (350.0, 300.0, 80.0, 20.0), "visible", "cand_0001")
+    assert (s.text, s.confidence, tuple(s.viewport_rect), s.visibility) == (None, 0.6, (10.0, -10.0, 160.0, 40.0), "clipped")
+
+
 def test_canonical_json():
     assert [number_text(x) for x in (1.0, 1e21, 1e-7, 0.1, -0.0, 1e20, 5e-324, 0.001)] == ["1", "1e+21", "1e-7", "0.1", "0", "100000000000000000000", "5e-324", "0.001"]
     assert canonical({"b": [1, "é\n"], "a": None}) == '{"a":null,"b":[1,"é\\n"]}'
