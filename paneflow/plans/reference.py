@@ -299,7 +299,7 @@ def lineage_scores(spark, root):
 
 def lineage_match(spark, root):
     b, t = (_lineage_nodes(x) for x in _sides(spark, root))
-    return I.lineage_match(cut(I.lineage_scores(b, t)), b)
+    return I.lineage_match(I.lineage_scores(b, t), b)
 
 
 _PLAIN = ["kind", "parent_node_id", "role", "name", "text", "color", "font_size_css_px"]

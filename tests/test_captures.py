@@ -147,6 +147,48 @@ def test_lineage(spark):
     assert got["a"] == ("matched", "a") and got["b"][0] == "removed" and got["c"][0] == "abstained"
 
 
+def greedy(base, scores, high=0.7, margin=0.1, low=0.25):
+    """The reference's matcher on all scores {base: {target: score}}: (outcome, target, score) of each base node."""
+    ranked = {b: sorted((-s, t) for t, s in scores.get(b, {}).items() if s > 0) for b in base}
+    taken, out = set(), {}
+    for b in sorted(base, key=lambda b: (ranked[b][0][0] if ranked[b] else 0.0, b)):
+        left = [(-s, t) for s, t in ranked[b] if t not in taken]
+        s, t = left[0] if left else (None, None)
+        lead = s - (left[1][0] if len(left) > 1 else 0.0) if left else 0.0
+        kind = "removed" if s is None or s < low else "abstained" if s < high else "matched" if lead >= margin else "ambiguous"
+        if kind == "matched":
+            taken.add(t)
+        out[b] = (kind, t if kind in ("matched", "ambiguous") else None, s)
+    return out
+
+
+LINEAGE = "pair string, node_id string, ref string, role string, kind string, name string, region string, x double, y double, w double, h double"
+
+
+def test_lineage_scores_all_pairs(spark):
+    n = lambda i, name, x=0.0, ref=None, role="button": ("p", i, ref, role, "dom", name, None, x, 0.0, 10.0, 10.0)
+    base = spark.createDataFrame([n("a", "Save"), n("b", "Open", 900.0), n("r", "Help", 300.0, "ug:1:0")], LINEAGE)
+    target = spark.createDataFrame([n("a", "Save"), n("z", "Other", 400.0), n("moved", "Help", 700.0, "ug:1:0")], LINEAGE)
+    scores = I.lineage_scores(base, target)
+    assert scores.count() == 9
+    got = {r.base_id: (r.outcome, r.target_id, r.score) for r in I.lineage_match(scores, base).collect()}
+    # the best of b shares role, kind and place only; r is found by its reference under another id
+    assert got == {"a": ("matched", "a", 1.0 - 0.05), "b": ("abstained", None, 0.25), "r": ("matched", "moved", 0.8)}
+
+
+def test_lineage_equals_greedy_on_all_pairs(spark):
+    rng = random.Random(3)
+    node = lambda p, i: (p, f"n{i}", rng.choice([None, f"ug:{rng.randrange(9)}"]), rng.choice(["button", "link", None]), rng.choice(["dom", "text"]), rng.choice([None, "Save", "Save all", "Open file"]), rng.choice([None, "r1", "r2"]), 40.0 * rng.randrange(4), 0.0, 50.0, 20.0)
+    sides = [[node(f"p{p}", i) for p in range(6) for i in rng.sample(range(30), 14)] for _ in range(2)]
+    base, target = (spark.createDataFrame(x, LINEAGE) for x in sides)
+    scores: dict = {}
+    for r in I.lineage_scores(base, target).collect():
+        scores.setdefault(r.pair, {}).setdefault(r.base_id, {})[r.target_id] = r.score
+    want = {(p, b): v for p in scores for b, v in greedy([x[1] for x in sides[0] if x[0] == p], scores[p]).items()}
+    got = {(r.pair, r.base_id): (r.outcome, r.target_id, r.score) for r in I.lineage_match(I.lineage_scores(base, target), base).collect()}
+    assert got == want and {v[0] for v in want.values()} >= {"matched", "ambiguous", "abstained"}
+
+
 def test_statistics():
     assert E.mcnemar_exact(5, 1) == pytest.approx(0.21875) and E.mcnemar_exact(10, 0) == pytest.approx(2 / 1024) and E.mcnemar_exact(0, 0) == 1.0
     with pytest.raises(ValueError):
