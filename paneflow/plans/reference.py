@@ -319,7 +319,9 @@ def delta_apply(spark, root):
 
 
 def diff_view(spark, root):
-    return RQ.diff_view(*_sides(spark, root))
+    b, t = _sides(spark, root)
+    lb = _lineage_nodes(b)
+    return RQ.diff_view(b, t, matches=cut(I.lineage_match(I.lineage_scores(lb, _lineage_nodes(t)), lb)))
 
 
 def issues(spark, root):
