@@ -44,7 +44,7 @@ def bootstrap_ratio(pairs: Iterable[tuple[float, float]], iterations: int = 2000
     return {"point": stat(data), "lower": at(a / 2), "upper": at(1 - a / 2), "level": level, "iterations": iterations, "seed": seed, "pairs": len(data)}
 
 
-def bootstrap_cohorts(measures: DataFrame, iterations: int = 400, seed: int = 42, level: float = 0.95) -> DataFrame:
+def bootstrap_cohorts(measures: DataFrame, iterations: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """cohort, point, lower, upper of 1 - sum(candidate) / sum(base), over any number of pairs.
 
     Poisson bootstrap: each pair counts Poisson(1) times in each replicate, drawn by a hash of its key, so replicates

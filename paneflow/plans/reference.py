@@ -350,7 +350,7 @@ def cohort_reduction(spark, root):
 
 
 def bootstrap_ci(spark, root):
-    return E.bootstrap_cohorts(_measures(spark, root), iterations=200)
+    return E.bootstrap_cohorts(_measures(spark, root))
 
 
 def mcnemar(spark, root):

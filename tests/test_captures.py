@@ -18,7 +18,7 @@ from paneflow.operators import observe as O
 from paneflow.operators import structure as R
 from paneflow.operators import validate as V
 from paneflow.operators import views as Q
-from paneflow.plans import registry
+from paneflow.plans import reference, registry
 from paneflow.sources.captures import decode_layout, emitted, synthetic_pages
 from pyspark.sql import functions as F
 
@@ -201,6 +201,14 @@ def test_statistics():
     assert E.resolve_ref("ug:12345678:0", "s", "h", {"s": {"content_hash": "h", "scope": "12345678", "refs": {"ug:12345678:0"}}}) == "ok"
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_bootstrap_runs_the_references_replicates(spark):
+    root = "/root/testdata/sf0.001"
+    want = E.bootstrap_cohorts(reference._measures(spark, root), iterations=2000).collect()
+    got = reference.bootstrap_ci(spark, root).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and got
+
+
 def test_withholding_and_text(spark):
     df = spark.createDataFrame([(["pii"], "n", "t"), (["public"], "n", "t"), (None, "n", None)], "sensitivity array<string>, name string, text string")
     assert [r.name for r in Q.withheld(df).collect()] == [None, "n", "n"]
