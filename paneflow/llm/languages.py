@@ -37,9 +37,10 @@ LANGUAGE_NAMES = {
 }
 # Labels that name no language.
 PLACEHOLDERS = "und unk unknown xx xxx zz zxx mis mul mult multi multiple none null nil na nan n/a ? ?? - -- other auto undefined undetermined tbd todo default any lang language"
-# Lines that are stock, not prose (signatures, edit marks, bumps).
+# Lines that are stock, not prose (signatures, edit marks, bumps). A signature names somebody and an edit
+# mark says what was done, in five words at most; a longer line that begins like one is prose.
 STOCK_LINES = re.compile(
-    r"^(?:bump!*|up|\+\d+|edit(?:\s*#?\d+)?\s*:.{0,40}|update:\s*typo|typo|(?:--|—|–)\s*(?:sent from|gesendet von|envoyé de|enviado desde).{0,60}|--\s.{0,40}|sent from my .{0,40}|cross-?posted from .{0,60}|solved,? see above\.?|\[redacted\]|edited)$",
+    r"^(?:bump!*|up|\+\d+|edit(?:\s*#?\d+)?\s*:(?:\s+\S+){0,5}|update:\s*typo|typo|(?:--|—|–)\s*(?:sent from|gesendet von|envoyé de|enviado desde).*|--(?:\s+\S+){1,5}|sent from my .*|cross-?posted from .*|solved,? see above\.?|\[redacted\]|edited)\s*$",
     re.I,
 )
 
@@ -57,7 +58,7 @@ _FENCE = re.compile(r"^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)", re
 _PRE = re.compile(r"<pre\b[^>]*>.*?(?:</pre>|\Z)|<code\b[^>]*>.*?(?:</code>|\Z)", re.S | re.I)
 _INLINE = re.compile(r"`[^`\n]*`")
 _LINK = re.compile(r"\[([^\]\n]*)\]\([^)\s]*\)|<?(?:https?|ftp)://[^\s<>()]+>?|\bwww\.[^\s<>]+|\S+@\S+\.\S+")
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|&[a-z]{2,6};")
+_TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|&[A-Za-z]+;")
 _QUOTE = re.compile(r"^\s*(?:(?:[>#*|]+|//+|--(?=\s)|;+)\s*)+")
 _LOG = re.compile(r"^\s*(?:\[?\d{3,}\]?\s+\S+\s+[0-9a-f]{8,}|\[\d+\]|\d{4}-\d\d-\d\d[T ]\d\d:\d\d|Traceback \(most recent|File \".*\", line \d+|\w*(?:Error|Exception)\b:|error:|warning:|fatal:|exit status \d+|at \S+\(.*\)|\$ \S|npm |WARN|INFO|DEBUG|ERROR)")
 _CODE = re.compile(r"[{};]\s*$|^\s*[{}\])]|=>|:=|==|&&|\|\||\(\)|\w\(\w*\)|</?\w+[ >]|^\s*(?:def |return\b|import |from \S+ import|const |let |var |fn |class |if \(|for \(|SELECT\b|FROM\b|WHERE\b|GROUP BY|HAVING\b|ORDER BY)|^\s*#|^\s*\"\w+\":|^\s*\$ ")
@@ -112,22 +113,31 @@ class LanguageSpec:
     #: Only documents of so many characters at most are fitted on.
     fit_chars: int = 20_000
     fit_sentences: int = 500
+    #: Only sentences of fewer characters are fitted on; all sentences are classified.
+    fit_sentence_chars: int = 500
     rounds: int = 4
     #: A sentence is rejected below this share of the first percentile of the training sentences' cosines.
     reject: float = 0.5
     least_words: int = 12
 
 
-@lru_cache(maxsize=200_000)
-def _ngrams(word: str, dims: int) -> np.ndarray:
+def _hashed(word: str, dims: int) -> np.ndarray:
     w = f" {word} "
     grams = [w, *(w[i : i + n] for n in (1, 2, 3, 4) for i in range(len(w) - n + 1) if w[i : i + n].strip())]
     return np.asarray([zlib.crc32(g.encode()) % dims for g in grams], dtype=np.int32)
 
 
+_remembered = lru_cache(maxsize=200_000)(_hashed)
+
+
+def _ngrams(word: str, dims: int) -> np.ndarray:
+    """Slots of the n-grams of a word of any length; only those of short words are remembered."""
+    return _remembered(word, dims) if len(word) <= 64 else _hashed(word, dims)
+
+
 def vector(sentence: str, dims: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Indices and counts of the hashed n-grams of a sentence's words."""
-    parts = [_ngrams(w, dims) for w in _WORD.findall(sentence.lower()) if len(w) < 40]
+    parts = [_ngrams(w, dims) for w in _WORD.findall(sentence.lower())]
     if not parts:
         return None
     return np.unique(np.concatenate(parts), return_counts=True)
@@ -155,6 +165,8 @@ class LanguageModel:
                 vs.append(v)
                 ys.append(y)
         languages = tuple(x for x in LANGUAGES if x in set(ys))
+        if not languages:
+            return cls(np.ones(spec.dims, np.float32), np.zeros((0, spec.dims), np.float32), np.zeros(0, int), np.zeros(0), ())
         df = np.zeros(spec.dims)
         for i, _ in vs:
             df[i] += 1
@@ -194,22 +206,53 @@ class LanguageModel:
 
     def classify(self, sentence: str) -> tuple[str | None, float]:
         """(language, confidence) of a sentence; (None, 0) if it is too far from every centroid."""
-        if (known := self._seen.get(sentence)) is not None:
-            return known
-        v = vector(sentence, len(self.idf))
-        out: tuple[str | None, float] = (None, 0.0)
-        if v is not None and len(self.centroids):
-            sims = self._weigh(v, self.idf) @ self._columns[v[0]]
-            by = np.full(len(self.languages), -1.0)
-            np.maximum.at(by, self.owner, sims)
-            best = int(by.argmax())
-            if by[best] >= self.floor[self.owner == best].min():
-                e = np.exp((by - by[best]) * 25)
-                out = (self.languages[best], float(1 / e.sum()))
-        if len(self._seen) > 100_000:
+        return self.classify_all([sentence])[0]
+
+    def classify_all(self, sentences: list[str]) -> list[tuple[str | None, float]]:
+        """As ``classify``, of many sentences: each distinct one is scored once, in blocks of one sparse product."""
+        todo = list(dict.fromkeys(s for s in sentences if s not in self._seen))
+        if len(self._seen) + len(todo) > 100_000:
             self._seen.clear()
-        self._seen[sentence] = out
-        return out
+            todo = list(dict.fromkeys(sentences))
+        dims = len(self.idf)
+        block: list[np.ndarray] = []
+        names: list[str] = []
+        size = 0
+        for k, s in enumerate(todo):
+            parts = [_ngrams(w, dims) for w in _WORD.findall(s.lower())] if len(self.centroids) else []
+            if parts:
+                block.append(np.concatenate(parts))
+                names.append(s)
+                size += len(block[-1])
+            else:
+                self._seen[s] = (None, 0.0)
+            if block and (size > 200_000 or k + 1 == len(todo)):
+                self._seen.update(zip(names, self._score(block)))
+                block, names, size = [], [], 0
+        if block:
+            self._seen.update(zip(names, self._score(block)))
+        return [self._seen[s] for s in sentences]
+
+    def _score(self, block: list[np.ndarray]) -> list[tuple[str | None, float]]:
+        dims, n = len(self.idf), len(block)
+        owner = np.repeat(np.arange(n, dtype=np.int64), [len(x) for x in block])
+        slots, counts = np.unique(owner * dims + np.concatenate(block), return_counts=True)
+        row, at = slots // dims, slots % dims
+        w = (np.sqrt(counts) * self.idf[at]).astype(np.float32)
+        starts = np.searchsorted(row, np.arange(n))
+        norm = np.sqrt(np.add.reduceat(w.astype(np.float64) ** 2, starts))
+        sims = np.add.reduceat(w[:, None] * self._columns[at], starts, axis=0) / np.maximum(norm, 1e-12)[:, None]
+        by = np.full((n, len(self.languages)), -1.0)
+        floor = np.full(len(self.languages), np.inf)
+        for k in range(len(self.languages)):
+            mine = self.owner == k
+            if mine.any():
+                by[:, k] = sims[:, mine].max(1)
+                floor[k] = self.floor[mine].min()
+        best = by.argmax(1)
+        top = by[np.arange(n), best]
+        sure = 1 / np.exp((by - top[:, None]) * 25).sum(1)
+        return [(self.languages[b], float(p)) if t >= floor[b] else (None, 0.0) for b, t, p in zip(best, top, sure)]
 
 
 def segments(text: str | None, model: LanguageModel) -> list[tuple[int, str | None, float, int, str]]:
@@ -219,14 +262,24 @@ def segments(text: str | None, model: LanguageModel) -> list[tuple[int, str | No
     """
     if not text or not text.strip():
         return []
+    found = sentences_of(text)
+    return _segments(found, model.classify_all(found))
+
+
+def _segments(sentences: list[str], classes: list[tuple[str | None, float]]) -> list[tuple[int, str | None, float, int, str]]:
     told = []
-    for s in sentences_of(text):
-        lang, sure = model.classify(s)
+    for s, (lang, sure) in zip(sentences, classes):
         weak = len(_WORD.findall(s)) < 4 or sure < 0.5
         told.append([s, lang, sure, weak])
+    # the nearest sure sentence before and after each one
+    before, after = [None] * len(told), [None] * len(told)
+    for k in range(1, len(told)):
+        before[k] = before[k - 1] if told[k - 1][3] else told[k - 1]
+    for k in range(len(told) - 2, -1, -1):
+        after[k] = after[k + 1] if told[k + 1][3] else told[k + 1]
     for k, t in enumerate(told):
         if t[3]:
-            near = next((u for u in reversed(told[:k]) if not u[3]), None) or next((u for u in told[k + 1 :] if not u[3]), None)
+            near = before[k] or after[k]
             if near is not None and (t[1] is None or t[1] != near[1]):
                 t[1], t[2] = near[1], min(near[2], max(t[2], 0.5))
     out: list[list] = []
@@ -236,10 +289,10 @@ def segments(text: str | None, model: LanguageModel) -> list[tuple[int, str | No
             last = out[-1]
             last[2] = (last[2] * last[3] + sure * n) / max(1, last[3] + n)
             last[3] += n
-            last[4] += " " + s
+            last[4].append(s)
         else:
-            out.append([len(out), lang, sure, n, s])
-    return [tuple(x) for x in out]
+            out.append([len(out), lang, sure, n, [s]])
+    return [(*x[:4], " ".join(x[4])) for x in out]
 
 
 def languages_of(found: list[tuple], spec: LanguageSpec = LanguageSpec()) -> list[tuple[str, int, float]]:
@@ -263,7 +316,7 @@ def train(documents: DataFrame, spec: LanguageSpec = LanguageSpec()) -> Language
     labelled, count = [], dict.fromkeys(LANGUAGES, 0)
     for named, _, text in sorted(map(tuple, picked.collect())):
         for s in sentences_of(text):
-            if count[named] < spec.fit_sentences and len(s) < 500:
+            if count[named] < spec.fit_sentences and len(s) < spec.fit_sentence_chars:
                 labelled.append((s, named))
                 count[named] += 1
     return LanguageModel.fit(labelled, spec)
@@ -283,7 +336,9 @@ def detect(documents: DataFrame, model: LanguageModel | None = None, spec: Langu
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = LanguageModel(*shared.value)
         for pdf in parts:
-            found = [segments(t, m) for t in pdf["text"]]
+            sentences = [sentences_of(t) if isinstance(t, str) and t.strip() else [] for t in pdf["text"]]
+            classes = iter(m.classify_all([s for ss in sentences for s in ss]))
+            found = [_segments(ss, [next(classes) for _ in ss]) for ss in sentences]
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["doc_id"],

@@ -27,7 +27,8 @@ BLOCK_BYTES = 8 * 1024 * 1024
 
 _INSIDE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}]")
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}\p{Cf}\p{Default_Ignorable_Code_Point}]+(?:['’ʼ＇`´][\p{L}\p{N}\p{M}\p{Cf}]+)*")
-_TAG = regex.compile(r"</?[A-Za-z][A-Za-z0-9]{0,15}(?:\s[^<>]{0,200})?/?>|&(?:nbsp|amp|quot|lt|gt|#\d{1,6});")
+#: A tag of any length with attributes (name, or name = value), or an entity; matched without going back.
+_TAG = regex.compile(r"""</?[A-Za-z][A-Za-z0-9]*+(?:\s++[\w:.-]++(?:\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>]++))?+)*+\s*+/?>|&(?:nbsp|amp|quot|lt|gt|#\d++|#x[0-9A-Fa-f]++);""")
 
 
 def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -53,10 +54,8 @@ def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
 class LeakSpec:
     #: Words of the item that a passage holds at least.
     least_words: int = 14
-    #: One altered word in so many.
+    #: One altered word in so many; so an item of n words bears n // one_in alterations, and these are followed.
     one_in: int = 8
-    #: Alterations followed in each direction. A passage that counts has a part of 14 to 27 words that counts too.
-    reach: int = 4
 
 
 def _extend(item: list[str], doc: list[str], i: int, j: int, step: int, reach: int) -> list[int]:
@@ -136,11 +135,12 @@ class Matcher:
 
     def _best(self, item: list[str], doc: list[str], seeds: set[tuple[int, int]]) -> tuple[int, int, int, int] | None:
         spec, best = self.spec, None
+        reach = max(1, len(item) // spec.one_in)
         for p, q in sorted(seeds):
             if (p - 1, q - 1) in seeds:
                 continue  # the same run, begun earlier
-            right = _extend(item, doc, p, q, 1, spec.reach)
-            left = _extend(item, doc, p - 1, q - 1, -1, spec.reach)
+            right = _extend(item, doc, p, q, 1, reach)
+            left = _extend(item, doc, p - 1, q - 1, -1, reach)
             for el, gl in enumerate(left):
                 for er, gr in enumerate(right):
                     n, e = max(gl, 0) + gr, el + er

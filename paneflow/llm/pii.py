@@ -54,6 +54,9 @@ SHAPES = {
 }
 
 
+_NONE: frozenset[str] = frozenset()
+
+
 class Doc:
     """Tokens of the fields of one document."""
 
@@ -61,16 +64,16 @@ class Doc:
         self.fields = fields
         self.tokens: list[str] = []
         self.where: list[tuple[int, int, int]] = []
-        self.shapes: list[set[str]] = []
+        self.shapes: list[frozenset[str]] = []
         for k, text in enumerate(fields):
-            spans = {n: [m.span() for m in p.finditer(text)] for n, p in SHAPES.items()}
+            found = [(*m.span(), n) for n, p in SHAPES.items() for m in p.finditer(text)]
             if k and self.tokens:
-                self._add("\n", (k, 0, 0), set())
+                self._add("\n", (k, 0, 0), _NONE)
             for m in _TOKEN.finditer(text):
-                a, b = m.span()
-                self._add(m.group(), (k, a, b), {n for n, ss in spans.items() if any(x <= a and b <= y for x, y in ss)})
+                x, y = m.span()
+                self._add(m.group(), (k, x, y), frozenset(n for lo, hi, n in found if lo <= x and y <= hi) if found else _NONE)
 
-    def _add(self, token: str, at: tuple[int, int, int], shapes: set[str]) -> None:
+    def _add(self, token: str, at: tuple[int, int, int], shapes: frozenset[str]) -> None:
         self.tokens.append(token)
         self.where.append(at)
         self.shapes.append(shapes)
@@ -205,42 +208,155 @@ class SkipChainCRF:
         w[0] = 0
         return cls(w, c, s)
 
+    def node_scores(self, docs: list[Doc]) -> tuple[np.ndarray, np.ndarray]:
+        """(scores of all tokens of all documents, one after the other; where each document starts).
+
+        The same sums of weights as over ``Doc.features``, from tables: a row for each distinct token and place, and one
+        for each distinct mix of shapes and cues.
+        """
+        if not hasattr(self, "_tables"):
+            self._tables = _Tables(self.w)
+        return self._tables.scores(docs)
+
     def marginals(self, doc: Doc, rounds: int = 3) -> np.ndarray:
-        """Marginals of each token by loopy message passing: exact on the chain, repeated with the skip messages."""
-        k, n = len(LABELS), len(doc.tokens)
-        node = self.w[doc.features()].sum(1).astype(np.float64)
-        node[0] += self.chain[k, :k]
-        node[-1] += self.chain[:k, k]
-        t = np.exp(np.clip(self.chain[:k, :k].astype(np.float64), -8, 8))
-        skips = doc.skips()
+        """Marginals of each token of one document."""
+        return self.marginals_all([doc], rounds)[0]
+
+    def marginals_all(self, docs: list[Doc], rounds: int = 3) -> list[np.ndarray]:
+        """Marginals of each token by loopy message passing: exact on the chain, repeated with the skip messages.
+
+        All documents take each step together, so a step is a few array operations, whatever their number.
+        """
+        k = len(LABELS)
+        docs_with = [d for d in docs if d.tokens]
+        if not docs_with:
+            return [np.zeros((0, k)) for _ in docs]
+        node, starts = self.node_scores(docs_with)
+        size = np.asarray([len(d.tokens) for d in docs_with])
+        node[starts] += self.chain[k, :k]
+        node[starts + size - 1] += self.chain[:k, k]
+        phi0 = np.exp(node - node.max(1, keepdims=True))
+        edges = [(s + i, s + j) for d, s in zip(docs_with, starts) for a, b in d.skips() for i, j in ((a, b), (b, a))]
+        src, dst = (np.asarray([e[n] for e in edges], dtype=np.int64) for n in (0, 1))
+        back = np.arange(len(edges)) ^ 1  # an edge and its reverse stand side by side
+        msg = np.full((len(edges), k), 1 / k)
         e = np.exp(np.clip(self.skip.astype(np.float64), -4, 4))
-        msg = {(i, j): np.ones(k) / k for a, b in skips for i, j in ((a, b), (b, a))}
-        into: dict[int, list[int]] = defaultdict(list)
-        for i, j in msg:
-            into[j].append(i)
-        belief = np.zeros((n, k))
-        for r in range(rounds if skips else 1):
-            phi = node - node.max(1, keepdims=True)
-            phi = np.exp(phi)
-            for j, froms in into.items():
-                for i in froms:
-                    phi[j] = phi[j] * msg[i, j]
-            f, b = np.empty((n, k)), np.empty((n, k))
-            f[0] = phi[0] / phi[0].sum()
-            for i in range(1, n):
-                v = (f[i - 1] @ t) * phi[i]
-                f[i] = v / v.sum()
-            b[-1] = 1.0
-            for i in range(n - 2, -1, -1):
-                v = t @ (phi[i + 1] * b[i + 1])
-                b[i] = v / v.sum()
-            belief = f * b
-            belief /= belief.sum(1, keepdims=True)
-            if r + 1 < rounds and skips:
-                for i, j in list(msg):
-                    out = (belief[i] / np.maximum(msg.get((j, i), 1.0), 1e-12)) @ e
-                    msg[i, j] = 0.5 * msg[i, j] + 0.5 * out / out.sum()
-        return belief
+        belief = self._chain_pass(phi0, starts, size)
+        if len(edges):
+            some = np.unique(np.searchsorted(starts, dst, side="right") - 1)
+            rows = np.concatenate([np.arange(starts[i], starts[i] + size[i]) for i in some])
+            new = np.zeros(len(node), dtype=np.int64)
+            new[rows] = np.arange(len(rows))
+            src, dst, base = new[src], new[dst], phi0[rows]
+            at, n = new[starts[some]], size[some]
+            phi = base * (1 / k) ** np.bincount(dst, minlength=len(rows))[:, None]
+            own = self._chain_pass(phi, at, n)
+            for _ in range(rounds - 1):
+                out = (own[src] / np.maximum(msg[back], 1e-12)) @ e
+                msg = 0.5 * msg + 0.5 * out / out.sum(1, keepdims=True)
+                phi = base.copy()
+                np.multiply.at(phi, dst, msg)
+                own = self._chain_pass(phi, at, n)
+            belief[rows] = own
+        parts = iter(np.split(belief, starts[1:]))
+        return [next(parts) if d.tokens else np.zeros((0, k)) for d in docs]
+
+    def _chain_pass(self, phi: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Forward and backward along all chains at once, the longest first."""
+        k = len(LABELS)
+        t = np.exp(np.clip(self.chain[:k, :k].astype(np.float64), -8, 8))
+        order = np.argsort(-size, kind="stable")
+        at, n = starts[order], size[order]
+        last = at + n - 1
+        f, b = np.empty_like(phi), np.empty_like(phi)
+        f[at] = phi[at] / phi[at].sum(1, keepdims=True)
+        b[last] = 1.0
+        for step in range(1, int(n[0])):
+            m = int(np.searchsorted(-n, -step, side="left"))  # chains of more than ``step`` tokens
+            i = at[:m] + step
+            v = (f[i - 1] @ t) * phi[i]
+            f[i] = v / v.sum(1, keepdims=True)
+            j = last[:m] - step
+            v = (phi[j + 1] * b[j + 1]) @ t.T
+            b[j] = v / v.sum(1, keepdims=True)
+        out = f * b
+        return out / out.sum(1, keepdims=True)
+
+
+class _Tables:
+    """Sums of node weights by distinct token and place, and by distinct mix of shapes, cues and gap."""
+
+    PLACES = (0, -2, -1, 1, 2)
+
+    def __init__(self, w: np.ndarray):
+        self.w = w.astype(np.float64)
+        self.ids: dict[str, int] = {}
+        self.rows: list[np.ndarray] = []
+        self.shape_of: list[str] = []
+        self.cue_of: list[int] = []
+        self.ends = {d: self._sum([f"{d}END"]) for d in self.PLACES[1:]}
+        self.mixes: dict[tuple, np.ndarray] = {}
+        self.cues = list(CUES)
+
+    def _sum(self, features: list[str]) -> np.ndarray:
+        return self.w[[_slot(x) for x in features]].sum(0) if features else np.zeros(self.w.shape[1])
+
+    def _id(self, token: str) -> int:
+        got = self.ids.get(token)
+        if got is None:
+            base = _basic(token)
+            got = self.ids[token] = len(self.rows)
+            self.rows.append(np.stack([self._sum([f"0{x}" for x in base]), *[self._sum([f"{d}{x}" for x in base[:5]]) for d in self.PLACES[1:]]]))
+            self.shape_of.append(base[1])
+            cue = _CUE_OF.get(token.lower())
+            self.cue_of.append(1 << self.cues.index(cue) if cue else 0)
+        return got
+
+    def _mix(self, key: tuple) -> np.ndarray:
+        got = self.mixes.get(key)
+        if got is None:
+            shapes, h, seen, near, gap = key
+            names = lambda mask: [c for i, c in enumerate(self.cues) if mask >> i & 1]
+            f = [f"s{x}" for x in shapes] + [f"s{x}|{h}" for x in shapes] + [f"c{x}" for x in names(seen)] + [f"n{x}" for x in names(near)] + [f"n{x}|{y}" for x in names(near) for y in shapes]
+            got = self.mixes[key] = self._sum(f + ([gap] if gap else []))
+        return got
+
+    def scores(self, docs: list[Doc]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.rows) > 200_000:
+            self.__init__(self.w)
+        ids = np.asarray([self._id(t) for d in docs for t in d.tokens], dtype=np.int64)
+        size = np.asarray([len(d.tokens) for d in docs])
+        starts = np.cumsum(size) - size
+        place = np.arange(len(ids)) - np.repeat(starts, size)
+        left = np.repeat(size, size) - 1 - place
+        used, ids_here = np.unique(ids, return_inverse=True)
+        table = np.stack([self.rows[i] for i in used])
+        out = table[ids_here, 0]
+        for p, d in enumerate(self.PLACES[1:], 1):
+            there = place + d >= 0 if d < 0 else left >= d
+            near = np.flatnonzero(there)
+            out[near] += table[ids_here[near + d], p]
+            out[~there] += self.ends[d]
+        cue = np.asarray(self.cue_of)[ids]
+        line_end = np.asarray([t == "\n" for d in docs for t in d.tokens])
+        seen, close = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+        open_ = np.ones(len(ids), dtype=bool)
+        for d in range(1, 8):
+            i = np.flatnonzero(place >= d)
+            seen[i] |= cue[i - d]
+            if d <= 3:
+                open_[i] &= ~line_end[i - d]
+                j = i[open_[i]]
+                close[j] |= cue[j - d]
+        n = 0
+        for d in docs:
+            before = None
+            for at, shapes in zip(d.where, d.shapes):
+                gap = "" if before is None or before[0] != at[0] else "glued" if before[2] == at[1] else "apart"
+                before = at
+                out[n] += self._mix((shapes, self.shape_of[ids[n]] if shapes else "", seen[n], close[n], gap))
+                n += 1
+        return out, starts
 
 
 def valid(kind: str, text: str) -> bool:
@@ -261,20 +377,25 @@ def valid(kind: str, text: str) -> bool:
 
 def spans(doc: Doc, crf: SkipChainCRF) -> list[tuple[int, int, int, str, float]]:
     """(field, start, end, label, confidence) of the spans that hold."""
-    if not doc.tokens:
+    return spans_of(doc, crf.marginals(doc)) if doc.tokens else []
+
+
+def spans_of(doc: Doc, m: np.ndarray) -> list[tuple[int, int, int, str, float]]:
+    """As ``spans``, from the marginals of the tokens."""
+    if not len(m):
         return []
-    m = crf.marginals(doc)
-    best = m.argmax(1)
+    best, top = m.argmax(1), m.max(1)
     out: list[list] = []
-    for i, (field, a, b) in enumerate(doc.where):
+    for i in map(int, np.flatnonzero(best)):
+        field, a, b = doc.where[i]
         label = LABELS[int(best[i])]
-        if label == "O" or b == a:
+        if b == a:
             continue
         if out and out[-1][0] == field and out[-1][3] == label and out[-1][5] == i - 1:
             out[-1][2], out[-1][5] = b, i
-            out[-1][4] = max(out[-1][4], float(m[i].max()))
+            out[-1][4] = max(out[-1][4], float(top[i]))
         else:
-            out.append([field, a, b, label, float(m[i].max()), i])
+            out.append([field, a, b, label, float(top[i]), i])
     return [(f, a, b, k, p) for f, a, b, k, p, _ in out if valid(k, doc.fields[f][a:b])]
 
 
@@ -288,6 +409,30 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
     return text
 
 
+@lru_cache(maxsize=1)
+def trained() -> SkipChainCRF:
+    """The field with its default parameters: training is deterministic and knows no data, so once a process is enough."""
+    return SkipChainCRF.fit()
+
+
+#: Tokens whose marginals are computed together.
+TOGETHER = 100_000
+
+
+def found_in(docs: list[Doc], crf: SkipChainCRF) -> list[list[tuple[int, int, int, str, float]]]:
+    """Spans of each document, computed for so many documents at once as hold about ``TOGETHER`` tokens."""
+    out: list = []
+    part: list[Doc] = []
+    size = 0
+    for k, d in enumerate(docs):
+        part.append(d)
+        size += len(d.tokens)
+        if size >= TOGETHER or k + 1 == len(docs):
+            out += [spans_of(x, m) for x, m in zip(part, crf.marginals_all(part))]
+            part, size = [], 0
+    return out
+
+
 def find_personal_data(nodes: DataFrame, key: str = "view_node_id", fields: tuple[str, ...] = ("name", "text"), crf: SkipChainCRF | None = None) -> DataFrame:
     """(key, field, redacted, found) of each non-null field; found is an array of (kind, start, end, text, confidence).
 
@@ -295,7 +440,7 @@ def find_personal_data(nodes: DataFrame, key: str = "view_node_id", fields: tupl
     deliveries of a key the latest holds. Labels that came with the rows are not used. Whole texts are read; a document
     is independent of all others, so no key is hot.
     """
-    crf = SkipChainCRF.fit() if crf is None else crf
+    crf = trained() if crf is None else crf
     shared = nodes.sparkSession.sparkContext.broadcast((crf.w, crf.chain, crf.skip))
     one = latest(nodes.where(F.col(key).isNotNull()).select(key, "received_at", *fields), [key], "received_at", list(fields)) if "received_at" in nodes.columns else nodes.select(key, *fields)
     kind = dict(nodes.dtypes)[key]
@@ -305,15 +450,13 @@ def find_personal_data(nodes: DataFrame, key: str = "view_node_id", fields: tupl
         known: dict[tuple, list] = {}
         for pdf in parts:
             rows = []
-            for i, *texts in pdf[[key, *fields]].itertuples(index=False, name=None):
-                texts = [t if isinstance(t, str) else None for t in texts]
-                doc_key = tuple(texts)
-                if (got := known.get(doc_key)) is None:
-                    doc = Doc([t or "" for t in texts])
-                    got = spans(doc, model)
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[doc_key] = got
+            all_texts = [tuple(t if isinstance(t, str) else None for t in x) for x in pdf[[*fields]].itertuples(index=False, name=None)]
+            if len(known) > 50_000:
+                known.clear()
+            todo = list(dict.fromkeys(t for t in all_texts if t not in known))
+            known.update(zip(todo, found_in([Doc([t or "" for t in ts]) for ts in todo], model)))
+            for i, texts in zip(pdf[key], all_texts):
+                got = known[texts]
                 for f, (name, t) in enumerate(zip(fields, texts)):
                     if t is not None:
                         mine = [(a, b, k, p) for g, a, b, k, p in got if g == f]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -17,14 +18,6 @@ from pyspark.sql import functions as F
 
 from paneflow.session import ship_package, small
 
-# Look-alikes used where the ICU library cannot be asked.
-PLAIN_LOOKALIKES = {
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v",
-    "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "…": "...", "‐": "-", "‑": "-", "–": "-", "−": "-", "’": "'", "‘": "'", "µ": "μ", "×": "x",
-}
-
 #: Invisible characters: default ignorable code points, bidirectional marks, joiners, byte order mark.
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￹-￻\U000e0000-\U000e0fff]")
 _SPACE = re.compile(r"[\s\u0085   -     　⠀]+")
@@ -36,12 +29,23 @@ def _wide(c: str) -> str:
     return "".join(chr(int(x, 16)) for x in d.split()[1:]) if d.startswith(("<wide>", "<narrow>")) else c
 
 
-def build_table(spark: SparkSession | None = None) -> dict[str, str]:
-    """Prototype of every non-ASCII look-alike, letter case kept.
+_TABLE: dict[str, dict[str, str]] = {}
+
+
+def build_table(spark: SparkSession) -> dict[str, str]:
+    """Prototype of every non-ASCII look-alike, letter case kept, of all assigned code points of all planes.
 
     Unicode puts I, l, 1 and | (and O and 0) under one prototype; a look-alike of one of these gets the one of its own
-    kind: a capital letter looks like I or O, a digit like 1 or 0, anything else like l or o.
+    kind: a capital letter looks like I or O, a digit like 1 or 0, anything else like l or o. Where the session has no
+    JVM at hand, or no ICU library in it, this raises: a shorter list would give other results without a word. Such a
+    session is given a table that was built elsewhere.
     """
+    if "icu" not in _TABLE:
+        _TABLE["icu"] = _ask_icu(spark)
+    return _TABLE["icu"]
+
+
+def _ask_icu(spark: SparkSession) -> dict[str, str]:
     table: dict[str, str] = {}
     for cp in range(0x80, 0x110000):
         c = chr(cp)
@@ -49,12 +53,11 @@ def build_table(spark: SparkSession | None = None) -> dict[str, str]:
             table[c] = w
     try:
         icu = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
-        cps = [cp for cp in [*range(0x80, 0xD800), *range(0xE000, 0x20000)] if unicodedata.category(chr(cp)) not in ("Cn", "Co", "Cc", "Zl", "Zp") and unicodedata.normalize("NFD", chr(cp)) == chr(cp)]
-        got = icu.getSkeleton("\n".join(map(chr, cps))).split("\n")
         rn = icu.getSkeleton("m")
-        found = dict(zip(map(chr, cps), got, strict=True))
-    except Exception:  # no such library or no JVM at hand: the plain list
-        found, rn = PLAIN_LOOKALIKES, "rn"
+    except Exception as e:
+        raise RuntimeError("the look-alike table needs the ICU library of the session's JVM; give `table` where there is none") from e
+    cps = [cp for cp in [*range(0x80, 0xD800), *range(0xE000, 0x110000)] if unicodedata.category(chr(cp)) not in ("Cn", "Co", "Cc", "Zl", "Zp") and unicodedata.normalize("NFD", chr(cp)) == chr(cp)]
+    found = dict(zip(map(chr, cps), icu.getSkeleton("\n".join(map(chr, cps))).split("\n"), strict=True))
     for c, proto in found.items():
         if c in table or proto == c:
             continue
@@ -98,23 +101,14 @@ def normalized(df: DataFrame, text: str, table: dict[str, str] | None = None, to
     table = build_table(df.sparkSession) if table is None else table
 
     @F.pandas_udf("display string, look string, skeleton string")
-    def forms(s: pd.Series) -> pd.DataFrame:
-        f = _forms(table)
-        return pd.DataFrame([f.all(t) if t is not None else (None, None, None) for t in s], columns=["display", "look", "skeleton"])
+    def forms(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        f = Forms(table)
+        for s in parts:
+            yield pd.DataFrame([f.all(t) if t is not None else (None, None, None) for t in s], columns=["display", "look", "skeleton"])
 
     return df.withColumn(to, forms(F.col(text)))
 
 
-_CACHE: dict[int, Forms] = {}
-
-
-def _forms(table: dict[str, str]) -> Forms:
-    key = len(table)
-    if key not in _CACHE:
-        _CACHE[key] = Forms(table)
-    return _CACHE[key]
-
-
 def match_key(look: Column) -> Column:
     """NormalizedText.matchKey: the look in lower case."""
     return F.lower(look)

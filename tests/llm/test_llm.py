@@ -9,7 +9,7 @@ import pytest
 pytest.importorskip("paneflow.llm")
 
 from paneflow.llm.encoding import ForcedBoundaryEncoder, encode_corpus, encoder
-from paneflow.llm.languages import LanguageModel, LanguageSpec, languages_of, normal_label, prose_of, segments, wrong_labels
+from paneflow.llm.languages import LanguageModel, LanguageSpec, languages_of, normal_label, prose_of, segments, vector, wrong_labels
 from paneflow.llm.leakage import LeakSpec, Matcher, leaks, words_of
 from paneflow.llm.linkage import LabelModel, link
 from paneflow.llm.pii import Doc, SkipChainCRF, find_personal_data, spans
@@ -46,7 +46,32 @@ def test_labels_shown(spark, table):
     assert [r.f.display for r in normalized(spark.createDataFrame([(None,), ("",), ("ｘ" * 50_000,)], "text string"), "text", table, "f").collect()][2] == "x" * 50_000
 
 
+def test_tables_of_equal_size_are_two_tables(spark):
+    df = spark.createDataFrame([("А",), ("В",)], "t string")
+    read = lambda t: {r.t: r.f.look for r in normalized(df, "t", t, "f").collect()}
+    assert read({"А": "A"}) == {"А": "A", "В": "В"} and read({"В": "B"}) == {"А": "А", "В": "B"}
+
+
+def test_no_icu_is_an_error():
+    from paneflow.llm import text_forms
+
+    with pytest.raises(RuntimeError):
+        text_forms._ask_icu(object())
+
+
+def test_look_alikes_of_high_planes(table):
+    assert table["\U0001d400"] == "A" and table["\U0001d7ce"] == "0" and any(ord(c) > 0x1FFFF for c in table)
+
+
 # ---- encoding
+@pytest.mark.skipif(not os.path.exists(VOCAB), reason="no vocabulary here")
+@pytest.mark.parametrize("n", [63, 64, 65, 66, 200])
+def test_words_at_the_edge_of_the_inner_cuts(n):
+    enc = encoder(VOCAB)
+    for t in ("xq" * n)[:n], ("Жы" * n)[: n // 2], " " + ("aB9" * n)[:n], "é" * n:
+        assert enc.encode(t) == enc.encoding.encode_ordinary(t)
+
+
 @pytest.mark.skipif(not os.path.exists(VOCAB), reason="no vocabulary here")
 def test_encoding_equals_the_plain_way(spark):
     enc = encoder(VOCAB)
@@ -83,6 +108,29 @@ def test_passages(text, n):
     assert len(Matcher([(1, ITEM), (2, "too short"), (3, None)]).passages(text)) == n
 
 
+def test_longest_passage_with_many_alterations():
+    words = [f"w{i}" for i in range(160)]
+    text = " ".join("zz" if k % 10 == 5 else w for k, w in enumerate(words))
+    ((_, a, b, n, e),) = Matcher([(1, " ".join(words))]).passages(text)
+    assert (n, e) == (160, 16) and text[a:b] == text
+
+
+def test_long_markup_is_no_word():
+    tag = '<a href="' + "x" * 500 + '" title="y">'
+    assert words_of(f"one {tag}two</a> &#1234567890; three")[0] == ["one", "two", "three"]
+    assert words_of("if a <b then three words stay, 5 > 4")[0][-6:] == ["then", "three", "words", "stay", "5", "4"]
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    from paneflow.llm import leakage
+
+    docs = spark.createDataFrame([(1, ITEM), (2, ITEM[::-1] + " " + ITEM)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(i, ITEM) for i in range(9)], "item_id bigint, text string")
+    whole = sorted(map(tuple, leaks(docs, items).collect()))
+    monkeypatch.setattr(leakage, "BLOCK_BYTES", 200)
+    assert sorted(map(tuple, leaks(docs, items).collect())) == whole and len(whole) == 18
+
+
 def brute(item, doc, least=14, one_in=8):
     """Best alignment by plain dynamic programming over all starts; true if a passage counts."""
     a, b = words_of(item)[0], words_of(doc)[0]
@@ -151,6 +199,21 @@ def test_segments_and_labels(spark):
     assert wrong_labels(docs.limit(0), m).count() == 0
 
 
+def test_nothing_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, EN, None), (2, "", "en"), (3, None, "de")], "doc_id bigint, text string, lang string")
+    assert wrong_labels(docs).count() == 0 and wrong_labels(docs.limit(0)).count() == 0
+
+
+def test_words_and_lines_of_any_length():
+    m = toy_model()
+    long = "donaudampfschifffahrtsgesellschaftskapitänsmützen"
+    assert vector(long, 8192)[1].sum() > 4 * len(long) - 4 and vector("x" * 100_000, 8192)[1].sum() > 390_000
+    assert prose_of("a <span class='" + "x" * 200 + "'>b</span> c")[0].split() == ["a", "b", "c"]
+    assert prose_of("-- sent from my " + "very " * 30 + "old machine") == [] and prose_of("Edit: typo") == []
+    assert prose_of("-- " + EN) == [EN]
+    assert [m.classify(x) for x in (EN, DE, FR, "")] == m.classify_all([EN, DE, FR, ""])
+
+
 def test_label_names(spark):
     rows = [("en_GB", "en"), ("pt-BR", "pt"), ("Deutsch", "de"), ("русский", "ru"), ("N/A", None), ("", None), (None, None), ("xx", None), ("pl", "other"), (" FR ", "fr")]
     df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(rows)], "i int, a string").select("i", normal_label(F.col("a")).alias("n"))
@@ -186,6 +249,35 @@ def test_found_and_redacted(spark, crf):
     assert find_personal_data(df.limit(0), crf=crf).count() == 0
 
 
+def test_tables_give_the_sums_of_the_features(crf):
+    import numpy as np
+
+    docs = [Doc(["".join(p for p, _ in x), "Anna Feldberg\n12 Main Street"]) for x in examples(40, seed=3)] + [Doc(["", "a"])]
+    got, starts = crf.node_scores(docs)
+    want = np.concatenate([crf.w[d.features()].sum(1) for d in docs])
+    assert np.abs(got - want).max() < 1e-4 and len(starts) == len(docs)
+    together, alone = crf.marginals_all([*docs, Doc([""])]), [crf.marginals(d) for d in docs]
+    assert all(np.allclose(a, b) for a, b in zip(together, alone)) and together[-1].shape == (0, 6)
+
+
+def test_chain_marginals_against_brute_force(crf):
+    import itertools
+
+    import numpy as np
+
+    doc = Doc(["Dr. Feldberg 5"])
+    node, k, n = crf.node_scores([doc])[0], 6, len(doc.tokens)
+    node[0] += crf.chain[k, :k]
+    node[-1] += crf.chain[:k, k]
+    c = np.clip(crf.chain[:k, :k].astype(float), -8, 8)
+    want = np.zeros((n, k))
+    for ys in itertools.product(range(k), repeat=n):
+        p = np.exp(sum(node[i, y] for i, y in enumerate(ys)) + sum(c[a, b] for a, b in zip(ys, ys[1:])) - node.max(1).sum())
+        for i, y in enumerate(ys):
+            want[i, y] += p
+    assert np.allclose(crf.marginals(doc), want / want.sum(1, keepdims=True))
+
+
 def test_skip_edges_and_long_texts(crf):
     doc = Doc(["Guest Anna Feldberg\n" + "word " * 3000 + "\nFeldberg"])
     assert len(doc.skips()) == 1 and crf.marginals(doc).shape == (len(doc.tokens), 6) and Doc([""]).skips() == []
