@@ -1,8 +1,10 @@
 """Snapshot changes against brute force, and edge cases."""
 
+import os
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from paneflow.operators.snapshot_changes import ChangeSpec, SnapshotIndex, changes_between, snapshot_pairs
 
@@ -57,11 +59,32 @@ def test_values_are_fetched_for_changes(spark):
 
 def test_index_is_swapped_after_each_snapshot(spark, tmp_path):
     index = SnapshotIndex(str(tmp_path), ChangeSpec(buckets=4))
-    one = spark.createDataFrame([node("s1", "a"), node("s1", "b")], NODE)
-    two = spark.createDataFrame([node("s2", "a", "z"), node("s2", "c")], NODE)
-    assert {(r.node_id, r.change) for r in index.advance(one).collect()} == {("a", "added"), ("b", "added")}
-    assert {(r.node_id, r.change, r.old.name if r.old else None) for r in index.advance(two, store=one).collect()} == {("a", "changed", "a"), ("b", "removed", "a"), ("c", "added", None)}
-    assert index.advance(two).count() == 0
+    entry = "series string, key string, n int, h bigint, x double, y double, width double, height double"
+    rows = lambda *r: spark.createDataFrame([(s, k, 0, h, 0.0, 0.0, 1.0, 1.0) for s, k, h in r], entry)
+    due = lambda *r: spark.createDataFrame(list(r), "series string, follows boolean").withColumn("last", F.lit(0))
+    got = lambda df: {(r.series, r.key, r.change) for r in df.collect()}
+    assert got(index.advance(rows(("p", "a", 1), ("p", "b", 2), ("q", "z", 1)), due(("p", False), ("q", False)))) == set()
+    first = index.current(spark)
+    # q is not delivered and keeps its entries
+    assert got(index.advance(rows(("p", "a", 9), ("p", "c", 3)), due(("p", True)))) == {("p", "a", "changed"), ("p", "b", "removed"), ("p", "c", "added")}
+    assert index.current(spark) != first and not os.path.exists(f"{first}/changed=false")
+    assert got(index.advance(rows(("p", "a", 9), ("p", "c", 3)), due(("p", True), ("q", True)))) == {("q", "z", "removed")}
+    # another session, which does not know the tables, goes on where this one ended
+    other = spark.newSession()
+    last = SnapshotIndex(str(tmp_path), ChangeSpec(buckets=4))
+    spark.sql(f"DROP TABLE {last._name(last.current(spark))}")
+    moved = other.createDataFrame([("p", "a", 0, 9, 0.6, 0.0, 1.0, 1.0), ("p", "c", 0, 3, 0.5, 0.0, 1.0, 1.0)], entry)
+    assert got(last.advance(moved, other.createDataFrame([("p", True, 0)], "series string, follows boolean, last int"))) == {("p", "a", "changed")}
+
+
+def test_a_probe_shuffles_nothing(spark, tmp_path):
+    index = SnapshotIndex(str(tmp_path), ChangeSpec(buckets=4))
+    df = spark.createDataFrame([("p", f"k{i}", 0, i, 0.0, 0.0, 1.0, 1.0) for i in range(50)], "series string, key string, n int, h bigint, x double, y double, width double, height double")
+    a = index.receive(df)
+    from pyspark.sql import Window as W
+
+    plan = a.withColumn("p", F.lag("n").over(W.partitionBy("series", "key").orderBy("n")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
 
 
 @pytest.mark.parametrize("seed", [1, 2])
