@@ -37,13 +37,13 @@ def p4_changes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    return drift(table(spark, root, "raw_records"))
+    return drift(table(spark, root, "raw_records"), RECORD_FIELDS)
 
 
 def p5_records(spark: SparkSession, root: str) -> DataFrame:
     """All records in one table; every reported rename is approved."""
     records = latest(table(spark, root, "raw_records"), ["record_id"], "delivered_at")
-    renames = drift(records).where("kind = 'renamed_property'").select("feed", "file_no", "path", "new_path")
+    renames = drift(records, RECORD_FIELDS).where("kind = 'renamed_property'").select("feed", "file_no", "path", "new_path")
     return rescue_ingest(records, RECORD_FIELDS, cut(renames))
 
 
