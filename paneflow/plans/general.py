@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paneflow.operators.schema_drift import Field, drift, rescue_ingest
 from paneflow.operators.snapshot_changes import changes_between
-from paneflow.operators.units import normalize_lengths
+from paneflow.operators.units import contradictions, normalize_lengths, read_lengths, withheld_units
 from paneflow.session import cut
 from paneflow.sources.tables import latest, table
 
@@ -47,15 +47,23 @@ def p5_records(spark: SparkSession, root: str) -> DataFrame:
     return rescue_ingest(records, RECORD_FIELDS, cut(renames))
 
 
+_P6 = ("length_readings", "dom_nodes", "captures")
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    return p6_lengths(spark, root).where("contradicts").select("reading_id")
+    return contradictions(*[table(spark, root, n) for n in _P6])
 
 
 def p6_lengths(spark: SparkSession, root: str) -> DataFrame:
-    return normalize_lengths(table(spark, root, "length_readings"), table(spark, root, "dom_nodes"), table(spark, root, "captures"))
+    return normalize_lengths(*[table(spark, root, n) for n in _P6])
+
+
+def p6_units(spark: SparkSession, root: str) -> DataFrame:
+    """Stated units, kept from the model, and what it says of them."""
+    return withheld_units(cut(read_lengths(*[table(spark, root, n) for n in _P6])))
 
 
-QUERIES = {"p4_found": p4_found, "p4_changes": p4_changes, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_lengths": p6_lengths}
+QUERIES = {"p4_found": p4_found, "p4_changes": p4_changes, "p5_found": p5_found, "p5_records": p5_records, "p6_found": p6_found, "p6_lengths": p6_lengths, "p6_units": p6_units}
 
 _P4 = """
 WITH n AS (
