@@ -124,11 +124,11 @@ def clamp01(c: Column) -> Column:
 
 
 def visibility(r: Column, vw: Column, vh: Column, shown: Column) -> Column:
-    """hidden, offscreen, visible or clipped, of a rectangle relative to the viewport."""
-    e = EDGE_EPSILON
-    away = (r["x"] + r["width"] <= e) | (r["y"] + r["height"] <= e) | (r["x"] >= vw - e) | (r["y"] >= vh - e)
-    inside = (r["x"] >= -e) & (r["y"] >= -e) & (r["x"] + r["width"] <= vw + e) & (r["y"] + r["height"] <= vh + e)
-    return F.when(~shown | r.isNull(), "hidden").when(away, "offscreen").when(inside, "visible").otherwise("clipped")
+    """hidden, offscreen (nothing of it in the viewport), visible or clipped, of a rectangle relative to the viewport."""
+    w = F.least(r["x"] + r["width"], vw) - F.greatest(r["x"], F.lit(0.0))
+    h = F.least(r["y"] + r["height"], vh) - F.greatest(r["y"], F.lit(0.0))
+    whole = (w >= r["width"] - EDGE_EPSILON) & (h >= r["height"] - EDGE_EPSILON)
+    return F.when(~F.coalesce(shown, F.lit(True)) | r.isNull(), "hidden").when((w <= 0) | (h <= 0), "offscreen").when(whole, "visible").otherwise("clipped")
 
 
 def visible_part(r: Column, vw: Column, vh: Column) -> Column:
@@ -145,12 +145,8 @@ def normalized_in_viewport(r: Column, vw: Column, vh: Column) -> Column:
     return F.when(ok, n)
 
 
-def frame_transform(frames: Column, frame_id: Column) -> Column:
-    """Transform from a frame to the document, composed up the chain of parents in an array of frames.
-
-    A frame without transform stands where its parent does. A frame that is unknown, or whose chain runs in a cycle
-    or to an unknown parent, has the identity.
-    """
+def _climb(frames: Column, frame_id: Column) -> Column:
+    """Struct (at, t, lost) after climbing from a frame through an array of frames: where it ended (null at the top), the transform so far, whether a frame was unknown."""
     start = F.struct(frame_id.alias("at"), affine(*IDENTITY).alias("t"), F.lit(False).alias("lost"))
 
     def up(acc: Column, _: Column) -> Column:
@@ -160,4 +156,18 @@ def frame_transform(frames: Column, frame_id: Column) -> Column:
 
         return F.when(acc["at"].isNull(), acc).otherwise(bind(F.get(F.filter(frames, lambda x: x["frame_id"] == acc["at"]), F.lit(0)), step))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(frames))), start, up, lambda done: F.when(done["at"].isNull() & ~done["lost"], done["t"]).otherwise(affine(*IDENTITY)))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(frames))), start, up)
+
+
+def frame_transform(frames: Column, frame_id: Column) -> Column:
+    """Transform from a frame to the document, composed up the chain of parents in an array of frames.
+
+    A frame without transform stands where its parent does; an unknown parent stands at the document. A frame that is
+    unknown, or whose chain runs in a cycle, has the identity.
+    """
+    return bind(_climb(frames, frame_id), lambda done: F.when(done["at"].isNull(), done["t"]).otherwise(affine(*IDENTITY)))
+
+
+def frame_cycle(frames: Column, frame_id: Column) -> Column:
+    """Whether the chain of parents of a frame runs in a cycle."""
+    return bind(_climb(frames, frame_id), lambda done: done["at"].isNotNull() & ~done["lost"])

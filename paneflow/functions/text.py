@@ -15,10 +15,16 @@ _WHITE = "[\\\\s\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000
 
 
 @F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
+def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t) if t is not None else None)
 
 
+def nfc(text: Column) -> Column:
+    """Canonical composition; texts of ASCII alone, which are composed already, are not sent to Python's tables."""
+    odd = text.rlike("[^\\x00-\\x7F]")
+    return F.when(odd, _nfc(F.when(odd, text))).otherwise(text)
+
+
 def match_text(display: Column, redacted: Column | None = None) -> Column:
     """Composed, white and zero-width space collapsed, trimmed, lower case; empty if redacted."""
     key = F.lower(F.trim(F.regexp_replace(nfc(display), _WHITE, " ")))
@@ -38,10 +44,20 @@ def patch_tokens(width: Column, height: Column, patch: int) -> Column:
     return (F.ceil(width / patch) * F.ceil(height / patch)).cast("bigint")
 
 
+#: The marks around untrusted content, and what takes their place inside it (fixed values).
+UNTRUSTED_OPEN, UNTRUSTED_CLOSE = "<<<UNTRUSTED_UI_CONTENT>>>", "<<<END_UNTRUSTED_UI_CONTENT>>>"
+UNTRUSTED_REMOVED = "[untrusted-marker-removed]"
+
+
 def sanitize(text: Column) -> Column:
-    """Untrusted text with the delimiters neutralised and control characters other than tab and line ends removed."""
-    quiet = F.replace(F.replace(text, F.lit("<<<"), F.lit("<_<_<")), F.lit(">>>"), F.lit(">_>_>"))
-    return F.regexp_replace(quiet, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")
+    """Untrusted text with the two marks taken out and control characters other than tab and line ends removed."""
+    quiet = F.replace(F.replace(text, F.lit(UNTRUSTED_OPEN), F.lit(UNTRUSTED_REMOVED)), F.lit(UNTRUSTED_CLOSE), F.lit(UNTRUSTED_REMOVED))
+    return F.regexp_replace(quiet, "[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+
+
+def delimit(text: Column) -> Column:
+    """A serialized view inside the marks of untrusted content."""
+    return F.concat(F.lit(UNTRUSTED_OPEN + "\n"), text, F.lit("\n" + UNTRUSTED_CLOSE))
 
 
 def canonical_color(text: Column) -> Column:
@@ -71,13 +87,25 @@ def css_length_px(text: Column, number: Column) -> Column:
     return F.when(~F.isnan(px) & (F.abs(px) <= 1e7), px)
 
 
-def url_identity(url: Column, viewport: Column | None = None) -> Column:
-    """Struct of location-independent url, route and id slug: a file keeps its base name only, others are unchanged."""
+def url_identity(url: Column) -> Column:
+    """Struct of location-independent url, route and capture id: a file keeps its base name and query only, others are unchanged.
+
+    The id is the address without its scheme, with a hyphen for each run of other characters than letters, digits, dots,
+    underscores and hyphens, and without hyphens at its ends: ``cap_`` and 96 characters of it; ``cap_page`` if
+    nothing is left.
+    """
     file = url.startswith("file:")
-    path = F.regexp_extract(url, r"^[a-z]+://[^/?#]*([^?#]*)", 1)
-    query = F.regexp_extract(url, r"(\?[^#]*)", 1)
-    name = F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"([^/]*)$", 1)
+    path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1)
+    name = F.regexp_extract(F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), "/+$", ""), r"([^/]*)$", 1)
     kept = F.when(file, F.concat(F.lit("file:///"), name, query)).otherwise(url)
     route = F.when(file, F.concat(F.lit("/"), name, query)).otherwise(F.concat(F.when(path == "", "/").otherwise(path), query))
-    slug = F.substring(F.concat(F.lit("cap_"), F.regexp_replace(F.regexp_replace(kept, "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")), 1, 96)
-    return F.struct(kept.alias("url"), route.alias("route"), slug.alias("slug"))
+    bare = F.regexp_replace(kept, "^[A-Za-z]+://", "")
+    slug = F.substring(F.regexp_replace(F.regexp_replace(bare, "[^A-Za-z0-9._-]+", "-"), "^-+|-+$", ""), 1, 96)
+    return F.struct(kept.alias("url"), route.alias("route"), F.concat(F.lit("cap_"), F.when(slug == "", "page").otherwise(slug)).alias("slug"))
+
+
+def screenshot_ref(capture_id: Column, frame_id: Column) -> Column:
+    """The logical reference of a frame's screenshot."""
+    safe = lambda c: F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9._-]+", "-"), "^-+|-+$", ""), F.lit("")), F.lit("unknown"))
+    return F.concat(F.lit("artifact://capture/"), safe(capture_id), F.lit("/"), safe(frame_id), F.lit("/screenshot.png"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from paneflow import schemas as S
 from paneflow.functions import geometry as G
@@ -12,9 +11,8 @@ from paneflow.functions.text import canonical_color, css_length_px
 from paneflow.session import small
 from paneflow.sources.tables import latest
 
-
 #: What fusion reads of a derived row.
-DERIVED = ["obs_ord", "item_ord", "kind", "rect_image_px", "text", "confidence"]
+DERIVED = ["obs_ord", "item_ord", "kind", "provider", "provider_version", "source_image_ref", "rect_image_px", "text", "confidence"]
 
 
 def lookup(table: dict, key: Column, default=None) -> Column:
@@ -30,11 +28,24 @@ def rows_of(df: DataFrame, *keys: str, carry: list[str] | None = None) -> DataFr
 
 
 def implicit_role(tag: Column, attributes: Column) -> Column:
-    """The explicit role attribute, else what tag and input type imply; a link needs an address."""
+    """The explicit role attribute, else what tag and attributes imply; null where neither says.
+
+    A link needs an address, a section a name; an input with a list of its own is a combobox; a select of several rows
+    is a listbox; headers and footers depend on where they stand, so they say nothing.
+    """
     t = F.lower(tag)
-    kind = F.lower(F.coalesce(F.element_at(attributes, "type"), F.lit("")))
+    has = lambda name: F.element_at(attributes, name).isNotNull()
+    kind = F.lower(F.coalesce(F.element_at(attributes, "type"), F.lit("text")))
     own = F.element_at(attributes, "role")
-    return F.coalesce(F.when(F.trim(own) != "", own), F.when(t == "input", lookup(S.INPUT_ROLES, kind, "textbox")).when((t == "a") & F.element_at(attributes, "href").isNull(), None).otherwise(lookup(S.TAG_ROLES, t)))
+    rows = F.coalesce(F.trim(F.element_at(attributes, "size")).try_cast("double"), F.lit(1.0))
+    implied = (
+        F.when(t.isin("a", "area"), F.when(has("href"), "link"))
+        .when(t == "input", F.when(kind.isin("search", "text") & has("list"), "combobox").otherwise(lookup(S.INPUT_ROLES, kind)))
+        .when(t == "select", F.when(has("multiple") | (rows > 1), "listbox").otherwise("combobox"))
+        .when(t == "section", F.when(has("aria-label") | has("aria-labelledby"), "region"))
+        .otherwise(lookup(S.TAG_ROLES, t))
+    )
+    return F.coalesce(F.when(F.trim(own) != "", own), implied)
 
 
 def durable_attributes(attributes: Column) -> Column:
@@ -52,6 +63,19 @@ def normalize_dom(dom: DataFrame, captures: DataFrame) -> DataFrame:
     return d.withColumn("normalized_rect", G.normalized_in_viewport(F.col("viewport_rect"), v["width_css_px"], v["height_css_px"])).withColumn("visibility", G.visibility(F.col("viewport_rect"), v["width_css_px"], v["height_css_px"], F.col("visible"))).drop("frames")
 
 
+def normalize_runs(runs: DataFrame, captures: DataFrame) -> DataFrame:
+    """Text runs with document and viewport rectangle, visibility, match key, and whether they are redacted. Rows of unknown captures are left out."""
+    caps = rows_of(captures, "capture_id").select("capture_id", "viewport", "frames", F.col("redaction.redacted_source_ids").alias("redacted_ids"))
+    r = rows_of(runs)
+    r = r if "bounds" in r.columns else r.withColumn("bounds", F.lit(None).cast(G.RECT_TYPE))
+    r = r.join(small(caps), "capture_id")
+    v = F.col("viewport")
+    r = r.withColumn("document_rect", F.when(F.col("bounds").isNotNull(), G.transform_rect(G.frame_transform(F.col("frames"), F.col("frame_id")), F.col("bounds"))))
+    r = r.withColumn("viewport_rect", F.when(F.col("document_rect").isNotNull(), G.translate(F.col("document_rect"), -v["scroll_x_css_px"], -v["scroll_y_css_px"])))
+    r = r.withColumn("redacted", F.coalesce(F.array_contains("redacted_ids", F.col("source_id")), F.lit(False)))
+    return r.withColumn("visibility", G.visibility(F.col("viewport_rect"), v["width_css_px"], v["height_css_px"], F.lit(True))).drop("frames", "redacted_ids")
+
+
 def styles_of(dom: DataFrame) -> DataFrame:
     """Typed style of each DOM row, one row per fact: colours in canonical form, lengths in CSS px."""
     facts = rows_of(dom).select("capture_id", "source_id", F.explode("style_facts").alias("property", "fact"))
@@ -59,69 +83,9 @@ def styles_of(dom: DataFrame) -> DataFrame:
     return facts.select("capture_id", "source_id", "property", F.when(color, canonical_color(F.col("fact.s"))).alias("color"), F.when(~color, css_length_px(F.col("fact.s"), F.col("fact.n"))).alias("value_css_px"))
 
 
-def claims(dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame, derived: DataFrame, include_hidden: bool = False) -> DataFrame:
-    """Long form: capture_id, entity, kind, frame_id, fact, source_type, source_id, value, confidence, stage, ord.
-
-    An entity is a visible DOM row; accessibility rows and text runs join it by their explicit link, vision and OCR rows
-    by their overlap; what joins none stands alone.
-    """
-    # hidden is what is not visible or has no bounds; no geometry is needed to say so
-    doms = rows_of(dom if include_hidden else dom.where("visible and bounds is not null"))
-    d = doms.select("capture_id", F.concat(F.lit("dom:"), "source_id").alias("entity"), F.lit("dom").alias("kind"), "frame_id", F.lit("role").alias("fact"), F.lit("dom").alias("source_type"), "source_id", F.col("role").alias("value"), F.lit(0.9).alias("confidence"), F.lit(0).alias("stage"), "ord")
-    known = doms.select("capture_id", F.col("source_id").alias("dom_id"))
-    a = rows_of(ax).where("not ignored").withColumnRenamed("backend_dom_source_id", "dom_id").join(known.withColumn("hit", F.lit(True)), ["capture_id", "dom_id"], "left")
-    a = a.withColumn("entity", F.when(F.col("hit"), F.concat(F.lit("dom:"), "dom_id")).otherwise(F.concat(F.lit("ax:"), "source_id"))).withColumn("kind", F.when(F.col("hit"), "dom").otherwise("ax_only"))
-    a = a.select("capture_id", "entity", "kind", "frame_id", F.explode(F.array(F.struct(F.lit("role").alias("fact"), F.col("role").alias("value")), F.struct(F.lit("name").alias("fact"), F.col("name").alias("value")))).alias("c"), "source_id", "ord")
-    a = a.select("capture_id", "entity", "kind", "frame_id", "c.fact", F.lit("accessibility").alias("source_type"), "source_id", "c.value", F.lit(0.85).alias("confidence"), F.lit(1).alias("stage"), "ord")
-    hidden = rows_of(captures, "capture_id").select("capture_id", F.col("redaction.redacted_source_ids").alias("redacted"))
-    r = rows_of(runs).withColumnRenamed("dom_source_id", "dom_id").join(known.withColumn("hit", F.lit(True)), ["capture_id", "dom_id"], "left").join(small(hidden), "capture_id", "left")
-    r = r.withColumn("value", F.when(F.array_contains("redacted", F.col("source_id")), F.lit("")).otherwise(F.col("text")))
-    r = r.withColumn("entity", F.when(F.col("hit"), F.concat(F.lit("dom:"), "dom_id")).otherwise(F.concat(F.lit("text:"), "source_id"))).withColumn("kind", F.when(F.col("hit"), "dom").otherwise("text"))
-    r = r.select("capture_id", "entity", "kind", "frame_id", F.explode(F.array(F.lit("name"), F.lit("text"))).alias("fact"), F.lit("text_run").alias("source_type"), "source_id", "value", F.lit(0.8).alias("confidence"), F.lit(2).alias("stage"), "ord")
-    return d.unionByName(a).unionByName(r).unionByName(_derived_claims(derived, dom, captures, include_hidden))
-
-
-def _derived_claims(derived: DataFrame, dom: DataFrame, captures: DataFrame, include_hidden: bool) -> DataFrame:
-    """The text of each vision and OCR row, as a claim of the DOM row that it overlaps most or else of a visual entity."""
-    placed = rows_of(dom, carry=["frame_id", "ord", "bounds", "visible"])
-    best = derived_best_match(derived, normalize_dom(placed, captures), captures, include_hidden=include_hidden).select("capture_id", "source_id", F.col("dom_source_id").alias("dom_id"))
-    i = derived_boxes(derived, captures).join(best, ["capture_id", "source_id"], "left")
-    hit, c = F.col("dom_id").isNotNull(), F.col("confidence")
-    finite = c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    entity = F.when(hit, F.concat(F.lit("dom:"), "dom_id")).otherwise(F.concat(F.lit("visual:"), "source_id"))
-    ord_ = F.coalesce("obs_ord", F.lit(0)).cast("bigint") * (1 << 32) + F.coalesce("item_ord", F.lit(0))
-    return i.select("capture_id", entity.alias("entity"), F.when(hit, "dom").otherwise("visual").alias("kind"), "frame_id", F.lit("text").alias("fact"), F.col("kind").alias("source_type"), "source_id", F.col("text").alias("value"), F.when(finite, G.clamp01(c)).otherwise(0.0).alias("confidence"), F.lit(3).alias("stage"), ord_.alias("ord"))
-
-
-def resolve_facts(claimed: DataFrame) -> DataFrame:
-    """capture_id, entity, fact, value, confidence, conflict: the most competent claim wins, then the most confident, then
-    the smallest value. Blank claims do not count; a second distinct value is a conflict, which halves the confidence."""
-    rank = F.lit(0)
-    for fact, table in S.COMPETENCE.items():
-        mine = F.coalesce(lookup({k: v for k, v in table.items() if k}, F.col("source_type")), F.lit(table[""]))
-        rank = F.when(F.col("fact") == fact, mine).otherwise(rank)
-    present = claimed.where("trim(value) <> ''").withColumn("rank", rank)
-    # the greatest of (rank, confidence), then the smallest value: two cheap aggregates, no sort
-    top = present.groupBy("capture_id", "entity", "fact").agg(F.min(F.struct(-F.col("rank"), -F.col("confidence"), "value")).alias("best"), F.min("value").alias("lo"), F.max("value").alias("hi"))
-    conflict = F.col("lo") != F.col("hi")
-    return top.select("capture_id", "entity", "fact", F.col("best.value").alias("value"), F.when(conflict, -F.col("best.col2") * S.CONFLICT_FACTOR).otherwise(-F.col("best.col2")).alias("confidence"), conflict.alias("conflict"))
-
-
-def fused_nodes(dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame, derived: DataFrame, include_hidden: bool = False) -> DataFrame:
-    """One row per entity: candidate_id in total order, facts, geometry of its DOM or derived row, confidence and flags."""
-    norm = normalize_dom(dom, captures)
-    claimed = claims(dom, ax, runs, captures, derived, include_hidden)
-    facts = resolve_facts(claimed)
-    wide = facts.groupBy("capture_id", "entity").agg(*[F.max(F.when(F.col("fact") == f, F.struct("value", "confidence", "conflict"))).alias(f) for f in ("role", "name", "text")])
-    entities = claimed.groupBy("capture_id", "entity").agg(F.min(F.struct("stage", "ord", "source_id", "kind", "frame_id")).alias("e"), F.array_sort(F.collect_set(F.struct("stage", "ord", "source_type", "source_id", F.col("confidence")))).alias("evidence"))
-    geo = norm.select("capture_id", F.concat(F.lit("dom:"), "source_id").alias("entity"), "document_rect", "viewport_rect", "normalized_rect", "visibility", "tag", "attributes", "viewport")
-    geo = geo.unionByName(visual_geometry(derived, captures), allowMissingColumns=True)
-    n = entities.join(wide, ["capture_id", "entity"], "left").join(geo, ["capture_id", "entity"], "left")
-    conf = F.array_min(F.array_compact(F.array("role.confidence", "name.confidence", "text.confidence")))
-    flags = F.array_compact(F.array(*[F.when(F.col(f"{f}.conflict"), F.lit(f"conflict:{f}")) for f in ("role", "name", "text")]))
-    n = n.select("capture_id", "entity", F.col("e.kind").alias("kind"), F.col("e.frame_id").alias("frame_id"), F.col("e.source_id").alias("first_source"), "role", "name", "text", "evidence", "document_rect", "viewport_rect", "normalized_rect", "visibility", "tag", "attributes", "viewport", F.coalesce(conf, F.when(F.col("viewport_rect").isNotNull(), S.NO_FACT_CONFIDENCE[0]).otherwise(S.NO_FACT_CONFIDENCE[1])).alias("confidence"), flags.alias("flags"))
-    order = W.partitionBy("capture_id").orderBy("frame_id", F.col("viewport_rect.y").asc_nulls_last(), F.col("viewport_rect.x").asc_nulls_last(), "kind", "first_source")
-    return n.withColumn("candidate_id", F.format_string("cand_%04d", F.row_number().over(order) - 1))
+def with_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with a null string for each named column that it lacks."""
+    return df.withColumns({n: F.lit(None).cast("string") for n in names if n not in df.columns}) if set(names) - set(df.columns) else df
 
 
 def derived_boxes(derived: DataFrame, captures: DataFrame) -> DataFrame:
@@ -130,7 +94,7 @@ def derived_boxes(derived: DataFrame, captures: DataFrame) -> DataFrame:
     The image is of the page, so its frame is the one without parent. Rows of unknown captures are kept, without a box.
     """
     caps = rows_of(captures, "capture_id").select("capture_id", "viewport", "frames")
-    i = rows_of(derived, carry=DERIVED).where("kind in ('vision_parser', 'ocr')").join(small(caps), "capture_id", "left")
+    i = rows_of(with_columns(derived, DERIVED), carry=DERIVED).where("kind in ('vision_parser', 'ocr')").join(small(caps), "capture_id", "left")
     r, dsf = F.col("rect_image_px"), F.col("viewport.device_scale_factor")
     page = F.get(F.filter("frames", lambda f: f["parent_frame_id"].isNull()), F.lit(0))["frame_id"]
     box = F.when((dsf > 0) & r.isNotNull(), G.rect(r["x"] / dsf, r["y"] / dsf, r["width"] / dsf, r["height"] / dsf))
@@ -147,7 +111,7 @@ def visual_geometry(derived: DataFrame, captures: DataFrame) -> DataFrame:
     shown = G.visible_part(r, w, h)
     cut = (shown["width"] < r["width"] - G.EDGE_EPSILON) | (shown["height"] < r["height"] - G.EDGE_EPSILON)
     normalized = G.rect(F.try_divide(r["x"], w), F.try_divide(r["y"], h), F.try_divide(r["width"], w), F.try_divide(r["height"], h))
-    return d.select("capture_id", F.concat(F.lit("visual:"), "source_id").alias("entity"), "document_rect", "viewport_rect", normalized.alias("normalized_rect"), F.when(shown.isNull(), "offscreen").when(cut, "clipped").otherwise("visible").alias("visibility"), "viewport")
+    return d.select("capture_id", "source_id", "document_rect", "viewport_rect", normalized.alias("normalized_rect"), F.when(shown.isNull(), "offscreen").when(cut, "clipped").otherwise("visible").alias("visibility"), "viewport")
 
 
 def derived_best_match(derived: DataFrame, dom_norm: DataFrame, captures: DataFrame, threshold: float = 0.5, cell: float = 128.0, include_hidden: bool = False) -> DataFrame:
@@ -157,7 +121,7 @@ def derived_best_match(derived: DataFrame, dom_norm: DataFrame, captures: DataFr
     """
     caps = rows_of(captures, "capture_id").select("capture_id", F.col("viewport.device_scale_factor").alias("dsf"))
     r = F.col("rect_image_px")
-    item = rows_of(derived, carry=DERIVED).where("kind in ('vision_parser', 'ocr')").join(small(caps), "capture_id").where("dsf > 0").select("capture_id", "source_id", G.rect(r["x"] / F.col("dsf"), r["y"] / F.col("dsf"), r["width"] / F.col("dsf"), r["height"] / F.col("dsf")).alias("box"))
+    item = rows_of(with_columns(derived, DERIVED), carry=DERIVED).where("kind in ('vision_parser', 'ocr')").join(small(caps), "capture_id").where("dsf > 0").select("capture_id", "source_id", G.rect(r["x"] / F.col("dsf"), r["y"] / F.col("dsf"), r["width"] / F.col("dsf"), r["height"] / F.col("dsf")).alias("box"))
     page = dom_norm.where("viewport_rect is not null" if include_hidden else "visible and viewport_rect is not null").select("capture_id", F.col("source_id").alias("dom_source_id"), F.col("ord"), F.col("viewport_rect").alias("rect"))
     cells = lambda df, c: grid_cells(df, F.col(c), cell)
     pairs = cells(item, "box").join(cells(page, "rect"), ["capture_id", "gx", "gy"]).withColumn("iou", G.iou(F.col("box"), F.col("rect"))).where(F.col("iou") >= threshold)

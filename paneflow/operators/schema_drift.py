@@ -134,7 +134,7 @@ def ingest_profile(records: DataFrame, target: list[Field], spec: DriftSpec) ->
         yield told()
 
     schema = "feed string, file_no bigint, parent string, path string, n bigint, typed bigint, " + ", ".join(f"{k} bigint" for k in KINDS)
-    part = spread(_located(records, spec)).mapInPandas(scan, schema)
+    part = _located(records, spec).mapInPandas(scan, schema)  # lines of a file mostly come together, so their counts do
     return part.groupBy("feed", "file_no", "parent", "path").agg(*[F.sum(c).alias(c) for c in ("n", "typed", *KINDS)])
 
 

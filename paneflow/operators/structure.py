@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from paneflow import schemas as S
 from paneflow.operators.observe import lookup
 from paneflow.operators.ordering import ordinal
-from paneflow.session import cut, small
+from paneflow.session import cut, once, small
 
 LEVELS = 16
 
@@ -36,26 +36,32 @@ def containment_parent(nodes: DataFrame, cell: float = 64.0) -> DataFrame:
     return nodes.select("capture_id", "node_id").join(best, ["capture_id", "node_id"], "left")
 
 
-def ancestors(parents: DataFrame) -> DataFrame:
-    """capture_id, node_id, ancestor_id, distance: the transitive closure, a level at a time.
+def paths(parents: DataFrame) -> DataFrame:
+    """capture_id, node_id, path: the ancestors of each node, nearest first, by doubling: after k rounds a path has 2^k of them.
 
-    A node that is its own parent is a root. In a cycle each pair counts once, at its least distance, so the walk ends.
+    A node that is its own parent is a root. A path that runs into a cycle ends before it repeats itself.
     """
-    edges = cut(parents.where("parent_id is not null and parent_id <> node_id").select("capture_id", "node_id", "parent_id"))
-    out = step = edges.select("capture_id", "node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"))
-    up = edges.select("capture_id", F.col("node_id").alias("ancestor_id"), F.col("parent_id").alias("next"))
-    while True:
-        found = step.join(up, ["capture_id", "ancestor_id"]).where("next <> node_id").select("capture_id", "node_id", F.col("next").alias("ancestor_id"), (F.col("distance") + 1).alias("distance"))
-        step = cut(found.join(out.select("capture_id", "node_id", "ancestor_id"), ["capture_id", "node_id", "ancestor_id"], "left_anti"))
-        if step.isEmpty():
-            return out
-        out = out.unionByName(step)
+    known = parents.select("capture_id", "node_id", F.when(F.col("parent_id") != F.col("node_id"), F.col("parent_id")).alias("p"))
+    state = cut(known.select("capture_id", "node_id", F.when(F.col("p").isNotNull(), F.array("p")).otherwise(F.array().cast("array<string>")).alias("path"), F.col("p").isNull().alias("done")))
+    while not state.where("not done").isEmpty():
+        more = state.where("size(path) > 0").select("capture_id", F.col("node_id").alias("at"), F.col("path").alias("more"))
+        far = state.where("not done").withColumn("at", F.element_at("path", -1)).join(more, ["capture_id", "at"], "left")
+        whole = F.concat("path", F.coalesce("more", F.array().cast("array<string>")))
+        # up to the first element that is the node itself or came before
+        ends = F.array_min(F.filter(F.transform(whole, lambda x, i: F.when((x == F.col("node_id")) | (F.array_position(whole, x) <= i), i)), lambda i: i.isNotNull()))
+        far = once(far, "end", ends).select("capture_id", "node_id", F.when(F.col("end").isNotNull(), F.slice(whole, F.lit(1), F.col("end"))).otherwise(whole).alias("path"), (F.col("end").isNotNull() | F.col("more").isNull()).alias("done"))
+        state = cut(state.where("done").unionByName(far))
+    return state.select("capture_id", "node_id", "path")
+
+
+def ancestors(parents: DataFrame) -> DataFrame:
+    """capture_id, node_id, ancestor_id, distance: the transitive closure. In a cycle each pair counts once, at its least distance."""
+    return paths(parents).select("capture_id", "node_id", F.posexplode("path").alias("d", "ancestor_id")).select("capture_id", "node_id", "ancestor_id", (F.col("d") + 1).alias("distance"))
 
 
 def depths(parents: DataFrame) -> DataFrame:
     """capture_id, node_id, parent_id, depth: 0 at the top."""
-    deep = ancestors(parents).groupBy("capture_id", "node_id").agg(F.max("distance").alias("depth"))
-    return parents.join(deep, ["capture_id", "node_id"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    return parents.join(paths(parents).select("capture_id", "node_id", F.size("path").alias("depth")), ["capture_id", "node_id"])
 
 
 def region_kind(role: Column) -> Column:
@@ -72,7 +78,7 @@ def promoted_regions(nodes: DataFrame, parents: DataFrame) -> DataFrame:
 
 def signature() -> Column:
     b = lambda c: (F.floor(F.col(c) / 10 + 0.5) * 10).cast("bigint").cast("string")
-    size = F.when(F.col("w").isNull() | F.col("h").isNull(), F.lit("_")).otherwise(F.concat(b("w"), F.lit("x"), b("h")))
+    size = F.when(F.col("w").isNull() | F.col("h").isNull(), F.lit("na")).otherwise(F.concat(b("w"), F.lit("x"), b("h")))
     return F.concat_ws("|", F.coalesce("role", F.lit("_")), F.coalesce("kind", F.lit("_")), size)
 
 
@@ -190,16 +196,17 @@ def near_knn(pairs: DataFrame, k: int = 4) -> DataFrame:
     return best.select("capture_id", F.least("n", "m").alias("from_id"), F.greatest("n", "m").alias("to_id")).distinct()
 
 
-def relations(nodes: DataFrame, parents: DataFrame) -> DataFrame:
-    """All edges before the cap: capture_id, kind, from_id, to_id, weight."""
+def relations(nodes: DataFrame, parents: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """All edges before the cap: capture_id, kind, from_id, to_id, weight. ``members`` are those of the regions, if they are known already."""
     pairs = cut(spatial_pairs(nodes))
+    members = region_members(nodes, parents) if members is None else members
     w = S.EDGE_WEIGHTS
     edge = lambda df, kind, weight: df.select("capture_id", (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), "from_id", "to_id", (weight if isinstance(weight, Column) else F.lit(weight)).alias("weight"))
     return (
         edge(parents.where("parent_id is not null").select("capture_id", F.col("parent_id").alias("from_id"), F.col("node_id").alias("to_id")), "contains", w["contains"])
         .unionByName(edge(reading_next(nodes, parents), "reading_next", w["reading_next"]))
         .unionByName(edge(overlaps(pairs), "overlaps", F.col("iou")))
-        .unionByName(edge(aligned(pairs, region_members(nodes, parents)), F.col("kind"), w["aligned"]))
+        .unionByName(edge(aligned(pairs, members), F.col("kind"), w["aligned"]))
         .unionByName(edge(near_knn(pairs), "near", w["near"]))
     )
 
@@ -249,19 +256,6 @@ def edge_cap(edges: DataFrame, max_degree: int = 32) -> DataFrame:
     return fine.select(*cols).unionByName(safe.select(*cols)).unionByName(decided)
 
 
-def node_identity(nodes: DataFrame, parents: DataFrame) -> DataFrame:
-    """capture_id, node_id, identity: a hash of frame, kind, source and the identity of the parent, from the top down."""
-    base = cut(nodes.join(parents, ["capture_id", "node_id"]).select("capture_id", "node_id", "parent_id", F.concat_ws("|", "frame_id", F.coalesce("kind", F.lit("_")), "node_id").alias("own")))
-    done = base.where("parent_id is null").select("capture_id", "node_id", F.sha2(F.concat(F.lit("root|"), "own"), 256).alias("identity"))
-    out = level = cut(done)
-    while True:
-        up = level.select("capture_id", F.col("node_id").alias("parent_id"), F.col("identity").alias("above"))
-        level = cut(base.join(up, ["capture_id", "parent_id"]).select("capture_id", "node_id", F.sha2(F.concat("above", F.lit("|"), "own"), 256).alias("identity")))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-
-
 def graph_metrics(nodes: DataFrame, edges: DataFrame, parents: DataFrame) -> DataFrame:
     """Counts of each capture's graph: nodes, edges, greatest degree, interactive nodes, nodes with a rectangle."""
     n = nodes.groupBy("capture_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("role").isin(*S.INTERACTIVE_ROLES)).alias("interactive"), F.count_if(F.col("x").isNotNull()).alias("with_geometry"))

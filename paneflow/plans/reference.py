@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paneflow import schemas as S
 from paneflow.functions import text as X
+from paneflow.operators import assemble as A
 from paneflow.operators import design as D
 from paneflow.operators import evaluate as E
 from paneflow.operators import identity as I
@@ -26,9 +27,10 @@ def _t(spark: SparkSession, root: str, *names: str) -> list[DataFrame]:
 
 
 def box_nodes(spark: SparkSession, root: str) -> DataFrame:
-    """The node table of the page elements: latest DOM rows with frame-local rectangle."""
-    d = O.rows_of(table(spark, root, "dom_nodes"))
-    return d.select("capture_id", F.col("source_id").alias("node_id"), "frame_id", F.col("bounds.x").alias("x"), F.col("bounds.y").alias("y"), F.col("bounds.width").alias("w"), F.col("bounds.height").alias("h"), "role", F.col("tag").alias("kind"), F.when(F.col("visible"), "visible").otherwise("hidden").alias("visibility"))
+    """The node table of the page elements: latest DOM rows with their rectangle in the viewport, whatever frame they are in."""
+    n = O.normalize_dom(*_t(spark, root, "dom_nodes", "captures"))
+    r = F.col("viewport_rect")
+    return n.select("capture_id", F.col("source_id").alias("node_id"), "frame_id", *[(F.floor(r[k] * 1000 + 0.5) / 1000).alias(c) for c, k in (("x", "x"), ("y", "y"), ("w", "width"), ("h", "height"))], "role", F.col("tag").alias("kind"), "visibility")
 
 
 r6 = lambda c: F.floor(c * 1e6 + 0.5) / 1e6
@@ -86,29 +88,60 @@ def text_back_references(spark, root):
     return r.groupBy("capture_id", "dom_source_id").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("ord", "source_id"))), lambda x: x["source_id"])).alias("text_source_ids"))
 
 
-def _claims(spark, root):
-    return O.claims(*_t(spark, root, "dom_nodes", "ax_nodes", "text_runs", "captures", "derived_items"))
+_SOURCES = ("dom_nodes", "ax_nodes", "text_runs", "captures", "derived_items")
+
+
+def _observed(spark, root):
+    return A.observations(*_t(spark, root, *_SOURCES))
 
 
 def fuse_claims(spark, root):
-    return _claims(spark, root).groupBy("capture_id", "entity").agg(F.count_distinct("source_id").alias("sources"), F.count_if(F.trim("value") != "").alias("claims"))
+    """What each entity is told by: sources, and claims of role, name and text that are not blank."""
+    said = sum((F.count_if(F.trim(F.col(f"e.{f}")) != "") for f in ("name", "text")), F.count_if(F.trim(F.col("e.role")) != ""))
+    return _observed(spark, root).groupBy("capture_id", "entity").agg(F.count_distinct("e.source_id").alias("sources"), said.alias("claims"))
 
 
-def fuse_facts(spark, root):
-    return O.resolve_facts(_claims(spark, root)).select("capture_id", "entity", "fact", "value", r6(F.col("confidence")).alias("confidence"), "conflict")
+def _entities(spark, root):
+    caps = O.rows_of(table(spark, root, "captures"), "capture_id")
+    return A.entities(_observed(spark, root), caps)
 
 
-def fused(spark, root):
-    return O.fused_nodes(*_t(spark, root, "dom_nodes", "ax_nodes", "text_runs", "captures", "derived_items"))
+def fuse_facts(spark, root):
+    facts = F.explode(F.array(*[F.struct(F.lit(f).alias("fact"), F.col(f).alias("v")) for f in ("role", "name", "text")]))
+    e = _entities(spark, root).select("capture_id", "entity", facts.alias("f")).where("f.v is not null")
+    return e.select("capture_id", "entity", "f.fact", "f.v.value", r6(F.col("f.v.confidence")).alias("confidence"), "f.v.conflict")
 
 
 def fused_nodes(spark, root):
-    return fused(spark, root).select("capture_id", "candidate_id", "entity", "kind", F.col("role.value").alias("role"), F.col("name.value").alias("name"), "confidence", F.concat_ws(",", "flags").alias("flags"), F.size("evidence").alias("n_evidence"))
+    evidence = F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["source_type"], e["source_id"])), ",")
+    return _entities(spark, root).select("capture_id", "candidate_id", "entity", "kind", F.col("role.value").alias("role"), F.col("name.value").alias("name"), r6(F.col("confidence")).alias("confidence"), F.concat_ws(",", "flags").alias("flags"), evidence.alias("evidence"), F.col("geometry.visibility").alias("visibility"))
+
+
+def _built(spark, root):
+    """Snapshots of all captures, with the synthetic profile."""
+    profile = A.Profile("paneflow-dna@1", "sha256:" + "0" * 64, "approved", {r: (v if v is not None else n, c, 0.95) for r, c, v, n in S.DESIGN_TOKENS})
+    return A.build_snapshots(*_t(spark, root, "captures", "dom_nodes", "ax_nodes", "text_runs", "derived_items"), profile=profile)
+
+
+def build_headers(spark, root):
+    return _built(spark, root).headers.select("capture_id", "snapshot_id", "content_hash", "content_bytes", "n_nodes", "n_edges", "n_regions", "max_degree", "n_conflicts", "n_authoritative", "n_advisory", "n_drift")
+
+
+def build_nodes(spark, root):
+    return _built(spark, root).nodes.select("capture_id", "snapshot_id", "node_id", "element_ref", "parent_node_id", "kind", "role", "name", "text", "confidence", F.size("locator_hints").alias("n_hints"), F.size("dna_matches").alias("n_matches"), F.concat_ws(",", "affordances").alias("affordance"))
+
+
+def build_edges(spark, root):
+    return _built(spark, root).edges.select("capture_id", "edge_id", "kind", "from_node_id", "to_node_id", "directed", r6(F.col("weight")).alias("weight"))
+
+
+def build_regions(spark, root):
+    return _built(spark, root).regions.select("capture_id", "region_id", "kind", "root_node_id", "label", F.size("member_node_ids").alias("members"), "item_count", "visible_item_count")
 
 
 def derived_best_match(spark, root):
     derived, dom, caps = _t(spark, root, "derived_items", "dom_nodes", "captures")
-    return O.derived_best_match(derived, O.normalize_dom(dom, caps), caps).select("capture_id", "source_id", r6(F.col("iou")).alias("iou"))
+    return O.derived_best_match(derived, O.normalize_dom(dom, caps), caps).select("capture_id", "source_id", "dom_source_id", r6(F.col("iou")).alias("iou"))
 
 
 def containment_parent(spark, root):
@@ -130,8 +163,9 @@ def descendants(spark, root):
 
 def region_promotion(spark, root):
     n, p = _tree(spark, root)
-    # the pages' groups take the part of lists here
-    return R.promoted_regions(n.withColumn("role", F.when(F.col("role") == "group", "list").otherwise(F.col("role"))), p)
+    # roles of all four kinds of regions are few on these pages: some of their own take their part here
+    stand_in = F.create_map(*[F.lit(x) for kv in (("group", "list"), ("document", "main"), ("tab", "grid"), ("combobox", "form")) for x in kv])
+    return R.promoted_regions(n.withColumn("role", F.coalesce(F.element_at(stand_in, F.col("role")), F.col("role"))), p)
 
 
 def repeated_regions(spark, root):
@@ -182,7 +216,10 @@ def graph_metrics(spark, root):
 
 
 def node_identity(spark, root):
-    return R.node_identity(*_tree(spark, root))
+    """Identities chained along the hierarchy of the fused nodes."""
+    e = cut(_entities(spark, root))
+    p = R.containment_parent(cut(A.boxes(e, "document_rect")))
+    return A._identity(e, R.paths(cut(p)))
 
 
 def node_kind(spark, root):
@@ -240,9 +277,9 @@ def summary_view(spark, root):
 
 
 def focus_view(spark, root):
+    """Nodes around the checkboxes, over all kinds of edges."""
     n, p, e = _graph(spark, root)
-    refs = n.where("role = 'checkbox'").select("capture_id", "node_id")
-    return Q.focus_view(e.where("kind in ('contains', 'reading_next')"), refs)
+    return Q.focus_view(e, n.where("role = 'checkbox'").select("capture_id", "node_id"))
 
 
 def ax_outline(spark, root):
@@ -265,7 +302,7 @@ def sensitive_digest(spark, root):
     return Q.sensitive_digest(n, "snapshot_ref")
 
 
-_CONTENT = ["kind", "parent_node_id", "role", "name", "text", "viewport_rect", "color", "font_size_css_px", "flags"]
+_CONTENT = {"kind": "kind", "parent_node_id": "parentNodeId", "role": "role", "name": "name", "text": "text", "viewport_rect": "viewportRect", "color": "color", "font_size_css_px": "fontSizeCssPx", "flags": "flags"}
 
 
 def _snapshot_rows(spark, root):
@@ -299,7 +336,7 @@ def lineage_scores(spark, root):
 
 def lineage_match(spark, root):
     b, t = (_lineage_nodes(x) for x in _sides(spark, root))
-    return I.lineage_match(I.lineage_scores(b, t), b)
+    return I.lineage_match(cut(I.lineage_scores(b, t)), b)
 
 
 _PLAIN = ["kind", "parent_node_id", "role", "name", "text", "color", "font_size_css_px"]
@@ -321,16 +358,30 @@ def delta_apply(spark, root):
 def diff_view(spark, root):
     b, t = _sides(spark, root)
     lb = _lineage_nodes(b)
-    return RQ.diff_view(b, t, matches=cut(I.lineage_match(I.lineage_scores(lb, _lineage_nodes(t)), lb)))
+    d = RQ.diff_view(b, t, matches=cut(I.lineage_match(cut(I.lineage_scores(lb, _lineage_nodes(t))), lb)))
+    return d.withColumn("score", r6(F.col("score")))
 
 
-def issues(spark, root):
+def _faulty(spark, root):
+    """The tables with faults that every rule should find: by place in the capture, so the same ones wherever they run."""
     caps, dom, ax, runs, derived = _t(spark, root, "captures", "dom_nodes", "ax_nodes", "text_runs", "derived_items")
+    n = F.length("capture_id") + F.ascii(F.substring("capture_id", -1, 1))
+    caps = caps.withColumns({"schema_version": F.when(n % 7 == 0, "2.0.0").otherwise(F.col("schema_version")), "route": F.when(n % 5 == 0, " ").otherwise(F.col("route")), "viewport": F.when(n % 6 == 0, F.col("viewport").withField("width_css_px", F.lit(0.0))).otherwise(F.col("viewport")), "redaction": F.when(n % 4 == 0, None).otherwise(F.col("redaction"))})
+    wide = lambda c, when, v: F.when(when, F.col(c).withField("width", F.lit(v))).otherwise(F.col(c))
+    dom = dom.withColumns({"bounds": wide("bounds", F.col("ord") % 50 == 7, -1.0)}).withColumn("bounds", wide("bounds", F.col("ord") % 50 == 8, 1e9))
+    derived = derived.withColumns({"confidence": F.when(F.col("item_ord") == 1, 1.5).otherwise(F.col("confidence")), "provider": F.when(F.col("item_ord") == 2, "").otherwise(F.col("provider")), "source_id": F.when(F.col("item_ord") == 3, "dom_1").otherwise(F.col("source_id")), "source_image_ref": F.when(F.col("item_ord") == 4, "no ref").otherwise(F.col("source_image_ref"))})
+    return caps, dom, ax, runs, derived
+
+
+def issues(spark, root):
+    """Issues of tables with injected faults."""
+    caps, dom, ax, runs, derived = _faulty(spark, root)
     return V.capture_issues(caps).unionByName(V.geometry_issues(dom, runs)).unionByName(V.derived_issues(derived)).unionByName(V.duplicate_issues(dom, ax, runs, derived))
 
 
 def issues_parent(spark, root):
-    return V.parent_issues(table(spark, root, "dom_nodes"))
+    """Rows whose parent was taken away: every row 5 of its capture."""
+    return V.parent_issues(table(spark, root, "dom_nodes").where("ord <> 5"))
 
 
 def issues_cycle(spark, root):
@@ -374,7 +425,7 @@ def stability_probe(spark, root):
 
 QUERIES = {f.__name__: f for f in (
     normalize_geometry, css_color, css_length, match_text, token_estimate, patch_tokens, sanitize_text, implicit_role, durable_attributes, url_identity, text_back_references,
-    fuse_claims, fuse_facts, fused_nodes, derived_best_match, containment_parent, hierarchy_depth, descendants, region_promotion, repeated_regions, node_cap, reading_next, overlaps, aligned, near_knn,
+    fuse_claims, fuse_facts, fused_nodes, build_headers, build_nodes, build_edges, build_regions, derived_best_match, containment_parent, hierarchy_depth, descendants, region_promotion, repeated_regions, node_cap, reading_next, overlaps, aligned, near_knn,
     relation_counts, edge_degree, edge_cap, graph_metrics, node_identity, node_kind, locator_hints, token_match, token_summary, token_exceptions, violations, saliency, evidence_plan, action_map, summary_view,
     focus_view, ax_outline, view_budget, withheld_nodes, sensitive_digest, seal_headers, seal_refs, lineage_scores, lineage_match, delta_encode, delta_apply, diff_view, issues, issues_parent, issues_cycle, cohort_reduction, bootstrap_ci, mcnemar, stability_probe,
 )}

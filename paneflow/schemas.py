@@ -28,9 +28,14 @@ WITHHELD = ["pii", "secret", "credential", "redacted"]
 FAIL_CLOSED = ["pii", "secret", "credential"]
 LINEAGE_WEIGHTS = {"explicit_id": 0.35, "name": 0.2, "role": 0.15, "geometry": 0.15, "region": 0.1, "kind": 0.05}
 NAMED_COLORS = {"transparent": "#00000000", "black": "#000000", "white": "#ffffff", "red": "#ff0000", "green": "#008000", "blue": "#0000ff"}
-#: Role that a tag has without being told; inputs by their type.
-TAG_ROLES = {"a": "link", "article": "article", "aside": "complementary", "body": "document", "button": "button", "dialog": "dialog", "footer": "contentinfo", "form": "form", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "header": "banner", "img": "img", "li": "listitem", "main": "main", "nav": "navigation", "ol": "list", "option": "option", "section": "region", "select": "combobox", "table": "table", "td": "cell", "textarea": "textbox", "th": "columnheader", "tr": "row", "ul": "list"}
-INPUT_ROLES = {"button": "button", "submit": "button", "reset": "button", "image": "button", "checkbox": "checkbox", "radio": "radio", "range": "slider", "number": "spinbutton", "search": "searchbox", "email": "textbox", "tel": "textbox", "text": "textbox", "url": "textbox", "password": "textbox", "": "textbox"}
+#: Role that a tag has without being told, whatever its attributes; inputs by their type.
+TAG_ROLES = {
+    "article": "article", "aside": "complementary", "button": "button", "datalist": "listbox", "dd": "definition", "details": "group", "dialog": "dialog", "dt": "term", "fieldset": "group", "figure": "figure", "form": "form",
+    "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "hr": "separator", "html": "document", "img": "img", "li": "listitem", "main": "main", "math": "math", "menu": "list", "meter": "meter",
+    "nav": "navigation", "ol": "list", "optgroup": "group", "option": "option", "output": "status", "p": "paragraph", "progress": "progressbar", "search": "search", "summary": "button",
+    "table": "table", "tbody": "rowgroup", "td": "cell", "textarea": "textbox", "tfoot": "rowgroup", "th": "columnheader", "thead": "rowgroup", "tr": "row", "ul": "list",
+}
+INPUT_ROLES = {"button": "button", "checkbox": "checkbox", "email": "textbox", "image": "button", "number": "spinbutton", "radio": "radio", "range": "slider", "reset": "button", "search": "searchbox", "submit": "button", "tel": "textbox", "text": "textbox", "url": "textbox"}
 DURABLE_ATTRIBUTES = ["data-testid", "id", "href", "name"]
 #: Approved design tokens of the synthetic profile: (ref, category, text, number).
 DESIGN_TOKENS = [

@@ -115,7 +115,10 @@ def ship_package(spark: SparkSession) -> None:
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the size of ``df``: of a scan the size of its files; without statistics, beyond any limit."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    try:
+        return int(stats.sizeInBytes())
+    except ValueError:  # a product over many joins, of thousands of digits
+        return 1 << 62
 
 
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
