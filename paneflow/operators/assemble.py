@@ -595,8 +595,8 @@ class _Stream:
         if tail is None:
             self._put(text)
             return None
-        ref = f',"elementRef":"ug:{self.scope}:{at}",' if self.scope else ","
-        self._put(text[:-1] + ref + tail[1:])
+        ref = f'"elementRef":"ug:{self.scope}:{at}"' if self.scope else ""
+        self._put("{" + ",".join(x for x in (text[1:-1], ref, tail[1:-1]) if x) + "}")
         return at
 
     def end(self) -> str:

@@ -161,7 +161,7 @@ SQL = {
     "containment_parent": f"WITH {BOX}, {PARENT} SELECT * FROM par",
     "hierarchy_depth": f"WITH RECURSIVE {BOX}, {PARENT}, {ANC} SELECT par.capture_id, par.node_id, CAST(coalesce(max(distance), 0) AS INTEGER) AS depth FROM par LEFT JOIN anc USING (capture_id, node_id) GROUP BY ALL",
     "descendants": f"WITH RECURSIVE {BOX}, {PARENT}, {ANC} SELECT capture_id, ancestor_id AS node_id, count(*) AS n_descendants FROM anc GROUP BY ALL",
-    "region_promotion": f"WITH RECURSIVE {BOX}, {PARENT}, {ANC}, rr AS (SELECT *, CASE role WHEN 'group' THEN 'list' WHEN 'document' THEN 'main' WHEN 'tab' THEN 'grid' WHEN 'combobox' THEN 'form' ELSE role END AS r2 FROM b), rk AS (SELECT *, CASE {' '.join(f'WHEN r2 IN {_in(v)} THEN {chr(39)}{k}{chr(39)}' for k, v in V.REGIONS.items())} END AS region_kind FROM rr) SELECT rk.capture_id, rk.node_id AS root_id, region_kind, count(anc.node_id) + 1 AS member_count, CASE WHEN region_kind IN ('list', 'table') THEN count(*) FILTER (distance = 1) END AS item_count FROM rk LEFT JOIN anc ON anc.capture_id = rk.capture_id AND anc.ancestor_id = rk.node_id WHERE region_kind IS NOT NULL GROUP BY ALL",
+    "region_promotion": f"WITH RECURSIVE {BOX}, {PARENT}, {ANC}, rr AS (SELECT *, CASE role WHEN 'group' THEN 'list' WHEN 'document' THEN 'main' WHEN 'tab' THEN 'grid' WHEN 'combobox' THEN 'form' ELSE role END AS r2 FROM b), rk AS (SELECT *, CASE {' '.join(f'WHEN r2 IN {_in(v)} THEN {chr(39)}{k}{chr(39)}' for k, v in V.REGIONS.items())} END AS region_kind FROM rr) SELECT capture_id, root_id, region_kind, n + 1 AS member_count, CASE WHEN region_kind IN ('list', 'table') THEN kids END AS item_count FROM (SELECT rk.capture_id, rk.node_id AS root_id, region_kind, count(anc.node_id) AS n, count(*) FILTER (distance = 1) AS kids FROM rk LEFT JOIN anc ON anc.capture_id = rk.capture_id AND anc.ancestor_id = rk.node_id WHERE region_kind IS NOT NULL GROUP BY rk.capture_id, rk.node_id, region_kind)",
     "repeated_regions": f"WITH {BOX}, {PARENT}, {SIGS} SELECT capture_id, parent_id, signature, count(*) AS item_count, count(*) FILTER (visibility IN ('visible', 'clipped')) AS visible_item_count, min(node_id) AS first_id, 'sha256:' || sha256(signature) AS pattern_hash FROM sg GROUP BY capture_id, parent_id, signature HAVING count(*) >= 3",
     "reading_next": f"WITH {BOX}, {PARENT}, {NEXT} SELECT * FROM rn",
     "overlaps": f"WITH {BOX}, {PAIRS}, {OVER} SELECT capture_id, from_id, to_id, {r6('iou')} AS iou FROM ov",
