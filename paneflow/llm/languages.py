@@ -61,30 +61,51 @@ _LINK = re.compile(r"\[([^\]\n]*)\]\([^)\s]*\)|<?(?:https?|ftp)://[^\s<>()]+>?|\
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]*>|&[A-Za-z]+;")
 _QUOTE = re.compile(r"^\s*(?:(?:[>#*|]+|//+|--(?=\s)|;+)\s*)+")
 _LOG = re.compile(r"^\s*(?:\[?\d{3,}\]?\s+\S+\s+[0-9a-f]{8,}|\[\d+\]|\d{4}-\d\d-\d\d[T ]\d\d:\d\d|Traceback \(most recent|File \".*\", line \d+|\w*(?:Error|Exception)\b:|error:|warning:|fatal:|exit status \d+|at \S+\(.*\)|\$ \S|npm |WARN|INFO|DEBUG|ERROR)")
-_CODE = re.compile(r"[{};]\s*$|^\s*[{}\])]|=>|:=|==|&&|\|\||\(\)|\w\(\w*\)|</?\w+[ >]|^\s*(?:def |return\b|import |from \S+ import|const |let |var |fn |class |if \(|for \(|SELECT\b|FROM\b|WHERE\b|GROUP BY|HAVING\b|ORDER BY)|^\s*#|^\s*\"\w+\":|^\s*\$ ")
+_CODE_START = re.compile(r"\s*(?:[{}\])#]|def |return\b|import |from \S+ import|const |let |var |fn |class |if \(|for \(|SELECT\b|FROM\b|WHERE\b|GROUP BY|HAVING\b|ORDER BY|\"\w+\":|\$ )")
+_CODE_INSIDE = re.compile(r"[{};]\s*$|=>|:=|==|&&|\|\||\(\)|\w\(\w*\)|</?\w+[ >]")
+_CODE_MARKS = frozenset("{};=&|(<")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|\n+|(?<=[.!?…][\"'”»)])\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_TOKEN = re.compile(r"\S*\w\S*")
+_LETTER = re.compile(r"\w")
+
+
+def is_code(line: str) -> bool:
+    """Whether a line reads as code: by how it begins, or by marks inside it (looked for only if it has any)."""
+    return _CODE_START.match(line) is not None or (not _CODE_MARKS.isdisjoint(line) and _CODE_INSIDE.search(line) is not None)
+
+
+def _bare(s: str) -> str:
+    """A line of prose without inline code, links and markup; what a line has no mark of is not looked for."""
+    if "`" in s:
+        s = _INLINE.sub(" ", s)
+    if "@" in s or "://" in s or "](" in s or "www." in s:
+        s = _LINK.sub(" ", s)
+    if "<" in s or "&" in s:
+        s = _TAG.sub(" ", s)
+    return s.strip()
 
 
 def prose_of(text: str) -> list[str]:
     """The lines of prose of a text, without marks of quoting; code, logs, errors, links and stock lines left out."""
-    text = _PRE.sub("\n", _FENCE.sub("\n", text))
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n", text)
+    if "<" in text:
+        text = _PRE.sub("\n", text)
     out: list[str] = []
     for block in re.split(r"\n[ \t]*\n", text):
         lines = block.split("\n")
         shift = 1 if lines and all(x.startswith("\t") for x in lines if x.strip()) else 0
         kept: list[str] = []
         indented = [x for x in lines if re.match(r"\t? {4}|\t\t", x[shift:]) and x.strip()]
-        code = bool(indented) and (any(_CODE.search(x) or _LOG.search(x.strip()) for x in indented) or not any(re.search(r"[.!?]\s*$", x) for x in indented))
+        code = bool(indented) and (any(is_code(x) or _LOG.match(x.strip()) for x in indented) or not any(re.search(r"[.!?]\s*$", x) for x in indented))
         for line in lines:
             bare = line[shift:]
             if not bare.strip() or (code and re.match(r" {2,}|\t", bare)):
                 continue
-            if _LOG.search(bare) or (_CODE.search(bare) and not bare.lstrip().startswith("#") and len(_WORD.findall(bare)) < 6):
+            if _LOG.match(bare) or (is_code(bare) and not bare.lstrip().startswith("#") and len(_WORD.findall(bare)) < 6):
                 continue
             s = _QUOTE.sub("", bare).strip() if not STOCK_LINES.match(bare.strip()) else ""
-            s = _TAG.sub(" ", _LINK.sub(" ", _INLINE.sub(" ", s))).strip()
+            s = _bare(s)
             if s and not STOCK_LINES.match(s):
                 kept.append(s)
         if kept:
@@ -101,7 +122,8 @@ def sentences_of(text: str) -> list[str]:
 
 
 def word_count(sentence: str) -> int:
-    return len(_TOKEN.findall(sentence))
+    """Words between blanks that hold a letter or digit."""
+    return sum(1 for t in sentence.split() if t.isalnum() or _LETTER.search(t))
 
 
 @dataclass(frozen=True)
@@ -148,7 +170,7 @@ class LanguageModel:
 
     def __init__(self, idf: np.ndarray, centroids: np.ndarray, owner: np.ndarray, floor: np.ndarray, languages: tuple[str, ...]):
         self.idf, self.centroids, self.owner, self.floor, self.languages = idf, centroids, owner, floor, languages
-        self._columns = np.ascontiguousarray(centroids.T)
+        self._columns = np.ascontiguousarray(centroids.T, dtype=np.float32)
         self._seen: dict[str, tuple[str | None, float]] = {}
 
     @staticmethod
@@ -209,7 +231,7 @@ class LanguageModel:
         return self.classify_all([sentence])[0]
 
     def classify_all(self, sentences: list[str]) -> list[tuple[str | None, float]]:
-        """As ``classify``, of many sentences: each distinct one is scored once, in blocks of one sparse product."""
+        """As ``classify``, of many sentences: each distinct one is scored once, in blocks of one product."""
         todo = list(dict.fromkeys(s for s in sentences if s not in self._seen))
         if len(self._seen) + len(todo) > 100_000:
             self._seen.clear()
@@ -217,18 +239,16 @@ class LanguageModel:
         dims = len(self.idf)
         block: list[np.ndarray] = []
         names: list[str] = []
-        size = 0
         for k, s in enumerate(todo):
             parts = [_ngrams(w, dims) for w in _WORD.findall(s.lower())] if len(self.centroids) else []
             if parts:
                 block.append(np.concatenate(parts))
                 names.append(s)
-                size += len(block[-1])
             else:
                 self._seen[s] = (None, 0.0)
-            if block and (size > 200_000 or k + 1 == len(todo)):
+            if len(block) == 256 or (block and k + 1 == len(todo)):
                 self._seen.update(zip(names, self._score(block)))
-                block, names, size = [], [], 0
+                block, names = [], []
         if block:
             self._seen.update(zip(names, self._score(block)))
         return [self._seen[s] for s in sentences]
@@ -236,12 +256,11 @@ class LanguageModel:
     def _score(self, block: list[np.ndarray]) -> list[tuple[str | None, float]]:
         dims, n = len(self.idf), len(block)
         owner = np.repeat(np.arange(n, dtype=np.int64), [len(x) for x in block])
-        slots, counts = np.unique(owner * dims + np.concatenate(block), return_counts=True)
-        row, at = slots // dims, slots % dims
-        w = (np.sqrt(counts) * self.idf[at]).astype(np.float32)
-        starts = np.searchsorted(row, np.arange(n))
-        norm = np.sqrt(np.add.reduceat(w.astype(np.float64) ** 2, starts))
-        sims = np.add.reduceat(w[:, None] * self._columns[at], starts, axis=0) / np.maximum(norm, 1e-12)[:, None]
+        counts = np.bincount(owner * dims + np.concatenate(block), minlength=n * dims).reshape(n, dims)
+        w = np.sqrt(counts, dtype=np.float32)
+        w *= self.idf
+        norm = np.sqrt(np.einsum("ij,ij->i", w, w))
+        sims = (w @ self._columns) / np.maximum(norm, 1e-12)[:, None]
         by = np.full((n, len(self.languages)), -1.0)
         floor = np.full(len(self.languages), np.inf)
         for k in range(len(self.languages)):

@@ -55,6 +55,7 @@ SHAPES = {
 
 
 _NONE: frozenset[str] = frozenset()
+_DIGIT = re.compile(r"\d")
 
 
 class Doc:
@@ -66,7 +67,9 @@ class Doc:
         self.where: list[tuple[int, int, int]] = []
         self.shapes: list[frozenset[str]] = []
         for k, text in enumerate(fields):
-            found = [(*m.span(), n) for n, p in SHAPES.items() for m in p.finditer(text)]
+            # an address of mail has an at sign, all other shapes a digit
+            digit, mail = _DIGIT.search(text) is not None, "@" in text or "at]" in text or "at)" in text
+            found = [(*m.span(), n) for n, p in SHAPES.items() if (mail if n == "email" else digit) for m in p.finditer(text)]
             if k and self.tokens:
                 self._add("\n", (k, 0, 0), _NONE)
             for m in _TOKEN.finditer(text):
