@@ -376,9 +376,12 @@ def build_snapshots(captures: DataFrame, dom: DataFrame, ax: DataFrame, runs: Da
     on = lambda df, *names: df.join(kept.withColumnRenamed("candidate_id", names[0]), ["capture_id", names[0]], "left_semi")
     flat = cut(boxes(nodes, "viewport_rect"))
     up = cut(on(parents, "node_id"))
-    paths = cut(R.paths(up))
+    all_paths = cut(R.paths(parents))
+    closure = R.closure_of(all_paths)
+    # whole subtrees are left out, so the path of a kept node has kept nodes only
+    paths = on(all_paths, "node_id")
     # regions are told from all nodes, then hold the kept ones
-    members = cut(on(R.region_members(all_boxes, parents, options.repeated_region_threshold), "node_id"))
+    members = cut(on(R.region_members(all_boxes, parents, options.repeated_region_threshold, closure), "node_id"))
     edges = cut(R.edge_cap(R.relations(flat, up, members), options.max_persisted_edges_per_node))
 
     slug = F.substring(F.regexp_replace("frame_id", "[^a-zA-Z0-9_-]", "_"), 1, 20)
@@ -386,7 +389,7 @@ def build_snapshots(captures: DataFrame, dom: DataFrame, ax: DataFrame, runs: Da
     ids = cut(_identity(nodes, paths).join(nodes.select("capture_id", "candidate_id", slug.alias("slug")), ["capture_id", "candidate_id"]).select("capture_id", "candidate_id", F.concat(F.lit("n_"), "slug", F.lit("_"), F.substring("candidate_id", 6, 20), F.lit("_"), "identity").alias("node_id")))
     as_id = lambda df, old, new: df.join(ids.select("capture_id", F.col("candidate_id").alias(old), F.col("node_id").alias(new)), ["capture_id", old])
 
-    regions = cut(_regions(all_boxes, parents, fused, members, options, ids))
+    regions = cut(_regions(all_boxes, parents, closure, fused, members, options, ids))
     node_regions = regions.select("capture_id", "region_id", F.explode("member_node_ids").alias("node_id")).groupBy("capture_id", "node_id").agg(F.array_sort(F.collect_list("region_id")).alias("region_ids"))
     edge_rows = _edges(edges, nodes, as_id)
     node_rows = cut(_nodes(nodes, up, ids, as_id, node_regions, dom, ax, caps, profile, authoritative, spark))
@@ -408,10 +411,10 @@ def build_snapshots(captures: DataFrame, dom: DataFrame, ax: DataFrame, runs: Da
     return Snapshots(headers, nodes_out, named(edge_rows), named(regions), named(spaces), named(warn), pieces, issues)
 
 
-def _regions(all_boxes, parents, fused, members, options, ids) -> DataFrame:
+def _regions(all_boxes, parents, closure, fused, members, options, ids) -> DataFrame:
     """region_id, root_node_id, kind, label, member_node_ids, counts and JSON of the regions whose root was kept."""
     own = fused.select("capture_id", F.col("candidate_id"), F.col("name.value").alias("name"), "evidence", "confidence")
-    named = R.promoted_regions(all_boxes, parents).select("capture_id", F.concat(F.lit("role:"), "root_id").alias("region"), F.col("root_id").alias("root"), F.col("root_id").alias("from"), F.col("region_kind").alias("kind"), F.col("item_count").cast("bigint").alias("item_count"), F.lit(None).cast("bigint").alias("visible_item_count"), F.lit(None).cast("string").alias("pattern_hash"))
+    named = R.promoted_regions(all_boxes, parents, closure).select("capture_id", F.concat(F.lit("role:"), "root_id").alias("region"), F.col("root_id").alias("root"), F.col("root_id").alias("from"), F.col("region_kind").alias("kind"), F.col("item_count").cast("bigint").alias("item_count"), F.lit(None).cast("bigint").alias("visible_item_count"), F.lit(None).cast("string").alias("pattern_hash"))
     rep = R.repeated_regions(all_boxes, parents, options.repeated_region_threshold).select("capture_id", F.concat(F.lit("rep:"), F.coalesce("parent_id", F.lit("root")), F.lit(":"), "signature").alias("region"), F.coalesce("parent_id", "first_id").alias("root"), F.col("first_id").alias("from"), F.lit("repeated").alias("kind"), "item_count", "visible_item_count", "pattern_hash")
     held = members.join(ids.select("capture_id", F.col("candidate_id").alias("node_id"), F.col("node_id").alias("m")), ["capture_id", "node_id"]).groupBy("capture_id", "region").agg(F.array_sort(F.collect_list("m")).alias("member_node_ids"))
     r = named.unionByName(rep).join(held, ["capture_id", "region"], "left").join(ids.select("capture_id", F.col("candidate_id").alias("root"), F.col("node_id").alias("root_node_id")), ["capture_id", "root"])

@@ -56,7 +56,12 @@ def paths(parents: DataFrame) -> DataFrame:
 
 def ancestors(parents: DataFrame) -> DataFrame:
     """capture_id, node_id, ancestor_id, distance: the transitive closure. In a cycle each pair counts once, at its least distance."""
-    return paths(parents).select("capture_id", "node_id", F.posexplode("path").alias("d", "ancestor_id")).select("capture_id", "node_id", "ancestor_id", (F.col("d") + 1).alias("distance"))
+    return closure_of(paths(parents))
+
+
+def closure_of(known: DataFrame) -> DataFrame:
+    """As ``ancestors``, of paths that are known already."""
+    return known.select("capture_id", "node_id", F.posexplode("path").alias("d", "ancestor_id")).select("capture_id", "node_id", "ancestor_id", (F.col("d") + 1).alias("distance"))
 
 
 def depths(parents: DataFrame) -> DataFrame:
@@ -68,10 +73,10 @@ def region_kind(role: Column) -> Column:
     return lookup({r: k for k, rs in S.REGION_ROLES.items() for r in rs}, role)
 
 
-def promoted_regions(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+def promoted_regions(nodes: DataFrame, parents: DataFrame, closure: DataFrame | None = None) -> DataFrame:
     """Regions of landmark, form, list and table roles: root, kind, number of members, direct children as items."""
     roots = nodes.withColumn("region_kind", region_kind(F.col("role"))).where("region_kind is not null").select("capture_id", F.col("node_id").alias("root_id"), "region_kind")
-    members = ancestors(parents).withColumnRenamed("ancestor_id", "root_id").groupBy("capture_id", "root_id").agg(F.count("*").alias("n"), F.count_if(F.col("distance") == 1).alias("children"))
+    members = (ancestors(parents) if closure is None else closure).withColumnRenamed("ancestor_id", "root_id").groupBy("capture_id", "root_id").agg(F.count("*").alias("n"), F.count_if(F.col("distance") == 1).alias("children"))
     out = roots.join(members, ["capture_id", "root_id"], "left")
     return out.select("capture_id", "root_id", "region_kind", (F.coalesce("n", F.lit(0)) + 1).alias("member_count"), F.when(F.col("region_kind").isin("list", "table"), F.coalesce("children", F.lit(0))).alias("item_count"))
 
@@ -89,10 +94,10 @@ def repeated_regions(nodes: DataFrame, parents: DataFrame, threshold: int = 3) -
     return out.where(F.col("item_count") >= threshold).withColumn("pattern_hash", F.concat(F.lit("sha256:"), F.sha2("signature", 256)))
 
 
-def region_members(nodes: DataFrame, parents: DataFrame, threshold: int = 3) -> DataFrame:
+def region_members(nodes: DataFrame, parents: DataFrame, threshold: int = 3, closure: DataFrame | None = None) -> DataFrame:
     """capture_id, region, node_id of all regions."""
     roots = nodes.where(region_kind(F.col("role")).isNotNull()).select("capture_id", F.col("node_id").alias("ancestor_id"))
-    inside = ancestors(parents).join(roots, ["capture_id", "ancestor_id"]).select("capture_id", F.concat(F.lit("role:"), "ancestor_id").alias("region"), "node_id")
+    inside = (ancestors(parents) if closure is None else closure).join(roots, ["capture_id", "ancestor_id"]).select("capture_id", F.concat(F.lit("role:"), "ancestor_id").alias("region"), "node_id")
     own = roots.select("capture_id", F.concat(F.lit("role:"), "ancestor_id").alias("region"), F.col("ancestor_id").alias("node_id"))
     n = nodes.join(parents, ["capture_id", "node_id"]).withColumn("signature", signature())
     big = n.groupBy("capture_id", "parent_id", "signature").count().where(F.col("count") >= threshold).drop("count")

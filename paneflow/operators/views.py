@@ -1,4 +1,4 @@
-"""Budgeted views over a capture's nodes: summary, focus, action map, repair context, and what they withhold."""
+"""Pieces of views over a capture's nodes: summary, focus, action map, outlines, hints, and what they withhold. ``query`` answers whole requests."""
 
 from __future__ import annotations
 
@@ -42,19 +42,21 @@ def summary_view(nodes: DataFrame, depth: DataFrame, k: int = 40) -> DataFrame:
     return a.unionByName(o).select("capture_id", "part", "rank", "node_id", "role", "depth")
 
 
-def focus_view(edges: DataFrame, refs: DataFrame, radius: int = 2, budget: int = 120) -> DataFrame:
-    """capture_id, node_id, distance: nodes within ``radius`` edges of the refs, in any direction, nearest first to ``budget``.
-
-    Each step joins the newly reached nodes only.
-    """
+def reach(edges: DataFrame, start: DataFrame, radius: int = 2) -> DataFrame:
+    """capture_id, node_id, distance of the nodes within ``radius`` edges of the start, in any direction. Each step joins the newly reached nodes only."""
     e = edges.select("capture_id", "from_id", "to_id")
     both = cut(e.unionByName(e.select("capture_id", F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))).distinct())
-    seen = front = cut(refs.select("capture_id", "node_id").distinct().withColumn("distance", F.lit(0)))
+    seen = front = cut(start.select("capture_id", "node_id").distinct().withColumn("distance", F.lit(0)))
     for d in range(1, radius + 1):
         step = front.select("capture_id", F.col("node_id").alias("from_id")).join(both, ["capture_id", "from_id"]).select("capture_id", F.col("to_id").alias("node_id")).distinct()
         front = cut(step.join(seen.select("capture_id", "node_id"), ["capture_id", "node_id"], "left_anti").withColumn("distance", F.lit(d)))
         seen = seen.unionByName(front)
-    return top_k(seen, budget, "distance", "node_id").select("capture_id", "node_id", "distance", "rank")
+    return seen
+
+
+def focus_view(edges: DataFrame, refs: DataFrame, radius: int = 2, budget: int = 120) -> DataFrame:
+    """capture_id, node_id, distance, rank: nodes within ``radius`` edges of the refs, nearest first to ``budget``."""
+    return top_k(reach(edges, refs, radius), budget, "distance", "node_id").select("capture_id", "node_id", "distance", "rank")
 
 
 def locator_hints(nodes: DataFrame, k: int = 8) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if the estimate of its size in memory is below this.
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+BROADCAST_LIMIT_BYTES = 128 * 1024 * 1024
 #: The optimizer takes the size of a scanned file for the size of its rows; in memory, rows take about so many times as much.
 INFLATION = 4
 

@@ -1,4 +1,4 @@
-"""Captures as JSON bundles, one text for each: parted into the tables of observations, and hashed as a build's input."""
+"""Captures as JSON bundles, one text for each: parted into the tables of observations, hashed as a build's input, and made up for tests."""
 
 from __future__ import annotations
 
@@ -65,3 +65,69 @@ def input_hashes(bundles: DataFrame, options: dict, profile: dict | None = None,
         return s.map(lambda t: sha256_text(canonical({"capture": json.loads(t), **fixed})) if t is not None else None)
 
     return bundles.select(F.get_json_object(column, "$.captureId").alias("capture_id"), digest(column).alias("input_hash")).where("capture_id is not null")
+
+
+# Fixed values of the synthetic dashboard.
+NAV = ["Overview", "Deployments", "Reviews", "Design system", "Insights", "Settings", "Billing", "Audit"]
+ENVIRONMENTS = ["production", "staging", "preview", "canary", "sandbox", "edge", "eu-west", "ap-south"]
+FIELDS = ["Team name", "Notification email", "Card number", "Billing address", "VAT id", "Slack channel"]
+STATUSES = ["passed", "failed", "queued", "running"]
+DASHBOARD_TOKENS = {
+    "color.brand": ("#1b6ef3", "color", 0.99), "color.ink": ("#0b1021", "color", 0.99), "color.surface": ("#ffffff", "color", 0.99), "color.surfaceMuted": ("#f6f7fb", "color", 0.95), "color.onBrand": ("#ffffff", "color", 0.99),
+    "space.sm": (8, "spacing", 0.97), "space.md": (12, "spacing", 0.97), "space.lg": (16, "spacing", 0.97), "radius.md": (8, "radii", 0.96),
+    "type.body": (14, "typography", 0.95), "type.control": (15, "typography", 0.95), "type.display": (32, "typography", 0.95),
+}
+
+
+def dashboard(capture_id: str = "cap_synthetic_dashboard", nav: int = 6, cards: int = 6, rows: int = 24, fields: int = 4, width: int = 1440, height: int = 900, screenshot: bool = True, footer: str = "Sample footer page") -> dict:
+    """A page with a banner, cards, a table, a form and a footer; one element whose sources disagree on its role, and one redacted field."""
+    dom: list[dict] = []
+    ax: list[dict] = []
+    runs: list[dict] = []
+    dash = lambda t: "-".join(t.lower().split())
+
+    def put(name: str, tag: str, box: tuple, order: int, ax_role: str, label: str | None = None, up: str | None = None, role: str | None = None, attributes: dict | None = None, style: dict | None = None, state: dict | None = None, text: tuple | None = None) -> None:
+        rect = lambda b: dict(zip(("x", "y", "width", "height"), b))
+        optional = lambda **kw: {k: v for k, v in kw.items() if v is not None}
+        dom.append({"sourceId": f"dom_{name}", "frameId": "root", "tag": tag, "bounds": rect(box), "visible": True, "paintOrder": order, **optional(parentSourceId=f"dom_{up}" if up else None, role=role, attributes=attributes, styleFacts=style)})
+        ax.append({"sourceId": f"ax_{name}", "frameId": "root", "role": ax_role, "ignored": False, "backendDomSourceId": f"dom_{name}", **optional(name=label, state=state)})
+        if text is not None:
+            run, said, at = text
+            runs.append({"sourceId": f"txt_{run}", "frameId": "root", "domSourceId": f"dom_{name}", "text": said, "bounds": rect(at)})
+
+    put("body", "body", (0, 0, width, height), 0, "document", style={"backgroundColor": "#ffffff", "fontFamily": "Inter", "display": "block"})
+    put("header", "header", (0, 0, width, 72), 1, "banner", "Site header", "body", style={"backgroundColor": "#0b1021", "display": "flex", "padding": "16px"})
+    put("brand", "a", (24, 20, 132, 32), 2, "link", "Example", "header", attributes={"data-testid": "brand", "href": "/"}, text=("brand", "Example", (24, 26, 92, 20)))
+    put("nav", "nav", (200, 20, 700, 32), 3, "navigation", "Primary", "header")
+    for i in range(nav):
+        label, x = NAV[i % len(NAV)], 200 + 112 * i
+        put(f"nav_{i}", "a", (x, 24, 104, 24), 4 + i, "link", label, "nav", attributes={"data-testid": f"nav-{dash(label)}", "href": f"/{dash(label)}"}, style={"color": "#c7d2fe", "fontSizeCssPx": 14}, text=(f"nav_{i}", label, (x, 28, 96, 16)))
+    put("cta", "a", (1264, 18, 152, 36), 20, "button", "New review", "header", role="link", attributes={"data-testid": "new-review", "id": "cta-new-review", "href": "/reviews/new"}, style={"color": "#ffffff", "backgroundColor": "#3b5bdb", "fontSizeCssPx": 15, "borderRadiusTopLeft": "7px", "padding": "13px"}, text=("cta", "New review", (1280, 26, 120, 20)))
+    put("main", "main", (0, 72, width, height - 132), 21, "main", "Deployments", "body")
+    put("h1", "h1", (24, 96, 420, 40), 22, "heading", "Recent deployments", "main", style={"color": "#0b1021", "fontSizeCssPx": 32, "fontWeight": 700, "lineHeightCssPx": 40}, state={"level": 1}, text=("h1", "Recent deployments", (24, 102, 396, 32)))
+    put("cardlist", "ul", (24, 152, width - 48, 168), 23, "list", "Environments", "main")
+    for i in range(cards):
+        name, x = ENVIRONMENTS[i % len(ENVIRONMENTS)], 24 + 228 * i
+        put(f"card_{i}", "li", (x, 152, 216, 168), 24 + 2 * i, "listitem", f"{name} environment", "cardlist", style={"backgroundColor": "#f6f7fb", "borderRadiusTopLeft": "8px", "padding": "16px"}, text=(f"card_{i}", f"{name} · healthy", (x + 16, 176, 184, 20)))
+        put(f"card_link_{i}", "a", (x + 16, 268, 120, 24), 25 + 2 * i, "link", f"Open {name}", f"card_{i}", attributes={"data-testid": f"env-link-{name}", "href": f"/environments/{name}"}, style={"color": "#1b6ef3", "fontSizeCssPx": 14})
+    top, line = 336, 28
+    put("table", "table", (24, top, width - 48, line * (rows + 1)), 200, "table", "Deployment history", "main", attributes={"data-testid": "deploy-history"})
+    for r in range(rows):
+        y = top + line * (r + 1)
+        put(f"row_{r}", "tr", (24, y, width - 48, line), 201 + 4 * r, "row", None, "table", attributes={"data-testid": f"deploy-row-{1000 + r}"})
+        for c, said in enumerate((f"#{1000 + r}", f"feat/branch-{r}", STATUSES[r % len(STATUSES)])):
+            put(f"cell_{r}_{c}", "td", (24 + 448 * c, y, 440, line), 202 + 4 * r + c, "cell", said, f"row_{r}", style={"color": "#0b1021", "fontSizeCssPx": 13}, text=(f"cell_{r}_{c}", said, (28 + 448 * c, y + 4, 200, 18)))
+    form = top + line * (rows + 2)
+    put("form", "form", (24, form, 640, 56 * (fields + 2)), 4000, "form", "Billing settings", "main")
+    for f in range(fields):
+        label, y = FIELDS[f % len(FIELDS)], form + 16 + 56 * f
+        put(f"field_{f}", "input", (24, y, 380, 40), 4001 + 2 * f, "textbox", label, "form", attributes={"data-testid": f"field-{f}", "name": "_".join(label.lower().split())}, style={"backgroundColor": "#ffffff", "fontSizeCssPx": 15, "borderRadiusTopLeft": "6px", "padding": "12px"}, state={"required": f == 0}, text=(f"field_{f}", label, (24, y - 20, 200, 16)))
+    last = form + 16 + 56 * fields
+    put("submit", "button", (24, last, 168, 40), 4500, "button", "Save billing settings", "form", attributes={"data-testid": "save-billing", "id": "save-billing"}, style={"color": "#ffffff", "backgroundColor": "#1b6ef3", "fontSizeCssPx": 15, "borderRadiusTopLeft": "6px", "padding": "16px"}, text=("submit", "Save billing settings", (40, last + 10, 136, 20)))
+    put("footer", "footer", (0, height - 60, width, 60), 5000, "contentinfo", "Footer", "body", text=("footer", footer, (24, height - 40, 240, 20)))
+    shot = {"artifactRef": "artifact://synthetic/dashboard.png", "frameId": "root", "widthImagePx": width * 2, "heightImagePx": height * 2, "deviceScaleFactor": 2}
+    return {
+        "schemaVersion": "1.0.0", "captureId": capture_id, "captureVersion": "synthetic-capture@1", "repository": {"owner": "acme", "name": "dashboard"}, "route": "/deployments", "headSha": "0" * 40,
+        "viewport": {"widthCssPx": width, "heightCssPx": height, "deviceScaleFactor": 2, "scrollXCssPx": 0, "scrollYCssPx": 0}, "documents": [{"frameId": "root", "url": "https://example.invalid/deployments", "domLayoutNodes": dom, "accessibilityNodes": ax, "textRuns": runs}],
+        **({"screenshotEvidence": [shot]} if screenshot else {}), "pageHealth": {"stable": True, "partial": False, "reasons": []}, "redaction": {"policyVersion": "redaction@1", "applied": True, "redactedSourceIds": ["dom_field_2"] if fields > 2 else []},
+    }

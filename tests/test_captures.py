@@ -84,29 +84,6 @@ def test_frame_chain_and_cycle(spark):
     assert got.f2 == [2.0, 0.0, 0.0, 2.0, 5.0, 100.0] and got.f1[5] == 100.0 and got.x == list(G.IDENTITY) == got.main == got.unknown
 
 
-def test_facts(spark):
-    rows = [("c", "e", "role", "dom", "button", 0.9), ("c", "e", "role", "accessibility", "link", 0.85), ("c", "e", "name", "text_run", " ", 0.8), ("c", "e", "text", "ocr", "b", 0.7), ("c", "e", "text", "ocr", "a", 0.7)]
-    got = {r.fact: (r.value, round(r.confidence, 3), r.conflict) for r in O.resolve_facts(spark.createDataFrame(rows, "capture_id string, entity string, fact string, source_type string, value string, confidence double")).collect()}
-    assert got == {"role": ("link", 0.425, True), "text": ("a", 0.35, True)}
-
-
-def test_derived_rows_are_fused(spark):
-    frames = [("main", None, None, None)]
-    caps = spark.createDataFrame([("c", (1000.0, 1000.0, 2.0, 0.0, 0.0), (None, False, []), frames), ("s", (1000.0, 1000.0, 1.0, 0.0, 30.0), (None, False, []), frames)], "capture_id string, viewport struct<width_css_px:double,height_css_px:double,device_scale_factor:double,scroll_x_css_px:double,scroll_y_css_px:double>, redaction struct<policy_version:string,applied:boolean,redacted_source_ids:array<string>>, frames array<struct<frame_id:string,parent_frame_id:string,url:string,transform_to_parent:array<double>>>")
-    dom = spark.createDataFrame([("c", "main", 0, "d", "button", "button", None, (100.0, 100.0, 80.0, 20.0), True)], "capture_id string, frame_id string, ord int, source_id string, role string, tag string, attributes map<string,string>, bounds struct<x:double,y:double,width:double,height:double>, visible boolean")
-    ax = spark.createDataFrame([], "capture_id string, frame_id string, ord int, source_id string, role string, name string, ignored boolean, backend_dom_source_id string")
-    runs = spark.createDataFrame([("c", "main", 0, "t", "Save", "d")], "capture_id string, frame_id string, ord int, source_id string, text string, dom_source_id string")
-    item = lambda c, i, kind, x, y, text, conf: (c, 0, i, kind, f"{kind}_{i}", (x, y, 160.0, 40.0), text, conf)
-    rows = [item("c", 0, "ocr", 200.0, 200.0, "5ave", 0.7), item("c", 1, "vision_parser", 204.0, 200.0, None, 0.5), item("c", 2, "ocr", 700.0, 600.0, "Open", 1.5), item("s", 3, "ocr", 10.0, 20.0, None, None), item("c", 4, "embedding", 200.0, 200.0, "no", 0.9)]
-    derived = spark.createDataFrame(rows, "capture_id string, obs_ord int, item_ord int, kind string, source_id string, rect_image_px struct<x:double,y:double,width:double,height:double>, text string, confidence double")
-    got = {(r.capture_id, r.entity): r for r in O.fused_nodes(dom, ax, runs, caps, derived).collect()}
-    assert set(got) == {("c", "dom:d"), ("c", "visual:ocr_2"), ("s", "visual:ocr_3")}
-    d, v, s = got["c", "dom:d"], got["c", "visual:ocr_2"], got["s", "visual:ocr_3"]
-    assert (d.text.value, d.text.confidence, d.flags) == ("Save", 0.4, ["conflict:text"]) and [e.source_id for e in d.evidence] == ["d", "t", "ocr_0", "vision_parser_1"]
-    assert (v.kind, v.frame_id, v.text.value, v.confidence, tuple(v.viewport_rect), v.visibility, v.candidate_id) == ("visual", "main", "Open", 1.0, (350.0, 300.0, 80.0, 20.0), "visible", "cand_0001")
-    assert (s.text, s.confidence, tuple(s.viewport_rect), s.visibility) == (None, 0.6, (10.0, -10.0, 160.0, 40.0), "clipped")
-
-
 def test_canonical_json():
     assert [number_text(x) for x in (1.0, 1e21, 1e-7, 0.1, -0.0, 1e20, 5e-324, 0.001)] == ["1", "1e+21", "1e-7", "0.1", "0", "100000000000000000000", "5e-324", "0.001"]
     assert canonical({"b": [1, "é\n"], "a": None}) == '{"a":null,"b":[1,"é\\n"]}'
@@ -144,7 +121,11 @@ def test_lineage(spark):
     base = spark.createDataFrame([n("a", "Save"), n("b", "Open", 900.0), n("c", "Quit", 50.0)], schema)
     target = spark.createDataFrame([n("a", "Save"), n("z", "Other", 400.0), n("q", "Quit", 52.0)], schema)
     got = {r.base_id: (r.outcome, r.target_id) for r in I.lineage_match(I.lineage_scores(base, target), base).collect()}
-    assert got["a"] == ("matched", "a") and got["b"][0] == "removed" and got["c"][0] == "abstained"
+    # an equal node id is no identity across snapshots: only references and stable hints are
+    assert got["a"] == ("abstained", None) and got["b"][0] == "abstained" and got["c"][0] == "abstained"
+    hinted = lambda df: df.withColumn("hints", F.array(F.concat(F.lit("stable_dom_id:"), "name")))
+    got = {r.base_id: (r.outcome, r.target_id) for r in I.lineage_match(I.lineage_scores(hinted(base), hinted(target)), base).collect()}
+    assert got["a"] == ("matched", "a") and got["c"] == ("matched", "q")
 
 
 def greedy(base, scores, high=0.7, margin=0.1, low=0.25):
@@ -158,7 +139,7 @@ def greedy(base, scores, high=0.7, margin=0.1, low=0.25):
         kind = "removed" if s is None or s < low else "abstained" if s < high else "matched" if lead >= margin else "ambiguous"
         if kind == "matched":
             taken.add(t)
-        out[b] = (kind, t if kind in ("matched", "ambiguous") else None, s)
+        out[b] = (kind, t if kind == "matched" else None, s)
     return out
 
 
@@ -167,8 +148,8 @@ LINEAGE = "pair string, node_id string, ref string, role string, kind string, na
 
 def test_lineage_scores_all_pairs(spark):
     n = lambda i, name, x=0.0, ref=None, role="button": ("p", i, ref, role, "dom", name, None, x, 0.0, 10.0, 10.0)
-    base = spark.createDataFrame([n("a", "Save"), n("b", "Open", 900.0), n("r", "Help", 300.0, "ug:1:0")], LINEAGE)
-    target = spark.createDataFrame([n("a", "Save"), n("z", "Other", 400.0), n("moved", "Help", 700.0, "ug:1:0")], LINEAGE)
+    base = spark.createDataFrame([n("a", "Save", ref="ug:1:1"), n("b", "Open", 900.0), n("r", "Help", 300.0, "ug:1:0")], LINEAGE)
+    target = spark.createDataFrame([n("a", "Save", ref="ug:1:1"), n("z", "Other", 400.0), n("moved", "Help", 700.0, "ug:1:0")], LINEAGE)
     scores = I.lineage_scores(base, target)
     assert scores.count() == 9
     got = {r.base_id: (r.outcome, r.target_id, r.score) for r in I.lineage_match(scores, base).collect()}
@@ -196,9 +177,6 @@ def test_statistics():
     a = E.bootstrap_ratio([(10, 2), (20, 8), (30, 5)], 200)
     assert a == E.bootstrap_ratio([(10, 2), (20, 8), (30, 5)], 200) and a["lower"] <= a["point"] <= a["upper"]
     assert E.evaluate_gates({})["verdict"] == "inconclusive" and E.evaluate_gates({"leaks": {"value": 1}})["verdict"] == "gate_rejected"
-    assert E.diff_json_schema({"properties": {"a": {"type": "string"}}}, {"properties": {"a": {"type": "number"}, "b": {}}}) == [("type_changed", "#/properties/a"), ("added_property", "#/properties/b")]
-    assert not E.version_bump_ok([("removed_property", "#")], "1.2.0", "1.3.0") and E.version_bump_ok([("added_property", "#")], "1.2.0", "1.3.0")
-    assert E.resolve_ref("ug:12345678:0", "s", "h", {"s": {"content_hash": "h", "scope": "12345678", "refs": {"ug:12345678:0"}}}) == "ok"
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
@@ -212,8 +190,8 @@ def test_bootstrap_runs_the_references_replicates(spark):
 def test_withholding_and_text(spark):
     df = spark.createDataFrame([(["pii"], "n", "t"), (["public"], "n", "t"), (None, "n", None)], "sensitivity array<string>, name string, text string")
     assert [r.name for r in Q.withheld(df).collect()] == [None, "n", "n"]
-    t = spark.createDataFrame([("a<<<b>>>\x00\tc",), (None,)], "t string").select(X.sanitize(F.col("t")).alias("t")).collect()
-    assert t[0].t == "a<_<_<b>_>_>\tc" and t[1].t is None
+    t = spark.createDataFrame([("a<<<b>>>\x00\tc<<<UNTRUSTED_UI_CONTENT>>>",), (None,)], "t string").select(X.sanitize(F.col("t")).alias("t")).collect()
+    assert t[0].t == "a<<<b>>>\tc[untrusted-marker-removed]" and t[1].t is None
 
 
 def test_raw_layout_and_pages(spark):
@@ -233,7 +211,7 @@ def test_sql_gives_the_same_rows(spark):
     for f in os.listdir(ROOT):
         con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{ROOT}/{f}'")
     norm = lambda v: round(v, 5) if isinstance(v, float) else v
-    names = sorted(random.Random(1).sample(sorted(registry.oracle_sql()), 14))
+    names = sorted(registry.oracle_sql())
     for name in names:
         df = registry.queries()[name](spark, ROOT)
         cols = sorted(df.columns)
