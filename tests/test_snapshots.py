@@ -6,6 +6,7 @@ import pytest
 
 from paneflow.functions.canonical import canonical
 from paneflow.operators import assemble as A
+from paneflow.operators import deltas as D
 from paneflow.operators import identity as I
 from paneflow.operators import observe as O
 from paneflow.operators import query as Q
@@ -110,34 +111,45 @@ def test_order_of_rows_and_partitions_does_not_count(spark, board):
     assert h.content_hash == board.headers.first().content_hash
 
 
-def test_facts_hidden_rows_and_captures_with_issues(spark):
+@pytest.fixture(scope="module")
+def mixed(spark):
     ok = page("ok", [button(0, 10, 10), button(1, 10, 100, visible=False), button(2, 10, 200)], [{"sourceId": "a0", "frameId": "main", "role": "link", "name": "Go", "ignored": False, "backendDomSourceId": "d0"}, {"sourceId": "a1", "frameId": "main", "role": "button", "name": "Loose", "ignored": False}], [{"sourceId": "t0", "frameId": "main", "text": "Zebra", "domSourceId": "d0"}, {"sourceId": "t1", "frameId": "main", "text": "apple", "domSourceId": "d0"}])
     bad = page("bad", [button(0, 10, 10, w=1e9)])
     twice = page("twice", [button(0, 10, 10), button(0, 10, 50)])
-    s = build(spark, [ok, bad, twice, page("empty")])
-    assert {(r.capture_id, r.code) for r in s.issues.collect()} == {("bad", "overflow"), ("twice", "duplicate_source_id")}
-    n = {(r.capture_id, r.candidate_id): r for r in s.nodes.collect()}
+    shot = {"artifactRef": "uiart:sha256/abc", "frameId": "main", "widthImagePx": 2000, "heightImagePx": 2000, "deviceScaleFactor": 2}
+    item = lambda i, x, y, text, p: {"sourceId": f"o{i}", "rectImagePx": {"x": x, "y": y, "width": 200, "height": 40}, "text": text, "confidence": p}
+    obs = [{"kind": "ocr", "provider": "p", "providerVersion": "1", "sourceImageRef": "uiart:sha256/abc", "runs": [item(0, 20, 20, "5ave", 0.7), item(1, 900, 900, "Open", 0.9)]}]
+    read = page("read", [button(0, 10, 10)], [], [{"sourceId": "t", "frameId": "main", "text": "Save", "domSourceId": "d0"}], screenshotEvidence=[shot], derivedObservations=obs)
+    many = page("many", [button(i, 10, 30 * i) for i in range(8)])
+    drift = page("drift", [button(0, 10, 10, styleFacts={"fontSizeCssPx": 17, "color": "#123456"})])
+    rules = ({"route": "/", "category": "scale", "reason": "legacy"}, {"route": "/other", "reason": "no"})
+    return build(spark, [ok, bad, twice, page("empty"), read, many, drift], A.Profile("v", "sha256:0", "approved", DASHBOARD_TOKENS, exceptions=rules), A.BuildOptions(max_nodes=5))
+
+
+def test_facts_hidden_rows_and_captures_with_issues(mixed):
+    assert {(r.capture_id, r.code) for r in mixed.issues.collect()} == {("bad", "overflow"), ("twice", "duplicate_source_id")}
+    n = {(r.capture_id, r.candidate_id): r for r in mixed.nodes.where("capture_id in ('ok', 'empty', 'bad', 'twice')").collect()}
     assert {c for c, _ in n} == {"ok", "empty"} and len(n) == 4
     first = n["ok", "cand_0000"]
     assert (first.role, first.name, first.text, first.confidence, first.flags) == ("link", "Go", "Zebra", 0.4, ["conflict:role", "conflict:text"])
     assert [e.sourceId for e in first.evidence] == ["d0", "a0", "t0", "t1"] and n["empty", "cand_0000"].role == "document"
-    assert {r.kind for r in s.nodes.where("name = 'Loose'").collect()} == {"control"}
+    assert {r.kind for r in mixed.nodes.where("name = 'Loose'").collect()} == {"control"}
 
 
-def test_derived_rows_join_by_overlap_or_stand_alone(spark):
-    shot = {"artifactRef": "uiart:sha256/abc", "frameId": "main", "widthImagePx": 2000, "heightImagePx": 2000, "deviceScaleFactor": 2}
-    item = lambda i, x, y, text, p: {"sourceId": f"o{i}", "rectImagePx": {"x": x, "y": y, "width": 200, "height": 40}, "text": text, "confidence": p}
-    obs = [{"kind": "ocr", "provider": "p", "providerVersion": "1", "sourceImageRef": "uiart:sha256/abc", "runs": [item(0, 20, 20, "5ave", 0.7), item(1, 900, 900, "Open", 0.9)]}]
-    s = build(spark, [page("c", [button(0, 10, 10)], [], [{"sourceId": "t", "frameId": "main", "text": "Save", "domSourceId": "d0"}], screenshotEvidence=[shot], derivedObservations=obs)])
-    n = {r.kind: r for r in s.nodes.collect()}
+def test_derived_rows_join_by_overlap_or_stand_alone(mixed):
+    n = {r.kind: r for r in mixed.nodes.where("capture_id = 'read'").collect()}
     assert n["control"].text == "Save" and [e.sourceType for e in n["control"].evidence] == ["dom", "text_run", "ocr"] and n["control"].flags == ["conflict:text"]
     assert n["visual_candidate"].text == "Open" and n["visual_candidate"].evidence[0].artifactRef == "uiart:sha256/abc"
 
 
-def test_node_cap_keeps_one_of_each_pattern(spark):
-    s = build(spark, [page("c", [button(i, 10, 30 * i) for i in range(8)])], options=A.BuildOptions(max_nodes=4))
-    assert s.nodes.count() == 4 and "node_cap_exceeded" in {json.loads(r.json)["code"] for r in s.warnings.collect()}
-    assert s.regions.first().item_count == 8 and len(s.regions.first().member_node_ids) == 4
+def test_node_cap_keeps_one_of_each_pattern(mixed):
+    many = lambda df: df.where("capture_id = 'many'")
+    assert many(mixed.nodes).count() == 5 and "node_cap_exceeded" in {json.loads(r.json)["code"] for r in many(mixed.warnings).collect()}
+    assert many(mixed.regions).first().item_count == 8 and len(many(mixed.regions).first().member_node_ids) == 5
+
+
+def test_exceptions_turn_drift_into_excepted(mixed):
+    assert {(m.category, m.status, m.method) for m in mixed.nodes.where("capture_id = 'drift'").first().dna_matches} == {("token", "drift", "exact_value"), ("scale", "excepted", "rule_evaluation")}
 
 
 def test_options_and_profiles_are_checked(spark):
@@ -148,13 +160,6 @@ def test_options_and_profiles_are_checked(spark):
         build(spark, [page()], A.Profile("v", "d", "draft", {}, use_mode=None))
 
 
-def test_exceptions_turn_drift_into_excepted(spark):
-    dom = [button(0, 10, 10, styleFacts={"fontSizeCssPx": 17, "color": "#123456"})]
-    rules = ({"route": "/", "category": "scale", "reason": "legacy"}, {"route": "/other", "reason": "no"})
-    s = build(spark, [page("c", dom)], A.Profile("v", "sha256:0", "approved", DASHBOARD_TOKENS, exceptions=rules))
-    assert {(m.category, m.status, m.method) for m in s.nodes.first().dna_matches} == {("token", "drift", "exact_value"), ("scale", "excepted", "rule_evaluation")}
-
-
 @pytest.mark.parametrize(("tag", "attributes", "role"), [("a", {}, None), ("a", {"href": "/"}, "link"), ("header", {}, None), ("body", {}, None), ("html", {}, "document"), ("section", {}, None), ("section", {"aria-label": "x"}, "region"), ("input", {}, "textbox"), ("input", {"list": "l"}, "combobox"), ("input", {"type": "password"}, None), ("input", {"type": "RANGE"}, "slider"), ("select", {"multiple": ""}, "listbox"), ("select", {"size": "1"}, "combobox"), ("p", {}, "paragraph"), ("TH", {}, "columnheader"), ("div", {"role": "tab"}, "tab"), ("summary", {}, "button")])
 def test_implicit_roles(spark, tag, attributes, role):
     df = spark.createDataFrame([(tag, attributes)], "t string, a map<string,string>")
@@ -175,3 +180,29 @@ def test_canonical_input_hash_is_of_the_json(spark):
 
     (r,) = input_hashes(df, OPTIONS.json()).collect()
     assert r.input_hash == sha256_text(canonical({"capture": b, "options": OPTIONS.json()})) and tables_of(df)["captures"].count() == 1
+
+
+def test_deltas_round_trip_and_fail_closed(mixed, spark):
+    """The page of eight buttons turned into the page with a read box, through all collections."""
+    hashes = {r.capture_id: r.content_hash for r in mixed.headers.collect()}
+    pairs = spark.createDataFrame([("p", "many", "read"), ("same", "ok", "ok")], "pair string, base string, target string")
+    ids = lambda base: spark.createDataFrame([("p", hashes["many"], base, hashes["read"]), ("same", hashes["ok"], hashes["ok"], hashes["ok"])], "pair string, base_hash string, declared_base_hash string, declared_target_hash string")
+    ops = spark.createDataFrame(D.encode(mixed.pieces, mixed.pieces, pairs).collect(), "pair string, seq int, op string, key string, text string, tail string")
+    told = [r.op for r in ops.orderBy("seq").collect()]
+    assert told == sorted(told, key=list(D.OPERATIONS).index) and {"replace_header", "remove_node", "upsert_node", "remove_edge", "remove_region", "replace_metrics", "replace_warnings"} <= set(told)
+    heads, outcomes = D.apply(mixed.pieces, ops, pairs, ids(hashes["many"]))
+    assert {(r.pair, r.outcome) for r in outcomes.collect()} == {("p", "applied"), ("same", "applied")}
+    assert {r.pair: r.content_hash for r in heads.collect()} == {"p": hashes["read"], "same": hashes["ok"]}
+    seq = lambda df: D._sequenced(df.drop("seq"))
+    first = ops.where("op = 'remove_node'").orderBy("seq").first().key
+    bad = {
+        "delta_base_mismatch": (ops, ids("sha256:0")),
+        "bad_sequence": (ops.where("seq <> 1"), ids(hashes["many"])),
+        "missing_node": (seq(ops.withColumn("key", F.when((F.col("op") == "remove_node") & (F.col("key") == first), "n_x").otherwise(F.col("key")))), ids(hashes["many"])),
+        "incident_edge": (seq(ops.where("op <> 'remove_edge'")), ids(hashes["many"])),
+        "unknown_operation": (ops.withColumn("op", F.when(F.col("seq") == 0, "drop_all").otherwise(F.col("op"))), ids(hashes["many"])),
+    }
+    for code, (o, i) in bad.items():
+        assert code in {r.code for r in D.delta_issues(mixed.pieces, o, pairs, i).collect()}, code
+    heads, outcomes = D.apply(mixed.pieces, seq(ops.where("op <> 'replace_metrics'")), pairs, ids(hashes["many"]))
+    assert {(r.pair, r.outcome, tuple(r.codes)) for r in outcomes.collect()} == {("p", D.FALLBACK, ("target_mismatch",)), ("same", "applied", ())} and heads.where("pair = 'p'").count() == 0
