@@ -1,4 +1,4 @@
-"""Statistics and gates over measured representations, and contracts between producers and consumers."""
+"""Measures of representations, statistics over them, and the gates that a decision passes."""
 
 from __future__ import annotations
 
@@ -7,10 +7,15 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paneflow.functions.canonical import canonical, deflated_size, sha256_text
+from paneflow.functions.text import patch_tokens, token_estimate
+from paneflow.operators.ordering import ordinal
+from paneflow.session import cut, small, small_rows
+
 #: What each surface may ask for.
 SURFACE_VIEWS = {"gate": ["violations", "patchContext", "focus"], "mcp_review": ["violations", "patchContext", "focus"], "pointer": ["focus", "diff"], "interactive_review": ["actionMap"]}
 
@@ -44,6 +49,43 @@ def bootstrap_ratio(pairs: Iterable[tuple[float, float]], iterations: int = 2000
     return {"point": stat(data), "lower": at(a / 2), "upper": at(1 - a / 2), "level": level, "iterations": iterations, "seed": seed, "pairs": len(data)}
 
 
+def _imul(a: Column, b: Column) -> Column:
+    """The low 32 bits of a product of 32-bit numbers, in parts that fit 64 bits."""
+    low = a * b.bitwiseAND(F.lit(0xFFFF)) + F.shiftleft((a * F.shiftright(b, 16)).bitwiseAND(F.lit(0xFFFF)), 16)
+    return low.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def nth_draw(k: Column, seed: int) -> Column:
+    """The k-th draw (from 1) of ``mulberry32``: its state is a counter, so any draw is a function of its number."""
+    bind = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))
+    a = (F.lit(seed & 0xFFFFFFFF) + k.bitwiseAND(F.lit(0xFFFFFFFF)) * F.lit(0x6D2B79F5)).bitwiseAND(F.lit(0xFFFFFFFF))
+    first = lambda x: _imul(x.bitwiseXOR(F.shiftright(x, 15)), x.bitwiseOR(F.lit(1)))
+    second = lambda t: t.bitwiseXOR((t + _imul(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61)))).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return bind(bind(bind(a, first), second), lambda t: t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0))
+
+
+def bootstrap_exact(measures: DataFrame, iterations: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """cohort, point, lower, upper, pairs of 1 - sum(candidate) / sum(base): the interval of ``bootstrap_ratio`` for each cohort, with its very draws.
+
+    Each draw is computed from its number, so replicates are spread over tasks and combine on the map side. The work is
+    iterations x pairs, as resampling has it; ``bootstrap_cohorts`` is the cheaper estimate for large cohorts. Pairs
+    stand in the order of their key (a number).
+    """
+    rows = ordinal(measures.where("cohort is not null"), ["cohort"], [F.floor(F.col("key") / 4096)], [F.col("key")], "j").select("cohort", "j", "base", "candidate")
+    rows = cut(rows)
+    sizes = rows.groupBy("cohort").agg(F.count("*").alias("n"))
+    draws = rows.select("cohort", "j").join(small(sizes), "cohort").select("cohort", "n", "j", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("i"))
+    k = F.col("i").cast("bigint") * F.col("n") + F.col("j") + 1
+    taken = draws.select("cohort", "i", F.floor(nth_draw(k, seed) * F.col("n")).cast("int").alias("j"))
+    # how often a replicate takes each pair is counted before pairs are looked up
+    counted = taken.groupBy("cohort", "i", "j").agg(F.count("*").alias("w"))
+    sums = counted.join(small_rows(rows), ["cohort", "j"]).groupBy("cohort", "i").agg(F.sum(F.col("w") * F.col("base")).alias("b"), F.sum(F.col("w") * F.col("candidate")).alias("c"))
+    reps = sums.withColumn("v", F.when(F.col("b") > 0, 1 - F.col("c") / F.col("b")).otherwise(0.0)).groupBy("cohort").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    a = 1 - level
+    at = lambda q: F.get("v", F.lit(int(math.floor(q * (iterations - 1)))))
+    return reps.join(reduction(measures), "cohort").join(sizes, "cohort").select("cohort", F.col("reduction").alias("point"), at(a / 2).alias("lower"), at(1 - a / 2).alias("upper"), F.col("n").alias("pairs"))
+
+
 def bootstrap_cohorts(measures: DataFrame, iterations: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """cohort, point, lower, upper of 1 - sum(candidate) / sum(base), over any number of pairs.
 
@@ -91,73 +133,98 @@ def mcnemar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([mcnemar_exact(int(x), int(y)) for x, y in zip(a, b)])
 
 
-#: Gates: name, measure, direction and threshold (fixed values).
-GATES = [("token_reduction", "ci_lower", ">=", 0.70), ("focus_tokens_p95", "value", "<=", 1500.0), ("repeat_cost_reduction", "value", ">=", 0.60), ("valid_refs", "value", ">=", 0.995), ("match_precision", "value", ">=", 0.98), ("delta_hash_match", "value", ">=", 1.0), ("recall_loss", "value", "<=", 0.02), ("precision_loss", "value", "<=", 0.01), ("leaks", "value", "<=", 0.0)]
+#: Gates (fixed values): name, how the evidence is compared, threshold. Losses are in percentage points.
+GATES = [
+    ("token_reduction", "at_least", 0.70), ("focus_view_p95_text_tokens", "at_most", 1500.0), ("repeated_review_cost_reduction", "at_least", 0.60), ("valid_ref_rate", "at_least", 0.995), ("grounding_recall_at_1", "at_most", 1.0),
+    ("cross_snapshot_match_precision", "at_least", 0.98), ("coord_transform_error", "at_most", 2.0), ("delta_hash_match_rate", "at_least", 1.0), ("finding_quality_retention", "at_most", 2.0), ("cohort_regression", "at_most", 0.0), ("security_leaks", "at_most", 0.0),
+]
 
 
 def evaluate_gates(evidence: dict[str, dict]) -> dict:
-    """Each gate passes, fails or lacks evidence; promotion needs all to pass."""
+    """Each of the 11 gates passes, fails or lacks evidence; promotion needs all to pass.
+
+    evidence by gate: ``value``; token_reduction takes ``ci_lower`` and no diagnostic rows; coord_transform_error also
+    takes ``shorter_side``, half a percent of which is allowed if that is more; finding_quality_retention ``value``
+    (recall loss), ``precision_loss`` (1 point at most) and ``blocker_missed``.
+    """
     results = []
-    for name, measure, direction, limit in GATES:
-        value = evidence.get(name, {}).get(measure)
-        state = "insufficient" if value is None or math.isnan(value) else "pass" if (value >= limit if direction == ">=" else value <= limit) else "fail"
-        results.append({"gate": name, "state": state, "value": value, "limit": limit})
+    for name, direction, limit in GATES:
+        e = evidence.get(name, {})
+        value = e.get("ci_lower") if name == "token_reduction" else e.get("value")
+        lacking = value is None or math.isnan(value) or bool(e.get("diagnostic_only"))
+        if name == "coord_transform_error":
+            lacking, limit = lacking or e.get("shorter_side") is None, max(limit, 0.005 * (e.get("shorter_side") or 0.0))
+        ok = not lacking and (value >= limit if direction == "at_least" else value <= limit)
+        if name == "finding_quality_retention" and not lacking:
+            lacking = e.get("precision_loss") is None
+            ok = ok and not lacking and e["precision_loss"] <= 1.0 and not e.get("blocker_missed", False)
+        results.append({"gate": name, "state": "insufficient" if lacking else "pass" if ok else "fail", "value": value, "limit": limit})
     states = {r["state"] for r in results}
     verdict = "gate_rejected" if "fail" in states else "inconclusive" if "insufficient" in states else "gate_met"
     return {"results": results, "promote": verdict == "gate_met", "verdict": verdict}
 
 
-def may_request(surface: str, view: str) -> bool:
-    return view in SURFACE_VIEWS.get(surface, [])
-
-
-def resolve_ref(ref: str, snapshot_id: str, content_hash: str, headers: dict[str, dict]) -> str:
-    """'ok', or why a reference is refused: malformed, unknown_snapshot, stale_snapshot, foreign_ref, unknown_ref."""
-    parts = ref.split(":")
-    if len(parts) != 3 or parts[0] != "ug" or len(parts[1]) != 8 or not parts[2].isdigit():
-        return "malformed"
-    head = headers.get(snapshot_id)
-    if head is None:
-        return "unknown_snapshot"
-    if head["content_hash"] != content_hash:
-        return "stale_snapshot"
-    if parts[1] != head["scope"]:
-        return "foreign_ref"
-    return "ok" if ref in head["refs"] else "unknown_ref"
-
-
-def diff_json_schema(old: dict, new: dict, path: str = "#") -> list[tuple[str, str]]:
-    """(kind, path) of the changes between two JSON schemas."""
-    out: list[tuple[str, str]] = []
-    if old.get("type") != new.get("type"):
-        out.append(("type_changed", path))
-    a, b = old.get("properties", {}), new.get("properties", {})
-    for k in sorted({*a, *b}):
-        p = f"{path}/properties/{k}"
-        if k not in b:
-            out.append(("removed_property", p))
-        elif k not in a:
-            out.append(("added_required" if k in new.get("required", []) else "added_property", p))
-        else:
-            out += diff_json_schema(a[k], b[k], p)
-            was, now = k in old.get("required", []), k in new.get("required", [])
-            if was != now:
-                out.append(("now_required" if now else "now_optional", p))
-    ea, eb = old.get("enum"), new.get("enum")
-    if ea is not None or eb is not None:
-        out += [("enum_removed", path)] if set(ea or []) - set(eb or []) else []
-        out += [("enum_added", path)] if set(eb or []) - set(ea or []) else []
-    if "items" in old and "items" in new:
-        out += diff_json_schema(old["items"], new["items"], path + "/items")
-    if old.get("additionalProperties", True) != new.get("additionalProperties", True):
-        out.append(("closed" if new.get("additionalProperties") is False else "opened", path))
+def decision_report(evidence: dict[str, dict], manifest_id: str) -> dict:
+    """The decision with its evidence, addressed by its content."""
+    body = {"manifestId": manifest_id, "decision": evaluate_gates(evidence), "evidence": evidence}
+    return {**body, "reportId": "ugr_1_" + sha256_text(canonical(body))[7:39]}
+
+
+def freeze_manifest(fixtures: list[dict], version: str = "1") -> dict:
+    """A catalogue of fixtures (fixture_id, cohorts, content, provenance), each with the hash of its content, addressed by its own."""
+    rows = sorted(({"fixtureId": f["fixture_id"], "cohorts": sorted(f.get("cohorts", [])), "provenance": f.get("provenance", {}), "contentHash": sha256_text(canonical(f["content"]))} for f in fixtures), key=lambda r: r["fixtureId"])
+    body = {"version": version, "fixtures": rows}
+    return {**body, "manifestId": "ugm_1_" + sha256_text(canonical(body))[7:39]}
+
+
+def manifest_issues(manifest: dict, fixtures: list[dict]) -> list[str]:
+    """What does not hold of a frozen catalogue: its id, repeated, missing or changed fixtures, provenance that is not stated."""
+    body = {k: v for k, v in manifest.items() if k != "manifestId"}
+    out = [] if manifest.get("manifestId") == "ugm_1_" + sha256_text(canonical(body))[7:39] else ["manifest_id_mismatch"]
+    ids = [f["fixtureId"] for f in manifest["fixtures"]]
+    out += [f"duplicate_fixture:{i}" for i in sorted({i for i in ids if ids.count(i) > 1})]
+    now = {f["fixture_id"]: sha256_text(canonical(f["content"])) for f in fixtures}
+    for f in manifest["fixtures"]:
+        i = f["fixtureId"]
+        out += [f"missing_fixture:{i}"] if i not in now else [f"content_changed:{i}"] if now[i] != f["contentHash"] else []
+        out += [f"missing_provenance:{i}"] if not str(f["provenance"].get("source", "")).strip() else []
+    return out
+
+
+#: Representations that are measured against one another; the whole graph is for diagnosis only.
+REPRESENTATIONS = ("b0_raw_capture", "b1_ax_outline", "b2_screenshot", "b3_screenshot_outline", "b4_full_graph", "b5_focused_view")
+
+
+def representation_rows(raw: DataFrame, outline: DataFrame, shots: DataFrame, graph: DataFrame, focus: DataFrame, patch: int = 28) -> DataFrame:
+    """fixture, representation, available, bytes, deflated, text_tokens, visual_tokens of each fixture's six representations.
+
+    raw, outline, graph and focus: (fixture, text); shots: (fixture, width, height). A representation whose part is
+    missing is not available; visual tokens are the patches of the image.
+    """
+    def rows(name: str, text: DataFrame | None, image: DataFrame | None) -> DataFrame:
+        j = raw.select("fixture")
+        j = j.join(text.select("fixture", "text"), "fixture", "left") if text is not None else j.withColumn("text", F.lit(""))
+        j = j.join(image.select("fixture", patch_tokens(F.col("width"), F.col("height"), patch).alias("v")), "fixture", "left") if image is not None else j.withColumn("v", F.lit(0).cast("bigint"))
+        ok = F.col("text").isNotNull() & F.col("v").isNotNull()
+        return j.select("fixture", F.lit(name).alias("representation"), ok.alias("available"), F.when(ok, F.octet_length("text")).alias("bytes"), F.when(ok, deflated_size("text")).alias("deflated"), F.when(ok, token_estimate(F.col("text"))).alias("text_tokens"), F.when(ok, F.col("v")).alias("visual_tokens"))
+
+    parts = [(raw, None), (outline, None), (None, shots), (outline, shots), (graph, None), (focus, None)]
+    out = None
+    for name, (text, image) in zip(REPRESENTATIONS, parts):
+        one = rows(name, text, image)
+        out = one if out is None else out.unionByName(one)
     return out
 
 
-def version_bump_ok(changes: list[tuple[str, str]], old: str, new: str) -> bool:
-    """Whether a version step is large enough for the changes."""
-    o, n = ([int(x) for x in v.split(".")] for v in (old, new))
-    breaking = {"type_changed", "removed_property", "added_required", "now_required", "enum_removed", "closed"}
-    if any(k in breaking for k, _ in changes):
-        return n[0] > o[0]
-    return n > o if not changes else n[0] > o[0] or n[:2] > o[:2]
+def compare_representations(measured: DataFrame, cohorts: DataFrame, candidate: str = "b5_focused_view", baseline: str = "b0_raw_capture", metric: str = "text_tokens") -> DataFrame:
+    """cohort, pairs, reduction of the candidate against the baseline over the fixtures where both are available; cohorts: (fixture, cohort)."""
+    side = lambda r, n: measured.where((F.col("representation") == r) & F.col("available")).select("fixture", F.col(metric).cast("double").alias(n))
+    pairs = side(baseline, "base").join(side(candidate, "candidate"), "fixture").join(cohorts, "fixture")
+    return pairs.groupBy("cohort").agg(F.count("*").alias("pairs")).join(reduction(pairs), "cohort")
+
+
+def markdown(rows: list[dict], columns: list[str]) -> str:
+    """A table of a report: numbers as they are, nothing for null, rows in the order given."""
+    cell = lambda v: "" if v is None else f"{v:.4f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v)
+    lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    return "\n".join(lines + ["| " + " | ".join(cell(r.get(c)) for c in columns) + " |" for r in rows]) + "\n"

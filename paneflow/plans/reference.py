@@ -10,9 +10,11 @@ from paneflow import schemas as S
 from paneflow.functions import text as X
 from paneflow.operators import assemble as A
 from paneflow.operators import design as D
+from paneflow.operators import contracts as C
 from paneflow.operators import evaluate as E
 from paneflow.operators import identity as I
 from paneflow.operators import observe as O
+from paneflow.operators import query as QV
 from paneflow.operators import requests as RQ
 from paneflow.operators import structure as R
 from paneflow.operators import validate as V
@@ -117,10 +119,25 @@ def fused_nodes(spark, root):
     return _entities(spark, root).select("capture_id", "candidate_id", "entity", "kind", F.col("role.value").alias("role"), F.col("name.value").alias("name"), r6(F.col("confidence")).alias("confidence"), F.concat_ws(",", "flags").alias("flags"), evidence.alias("evidence"), F.col("geometry.visibility").alias("visibility"))
 
 
+_BUILDS: dict[tuple[str, str], A.Snapshots] = {}
+
+
 def _built(spark, root):
-    """Snapshots of all captures, with the synthetic profile."""
+    """Snapshots of all captures, with the synthetic profile; the tables are checkpointed, so queries of one session share them.
+
+    Some accessibility rows name themselves as their parent, which would refuse their captures: they are roots here.
+    """
+    key = (spark.sparkContext.applicationId, root)
+    if key not in _BUILDS:
+        _BUILDS[key] = _build(spark, root)
+    return _BUILDS[key]
+
+
+def _build(spark, root):
     profile = A.Profile("paneflow-dna@1", "sha256:" + "0" * 64, "approved", {r: (v if v is not None else n, c, 0.95) for r, c, v, n in S.DESIGN_TOKENS})
-    return A.build_snapshots(*_t(spark, root, "captures", "dom_nodes", "ax_nodes", "text_runs", "derived_items"), profile=profile)
+    caps, dom, ax, runs, derived = _t(spark, root, "captures", "dom_nodes", "ax_nodes", "text_runs", "derived_items")
+    ax = ax.withColumn("parent_source_id", F.when(F.col("parent_source_id") != F.col("source_id"), F.col("parent_source_id")))
+    return A.build_snapshots(caps, dom, ax, runs, derived, profile=profile)
 
 
 def build_headers(spark, root):
@@ -401,9 +418,54 @@ def cohort_reduction(spark, root):
 
 
 def bootstrap_ci(spark, root):
+    """The reference's resampling: 2,000 replicates, seed 42."""
+    b = E.bootstrap_exact(_measures(spark, root).withColumn("cohort", F.coalesce("cohort", F.lit("none"))))
+    return b.withColumns({c: r6(F.col(c)) for c in ("point", "lower", "upper")})
+
+
+def bootstrap_poisson(spark, root):
+    """An extension: the cheaper interval by Poisson weights."""
     return E.bootstrap_cohorts(_measures(spark, root))
 
 
+def resolve_refs(spark, root):
+    """References of snapshot nodes as their rows claim them, against the sealed tables."""
+    n = _snapshot_rows(spark, root)
+    heads, refs = I.seal_snapshots(n, "snapshot_id", "node_id", _CONTENT)
+    heads, refs = cut(heads), cut(refs)
+    claims = n.select("snapshot_id", F.col("element_ref").alias("ref")).join(heads.select("snapshot_id", "content_hash"), "snapshot_id").unionByName(refs.join(heads, "snapshot_id").select("snapshot_id", F.col("sealed_ref").alias("ref"), "content_hash"))
+    return C.resolve_refs(claims, heads, refs.withColumnRenamed("sealed_ref", "element_ref")).groupBy("snapshot_id", "resolution").agg(F.count("*").alias("n"))
+
+
+_VIEW_BUDGET = dict(max_text_tokens=4000, max_nodes=64, max_edges=128)
+
+
+def _view(spark, root, kind, refs=None):
+    s = _built(spark, root)
+    asked = s.nodes.where(refs).groupBy("snapshot_id").agg(F.min("element_ref").alias("ref")) if refs else None
+    return QV.query_view(s, RQ.ViewSpec(kind, **_VIEW_BUDGET), asked).select("snapshot_id", "kind", "view_id", "estimated_text_tokens", "serialized_bytes", F.size("included_node_ids").alias("nodes"), F.size("included_edge_ids").alias("edges"), "truncated", F.concat_ws("; ", "reasons").alias("reasons"), F.sha2("text", 256).alias("text_digest"))
+
+
+def query_summary(spark, root):
+    return _view(spark, root, "summary")
+
+
+def query_action_map(spark, root):
+    return _view(spark, root, "actionMap")
+
+
+def query_violations(spark, root):
+    return _view(spark, root, "violations")
+
+
+def query_patch_context(spark, root):
+    return _view(spark, root, "patchContext", "role = 'button'")
+
+
+def query_focus(spark, root):
+    return _view(spark, root, "focus", "role = 'button'")
+
+
 def mcnemar(spark, root):
     from paneflow.session import ship_package
 
@@ -427,5 +489,5 @@ QUERIES = {f.__name__: f for f in (
     normalize_geometry, css_color, css_length, match_text, token_estimate, patch_tokens, sanitize_text, implicit_role, durable_attributes, url_identity, text_back_references,
     fuse_claims, fuse_facts, fused_nodes, build_headers, build_nodes, build_edges, build_regions, derived_best_match, containment_parent, hierarchy_depth, descendants, region_promotion, repeated_regions, node_cap, reading_next, overlaps, aligned, near_knn,
     relation_counts, edge_degree, edge_cap, graph_metrics, node_identity, node_kind, locator_hints, token_match, token_summary, token_exceptions, violations, saliency, evidence_plan, action_map, summary_view,
-    focus_view, ax_outline, view_budget, withheld_nodes, sensitive_digest, seal_headers, seal_refs, lineage_scores, lineage_match, delta_encode, delta_apply, diff_view, issues, issues_parent, issues_cycle, cohort_reduction, bootstrap_ci, mcnemar, stability_probe,
+    focus_view, ax_outline, view_budget, withheld_nodes, sensitive_digest, seal_headers, seal_refs, lineage_scores, lineage_match, delta_encode, delta_apply, diff_view, issues, issues_parent, issues_cycle, cohort_reduction, bootstrap_ci, bootstrap_poisson, mcnemar, resolve_refs, query_summary, query_action_map, query_violations, query_patch_context, query_focus, stability_probe,
 )}

@@ -256,3 +256,16 @@ SQL["ax_outline"] = f"""WITH RECURSIVE a AS (SELECT *, printf('%07d:%s', coalesc
   SELECT capture_id, source_id, role, name, 0 AS depth, own AS path FROM a WHERE parent_source_id IS NULL OR parent_source_id = source_id OR NOT EXISTS (SELECT 1 FROM a q WHERE q.capture_id = a.capture_id AND q.source_id = a.parent_source_id)
   UNION ALL SELECT a.capture_id, a.source_id, a.role, a.name, tr.depth + 1, tr.path || '/' || a.own FROM a JOIN tr ON tr.capture_id = a.capture_id AND tr.source_id = a.parent_source_id AND a.source_id <> a.parent_source_id)
   SELECT capture_id, source_id, depth, path, repeat('  ', depth) || coalesce(role, 'generic') || CASE WHEN trim(coalesce(name, '')) <> '' THEN ' "' || {SAN.format('name')} || '"' ELSE '' END AS line FROM tr"""
+
+_IMUL = "((({0}) * (({1}) & 65535) + (((({0}) * (({1}) >> 16)) & 65535) << 16)) & 4294967295)"
+_A = "((42 + (k & 4294967295) * 1831565813) & 4294967295)"
+SQL["bootstrap_ci"] = f"""WITH m AS (SELECT coalesce(source, 'none') AS cohort, doc_id, CAST(octet_length(encode(text)) AS DOUBLE) AS b, CAST(octet_length(encode(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS DOUBLE) AS c FROM documents WHERE text IS NOT NULL),
+  p AS (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY doc_id) - 1 AS j, count(*) OVER (PARTITION BY cohort) AS n FROM m),
+  d AS (SELECT cohort, i, n, i * n + j + 1 AS k FROM p, (SELECT unnest(generate_series(0, 1999)) AS i)),
+  d0 AS (SELECT cohort, i, n, {_A} AS a FROM d), d1 AS (SELECT cohort, i, n, {_IMUL.format('xor(a, a >> 15)', 'a | 1')} AS t FROM d0),
+  d2 AS (SELECT cohort, i, n, xor(t, (t + {_IMUL.format('xor(t, t >> 7)', 't | 61')}) & 4294967295) AS t FROM d1), d3 AS (SELECT cohort, i, CAST(floor(xor(t, t >> 14) / 4294967296.0 * n) AS BIGINT) AS j FROM d2),
+  r AS (SELECT d3.cohort, i, CASE WHEN sum(b) > 0 THEN 1 - sum(c) / sum(b) ELSE 0.0 END AS v FROM d3 JOIN p ON p.cohort = d3.cohort AND p.j = d3.j GROUP BY ALL),
+  q AS (SELECT cohort, v, row_number() OVER (PARTITION BY cohort ORDER BY v) - 1 AS pos FROM r)
+  SELECT cohort, (SELECT {r6('1 - sum(c) / sum(b)')} FROM p WHERE p.cohort = q.cohort) AS point, {r6('max(v) FILTER (pos = 49)')} AS lower, {r6('max(v) FILTER (pos = 1949)')} AS upper, (SELECT count(*) FROM p WHERE p.cohort = q.cohort) AS pairs FROM q GROUP BY cohort"""
+SQL["resolve_refs"] = f"""WITH {_SEAL}, cl AS (SELECT snapshot_id, element_ref AS ref FROM sn UNION ALL SELECT snapshot_id, ref FROM s2)
+  SELECT snapshot_id, CASE WHEN NOT coalesce(regexp_matches(ref, '^ug:[0-9a-f]{{8}}:[0-9]+$'), false) THEN 'malformed_ref' WHEN (snapshot_id, ref) IN (SELECT snapshot_id, ref FROM s2) THEN 'ok' ELSE 'ref_not_in_snapshot' END AS resolution, count(*) AS n FROM cl GROUP BY ALL"""
