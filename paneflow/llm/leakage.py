@@ -37,10 +37,15 @@ def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     Case, punctuation, white space, line breaks, invisible characters and marks of quoting, comments, emphasis and
     markup do not count; nor do compatibility shapes and the form of apostrophes.
     """
-    text = _TAG.sub(lambda m: " " * len(m.group()), text)
+    if "<" in text or "&" in text:
+        text = _TAG.sub(lambda m: " " * len(m.group()), text)
     words, spans = [], []
     for m in _WORD.finditer(text):
         w = m.group()
+        if w.isascii() and w.isalnum():
+            words.append(w.lower())
+            spans.append(m.span())
+            continue
         if not w.isascii():
             w = unicodedata.normalize("NFKC", _INSIDE.sub("", w))
         w = "".join(c for c in w.casefold() if c.isalnum() or unicodedata.category(c) == "Mn")

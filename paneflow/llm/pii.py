@@ -298,7 +298,8 @@ class _Tables:
         self.shape_of: list[str] = []
         self.cue_of: list[int] = []
         self.ends = {d: self._sum([f"{d}END"]) for d in self.PLACES[1:]}
-        self.mixes: dict[tuple, np.ndarray] = {}
+        self.mixes: dict[tuple, int] = {}
+        self.mixed: list[np.ndarray] = []
         self.cues = list(CUES)
 
     def _sum(self, features: list[str]) -> np.ndarray:
@@ -315,13 +316,14 @@ class _Tables:
             self.cue_of.append(1 << self.cues.index(cue) if cue else 0)
         return got
 
-    def _mix(self, key: tuple) -> np.ndarray:
+    def _mix(self, key: tuple) -> int:
         got = self.mixes.get(key)
         if got is None:
             shapes, h, seen, near, gap = key
             names = lambda mask: [c for i, c in enumerate(self.cues) if mask >> i & 1]
             f = [f"s{x}" for x in shapes] + [f"s{x}|{h}" for x in shapes] + [f"c{x}" for x in names(seen)] + [f"n{x}" for x in names(near)] + [f"n{x}|{y}" for x in names(near) for y in shapes]
-            got = self.mixes[key] = self._sum(f + ([gap] if gap else []))
+            got = self.mixes[key] = len(self.mixed)
+            self.mixed.append(self._sum(f + ([gap] if gap else [])))
         return got
 
     def scores(self, docs: list[Doc]) -> tuple[np.ndarray, np.ndarray]:
@@ -351,14 +353,18 @@ class _Tables:
                 open_[i] &= ~line_end[i - d]
                 j = i[open_[i]]
                 close[j] |= cue[j - d]
+        told: list[int] = []
+        at_ids, seen_at, close_at = ids.tolist(), seen.tolist(), close.tolist()
         n = 0
         for d in docs:
-            before = None
-            for at, shapes in zip(d.where, d.shapes):
-                gap = "" if before is None or before[0] != at[0] else "glued" if before[2] == at[1] else "apart"
-                before = at
-                out[n] += self._mix((shapes, self.shape_of[ids[n]] if shapes else "", seen[n], close[n], gap))
+            field = end = -1
+            for (k, x, y), shapes in zip(d.where, d.shapes):
+                gap = "" if k != field else "glued" if x == end else "apart"
+                field, end = k, y
+                told.append(self._mix((shapes, self.shape_of[at_ids[n]] if shapes else "", seen_at[n], close_at[n], gap)))
                 n += 1
+        which, back = np.unique(np.asarray(told, dtype=np.int64), return_inverse=True)
+        out += np.stack([self.mixed[i] for i in which])[back]
         return out, starts
 
 
