@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -92,6 +93,16 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that were cut and that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which with a large heap may be long after; until then every
+    executor's disk holds them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _SHIPPED: set[str] = set()
 
 
