@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from paneflow.functions import geometry as G
 from paneflow.llm.text_forms import build_table, normalized
-from paneflow.session import cut, small
+from paneflow.session import cut, release, small
 from paneflow.sources.tables import latest
 
 # Words of detectors for kinds of widgets, and what pages call them.
@@ -63,7 +63,8 @@ def _lookup(groups: dict[str, str], word: Column) -> Column:
 def elements(dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame) -> DataFrame:
     """Visible elements with document rectangle, group of role and the texts that name them.
 
-    The latest delivery of each row holds. Elements that are hidden, without bounds or without area cannot be shown.
+    The latest delivery of each element holds; of rows that name elements, all deliveries count and repeats count once.
+    Elements that are hidden, without bounds or without area cannot be shown.
     """
     caps = latest(captures.where("capture_id is not null").select("capture_id", "received_at", "frames"), ["capture_id"], "received_at", ["frames"]).select("capture_id", "frames")
     slim = dom.where("capture_id is not null and source_id is not null").withColumns({"label": F.element_at("attributes", "aria-label"), "input_type": F.element_at("attributes", "type")})
@@ -72,10 +73,10 @@ def elements(dom: DataFrame, ax: DataFrame, runs: DataFrame, captures: DataFrame
     boxes = d.where("parent_source_id is not null and lower(coalesce(tag, '')) <> 'svg'").select("capture_id", F.col("parent_source_id").alias("source_id"), F.lit(True).alias("box")).distinct()
     d = d.where("visible and bounds.width > 0 and bounds.height > 0 and lower(coalesce(tag, '')) not in ('body', 'html', 'canvas')")
     d = d.join(small(caps), "capture_id", "left").withColumn("rect", F.when(F.col("frames").isNull(), F.col("bounds")).otherwise(G.transform_rect(G.frame_transform(F.col("frames"), F.col("frame_id")), F.col("bounds"))))
-    a = latest(ax.where("capture_id is not null and backend_dom_source_id is not null"), ["capture_id", "source_id"], "received_at", ["backend_dom_source_id", "role", "name"])
+    # repeated deliveries of an accessibility row or a run say the same, so what they say of an element needs no latest one
+    a = ax.where("capture_id is not null and source_id is not null and backend_dom_source_id is not null")
     a = a.groupBy("capture_id", F.col("backend_dom_source_id").alias("source_id")).agg(F.min("role").alias("ax_role"), F.min(F.when(F.trim("name") != "", F.col("name"))).alias("ax_name"))
-    r = latest(runs.where("capture_id is not null and dom_source_id is not null"), ["capture_id", "source_id"], "received_at", ["dom_source_id", "text"])
-    r = r.where("text is not null and text <> '[redacted]'").groupBy("capture_id", F.col("dom_source_id").alias("source_id")).agg(F.array_join(F.array_sort(F.collect_set("text")), " ").alias("run_text"))
+    r = runs.where("capture_id is not null and source_id is not null and dom_source_id is not null and text is not null and text <> '[redacted]'").groupBy("capture_id", F.col("dom_source_id").alias("source_id")).agg(F.array_join(F.array_sort(F.collect_set("text")), " ").alias("run_text"))
     e = d.join(a, ["capture_id", "source_id"], "left").join(r, ["capture_id", "source_id"], "left").join(boxes, ["capture_id", "source_id"], "left")
     tag = F.lower(F.coalesce("tag", F.lit("")))
     label = F.col("label")
@@ -212,7 +213,9 @@ def match(derived: DataFrame, dom: DataFrame, ax: DataFrame, runs: DataFrame, ca
     busy = small(derived.where("capture_id is not null and kind in ('vision_parser', 'ocr')").select("capture_id").distinct())
     dom, ax, runs = (t.join(busy, "capture_id", "left_semi") for t in (dom, ax, runs))
     page = cut(elements(dom, ax, runs, captures))
+    release(spark)
     page = _with_loose_runs(page, runs, captures, spec)
+    release(spark)
     # the texts are compared by look and by display, in lower case; each distinct one is normalized once
     texts = normalized(page.select(F.explode("names").alias("n")).distinct(), "n", table, "nf").select("n", F.array(F.lower("nf.look"), F.lower("nf.display")).alias("forms"))
     named = page.select("capture_id", "dom_source_id", F.explode("names").alias("n")).join(small(texts), "n").groupBy("capture_id", "dom_source_id").agg(F.array_distinct(F.flatten(F.collect_set("forms"))).alias("forms"))
