@@ -8,15 +8,17 @@ fused with its best element if the posterior says so.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneflow.functions import geometry as G
-from paneflow.llm.text_forms import build_table, normalized
-from paneflow.session import cut, release, small
+from paneflow.llm.text_forms import Forms, build_table, normalized
+from paneflow.session import cut, release, small, small_rows
 from paneflow.sources.tables import latest
 
 # Words of detectors for kinds of widgets, and what pages call them.
@@ -133,7 +135,19 @@ def _with_loose_runs(page: DataFrame, runs: DataFrame, captures: DataFrame, spec
     held = held.where((G.intersection_area(b, e) >= 0.8 * G.area(b)) & (b["height"] < e["height"] + 4))
     owner = held.groupBy("capture_id", "run").agg(F.min_by(F.struct("dom_source_id", "text"), F.struct(G.area(e), "dom_source_id")).alias("o"))
     texts = cut(owner.groupBy("capture_id", F.col("o.dom_source_id").alias("dom_source_id")).agg(F.array_sort(F.collect_set("o.text")).alias("loose")))
-    return page.join(small(texts), ["capture_id", "dom_source_id"], "left").withColumn("names", F.concat("names", F.coalesce("loose", F.array().cast("array<string>")))).withColumn("name", F.coalesce("name", F.get("loose", F.lit(0)))).drop("loose")
+    return page.join(small_rows(texts), ["capture_id", "dom_source_id"], "left").withColumn("names", F.concat("names", F.coalesce("loose", F.array().cast("array<string>")))).withColumn("name", F.coalesce("name", F.get("loose", F.lit(0)))).drop("loose")
+
+
+def lower_forms(table: dict[str, str]):
+    """A function of an array of texts: the distinct looks and displays of all of them, in lower case. No row leaves its place for it."""
+
+    @F.pandas_udf("array<string>")
+    def forms(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        f = Forms(table)
+        for s in parts:
+            yield s.map(lambda names: list(dict.fromkeys(x.lower() for n in names if n is not None for x in (f.all(n)[1], f.all(n)[0]))) if names is not None else [])
+
+    return forms
 
 
 def vote(pairs: DataFrame) -> DataFrame:
@@ -216,10 +230,8 @@ def match(derived: DataFrame, dom: DataFrame, ax: DataFrame, runs: DataFrame, ca
     release(spark)
     page = _with_loose_runs(page, runs, captures, spec)
     release(spark)
-    # the texts are compared by look and by display, in lower case; each distinct one is normalized once
-    texts = normalized(page.select(F.explode("names").alias("n")).distinct(), "n", table, "nf").select("n", F.array(F.lower("nf.look"), F.lower("nf.display")).alias("forms"))
-    named = page.select("capture_id", "dom_source_id", F.explode("names").alias("n")).join(small(texts), "n").groupBy("capture_id", "dom_source_id").agg(F.array_distinct(F.flatten(F.collect_set("forms"))).alias("forms"))
-    slim = page.select("capture_id", "dom_source_id", "ord", "rect", "group", "widget").join(named, ["capture_id", "dom_source_id"], "left").withColumn("names", F.coalesce("forms", F.array().cast("array<string>"))).drop("forms")
+    # the texts are compared by look and by display, in lower case
+    slim = page.select("capture_id", "dom_source_id", "ord", "rect", "group", "widget", lower_forms(table)("names").alias("names"))
     found = items(derived, captures)
     read = normalized(found.select("item_text").where("item_text is not null").distinct(), "item_text", table, "tf").select("item_text", F.lower("tf.look").alias("said"), F.when(F.lower("tf.display") != F.lower("tf.look"), F.lower("tf.display")).alias("shown"))
     found = found.select("capture_id", "item_source_id", "kind", "box", "item_class", "item_text").join(small(read), "item_text", "left").drop("item_text").na.fill("", ["said"])
