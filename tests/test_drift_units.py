@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 
 from paneflow.functions.lengths import parse_length, to_css_px
+from paneflow.operators import units
 from paneflow.operators.schema_drift import Field, drift, rescue_ingest
 from paneflow.operators.units import UnitModelSpec, normalize_lengths
 from pyspark.sql import functions as F
@@ -98,3 +99,49 @@ def test_forest_learns_missing_units(spark):
     reads = spark.createDataFrame(rows, "reading_id bigint, capture_id string, source_id string, property string, provider string, original string, unit string, received_at timestamp")
     out = normalize_lengths(reads, dom, caps, UnitModelSpec(trees=8), bare_unit=None).where("predicted_unit is not null").collect()
     assert len(out) == 60 and sum(r.predicted_unit == truth[r.reading_id] for r in out) >= 54
+
+
+def bare_page(spark, bare, stated=300):
+    """Stated readings in px, pt and mm that fit the page, and bare ones of the given value where the page has 40 px and the provider states points."""
+    t = datetime(2025, 1, 1)
+    caps = spark.createDataFrame([("c", (100.0, 100.0, 2.0, 0.0, 0.0), t)], "capture_id string, viewport struct<width_css_px:double,height_css_px:double,device_scale_factor:double,scroll_x_css_px:double,scroll_y_css_px:double>, received_at timestamp")
+    factor = {"px": 1.0, "pt": 96 / 72, "mm": 96 / 25.4}
+    rows = [(i, "c", f"d{i}", "width", f"p{i % 3}", f"{(20.0 + i) / factor[u]:.4f}", u, t) for i in range(stated) for u in [list(factor)[i % 3]]]
+    rows += [(10_000 + k, "c", "b", "width", "p1", v, None, t) for k, v in enumerate(bare)]
+    dom = spark.createDataFrame([("c", f"d{i}", {"width": (None, 20.0 + i)}, t) for i in range(stated)] + [("c", "b", {"width": (None, 40.0)}, t)], "capture_id string, source_id string, style_facts map<string,struct<s:string,n:double>>, received_at timestamp")
+    return spark.createDataFrame(rows, "reading_id bigint, capture_id string, source_id string, property string, provider string, original string, unit string, received_at timestamp"), dom, caps
+
+
+def test_contradictions_come_through_the_forest(spark, monkeypatch):
+    """30 would be points by provider and ratio; under the convention it is px, and the forest is to know that."""
+    page, spec, seen = bare_page(spark, ["30"] * 20 + ["40"] * 20), UnitModelSpec(trees=8), []
+    predict = units.predict_units
+    monkeypatch.setattr(units, "predict_units", lambda *a, **k: seen.append(predict(*a, **k)) or seen[-1])
+    assert {r.reading_id for r in units.contradictions(*page, spec=spec).collect()} == set(range(10_000, 10_020))
+    assert len(seen) == 1 and [r.predicted_unit for r in seen[0].collect()] == ["px"] * 40
+    out = normalize_lengths(*page, spec).where("unit_source = 'convention'").collect()
+    assert {r.route for r in out} == {"assigned"} and {r.unit for r in out} == {"px"}
+
+
+@pytest.mark.parametrize("stated", [0, 1, 300])
+def test_the_convention_answers_the_review(spark, monkeypatch, stated):
+    """A forest that is sure of another unit, or none at all, changes no row; without a convention an unsure reading has no unit."""
+    page = bare_page(spark, ["30", "40"], stated)
+    if stated == 300:
+        monkeypatch.setattr(units, "predict_units", lambda rows, *a: rows.where("unit_source = 'none'").select("reading_id", F.lit("pt").alias("predicted_unit"), F.lit(1.0).alias("unit_confidence")))
+    assert [r.reading_id for r in units.contradictions(*page).collect()] == [10_000]
+    assert {r.route for r in normalize_lengths(*page).where("unit_source = 'convention'").collect()} == {"review"}
+    if stated < 300:
+        assert units.contradictions(*page, bare_unit=None).count() == 0
+
+
+def test_odd_numbers_do_not_stop_the_forest(spark):
+    """Scales and lengths that are no finite numbers, nulls and zero among the readings that the forest sees."""
+    reads, dom, caps = bare_page(spark, ["30", "40", "0", "1e308"])
+    t, nan, inf = datetime(2025, 1, 1), float("nan"), float("inf")
+    caps = caps.unionByName(spark.createDataFrame([(c, (1.0, 1.0, s, 0.0, 0.0), t) for c, s in (("n", nan), ("i", inf), ("z", 0.0), ("m", None))], caps.schema))
+    dom = dom.unionByName(spark.createDataFrame([(c, "e", {"width": ("40 device px", None), "height": ("1e308in", None)}, t) for c in "nizm"], dom.schema))
+    odd = [(20_000 + 10 * i + k, c, "e", p, v, o, None, t) for i, c in enumerate(["n", "i", "z", "m", None]) for k, (p, v, o) in enumerate([("width", "p1", "30"), ("height", None, "30"), (None, "p1", "30pt"), ("width", "p2", "30 device px")])]
+    out = [r.reading_id for r in units.contradictions(reads.unionByName(spark.createDataFrame(odd, reads.schema)), dom, caps, spec=UnitModelSpec(trees=4)).collect()]
+    # 40 device px at an infinite scale are 0 px, from which 30 differs
+    assert sorted(out) == [10_000, 10_002, 10_003, 20_010]
