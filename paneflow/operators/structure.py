@@ -153,6 +153,23 @@ def reading_next(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     return placed.join(nxt, ["capture_id", "p", "i"]).select("capture_id", F.col("node_id").alias("from_id"), "to_id")
 
 
+def grid(nodes: DataFrame) -> DataFrame:
+    """The nodes with a rectangle, and the cells x0 to x1 and y0 to y1 of their capture's grid that it covers.
+
+    A cell is a twentieth of the capture's extent, 50 px at least. Relations hold between nodes that share a cell.
+    """
+    g = nodes.where("x is not null and y is not null and w is not null and h is not null").select("capture_id", "node_id", "x", "y", "w", "h")
+    span = g.groupBy("capture_id").agg(F.greatest(F.lit(100.0), F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))).alias("span"))
+    g = g.join(small(span), "capture_id").withColumn("cell", F.greatest(F.lit(50.0), F.col("span") / 20)).drop("span")
+    for c, s in (("x", "w"), ("y", "h")):
+        g = g.withColumn(f"{c}0", F.floor(F.col(c) / F.col("cell"))).withColumn(f"{c}1", F.floor((F.col(c) + F.col(s)) / F.col("cell")))
+    return g.drop("cell")
+
+
+def _sided(df: DataFrame, side: str, shared: list[str]) -> DataFrame:
+    return df.select(*shared, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in shared])
+
+
 def spatial_pairs(nodes: DataFrame) -> DataFrame:
     """Unordered pairs of nodes of a capture that share a cell of its grid: a twentieth of its extent, 50 px at least.
 
@@ -181,14 +198,25 @@ def overlaps(pairs: DataFrame, threshold: float = 0.1) -> DataFrame:
     return pairs.withColumn("iou", _iou()).where(F.col("iou") >= threshold).select("capture_id", F.col("a_node_id").alias("from_id"), F.col("b_node_id").alias("to_id"), "iou")
 
 
-def aligned(pairs: DataFrame, members: DataFrame, tolerance: float = 4.0) -> DataFrame:
-    """Pairs of a common region whose left edges, centres or right edges are within tolerance."""
-    x = lambda s, k: F.col(f"{s}_x") + F.col(f"{s}_w") * k
-    kinds = F.array_compact(F.array(*[F.when(F.abs(x("a", k) - x("b", k)) <= tolerance, F.lit(f"aligned_{n}")) for n, k in (("start", 0.0), ("center", 0.5), ("end", 1.0))]))
-    near = pairs.withColumn("kinds", kinds).where(F.size("kinds") > 0).select("capture_id", "a_node_id", "b_node_id", "kinds")
+def aligned(nodes: DataFrame, members: DataFrame, tolerance: float = 4.0) -> DataFrame:
+    """Pairs of a common region that share a cell of the grid and whose left edges, centres or right edges are within tolerance.
+
+    A pair meets by region, band of the edge's place and row of the grid, so only what is nearly aligned is compared. It is
+    emitted in the first row of cells and the first region that both have.
+    """
+    band, slack = max(8 * tolerance, 1.0), tolerance * 1.01 + 1e-3
     regions = members.groupBy("capture_id", "node_id").agg(F.collect_set("region").alias("r"))
-    near = near.join(regions.withColumnsRenamed({"node_id": "a_node_id", "r": "ra"}), ["capture_id", "a_node_id"]).join(regions.withColumnsRenamed({"node_id": "b_node_id", "r": "rb"}), ["capture_id", "b_node_id"])
-    return near.where(F.arrays_overlap("ra", "rb")).select("capture_id", F.col("a_node_id").alias("from_id"), F.col("b_node_id").alias("to_id"), F.explode("kinds").alias("kind"))
+    n = grid(nodes).join(regions, ["capture_id", "node_id"])
+    # the regions are compared only where a node has several
+    n = n.select("capture_id", "node_id", "x", "w", "x0", "x1", "y0", "y1", F.when(F.size("r") > 1, F.col("r")).alias("r"), F.explode("r").alias("region"))
+    n = n.select("*", F.explode(F.array(*[F.struct(F.lit(f"aligned_{k}").alias("kind"), (F.col("x") + F.col("w") * part).alias("at")) for k, part in (("start", 0.0), ("center", 0.5), ("end", 1.0))])).alias("e")).select("*", "e.kind", "e.at").drop("e", "x", "w")
+    n = n.withColumn("gy", F.explode(F.sequence("y0", "y1"))).drop("y1")
+    shared = ["capture_id", "region", "kind", "band", "gy"]
+    a = _sided(n.withColumn("band", F.floor(F.col("at") / band)), "a", shared)
+    b = _sided(n.withColumn("band", F.explode(F.sequence(F.floor((F.col("at") - slack) / band), F.floor((F.col("at") + slack) / band)))), "b", shared)
+    first = (F.col("gy") == F.greatest("a_y0", "b_y0")) & (F.col("a_r").isNull() | F.col("b_r").isNull() | (F.array_min(F.array_intersect("a_r", "b_r")) == F.col("region")))
+    near = (F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.abs(F.col("a_at") - F.col("b_at")) <= tolerance)
+    return a.join(b, shared).where((F.col("a_node_id") < F.col("b_node_id")) & near & first).select("capture_id", F.col("a_node_id").alias("from_id"), F.col("b_node_id").alias("to_id"), "kind")
 
 
 def near_knn(pairs: DataFrame, k: int = 4) -> DataFrame:
@@ -211,7 +239,7 @@ def relations(nodes: DataFrame, parents: DataFrame, members: DataFrame | None =
         edge(parents.where("parent_id is not null").select("capture_id", F.col("parent_id").alias("from_id"), F.col("node_id").alias("to_id")), "contains", w["contains"])
         .unionByName(edge(reading_next(nodes, parents), "reading_next", w["reading_next"]))
         .unionByName(edge(overlaps(pairs), "overlaps", F.col("iou")))
-        .unionByName(edge(aligned(pairs, members), F.col("kind"), w["aligned"]))
+        .unionByName(edge(aligned(nodes, members), F.col("kind"), w["aligned"]))
         .unionByName(edge(near_knn(pairs), "near", w["near"]))
     )
 

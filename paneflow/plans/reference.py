@@ -203,7 +203,7 @@ def overlaps(spark, root):
 
 def aligned(spark, root):
     n, p = _tree(spark, root)
-    return R.aligned(R.spatial_pairs(n), R.region_members(n, p))
+    return R.aligned(n, R.region_members(n, p))
 
 
 def near_knn(spark, root):
