@@ -6,6 +6,8 @@ grid cells, so work is spread by cell and a capture of any share of the rows is
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -194,8 +196,32 @@ def _iou() -> Column:
     return F.when(i > 0, F.try_divide(i, F.col("a_w") * F.col("a_h") + F.col("b_w") * F.col("b_h") - i)).otherwise(0.0)
 
 
-def overlaps(pairs: DataFrame, threshold: float = 0.1) -> DataFrame:
-    return pairs.withColumn("iou", _iou()).where(F.col("iou") >= threshold).select("capture_id", F.col("a_node_id").alias("from_id"), F.col("b_node_id").alias("to_id"), "iou")
+def overlaps(nodes: DataFrame, threshold: float = 0.1, cell: float = 64.0) -> DataFrame:
+    """Pairs of a capture whose intersection over union is ``threshold`` at least, which must be over 0.
+
+    Rectangles that intersect share a cell of any grid, so they meet in a finer one than ``grid``: each is entered at the
+    level whose cells are as long as its longer side. The longer sides of a pair differ by a factor of 1 / threshold at
+    most, so a rectangle looks at that many levels and no more. A pair is emitted in the first cell that both cover.
+    """
+    if not threshold > 0:
+        raise ValueError("threshold must be over 0")
+    up = int(math.log2(1 / min(threshold, 1.0)) + 1e-6) + 1
+    g = nodes.where("x is not null and y is not null and w > 0 and h > 0").select("capture_id", "node_id", "x", "y", "w", "h")
+    g = g.withColumn("own", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest("w", "h") / cell))).cast("int"))
+
+    def cells(df: DataFrame, side: str) -> DataFrame:
+        k = F.pow(F.lit(2.0), F.col("level")) * cell
+        df = df.withColumns({"x0": F.floor(F.col("x") / k), "y0": F.floor(F.col("y") / k), "x1": F.floor((F.col("x") + F.col("w")) / k), "y1": F.floor((F.col("y") + F.col("h")) / k)})
+        df = df.withColumn("gx", F.explode(F.sequence("x0", "x1"))).withColumn("gy", F.explode(F.sequence("y0", "y1"))).drop("x1", "y1")
+        return _sided(df, side, ["capture_id", "level", "gx", "gy"])
+
+    a = cells(g.withColumn("level", F.explode(F.sequence(F.col("own"), F.col("own") + up))), "a")
+    b = cells(g.withColumn("level", F.col("own")), "b")
+    first = (F.col("gx") == F.greatest("a_x0", "b_x0")) & (F.col("gy") == F.greatest("a_y0", "b_y0"))
+    # of one level, each pair would come twice
+    once_ = (F.col("a_own") < F.col("b_own")) | (F.col("a_node_id") < F.col("b_node_id"))
+    met = a.join(b, ["capture_id", "level", "gx", "gy"]).where(first & once_ & (F.col("a_node_id") != F.col("b_node_id"))).withColumn("iou", _iou())
+    return met.where(F.col("iou") >= threshold).select("capture_id", F.least("a_node_id", "b_node_id").alias("from_id"), F.greatest("a_node_id", "b_node_id").alias("to_id"), "iou")
 
 
 def aligned(nodes: DataFrame, members: DataFrame, tolerance: float = 4.0) -> DataFrame:
@@ -238,7 +264,7 @@ def relations(nodes: DataFrame, parents: DataFrame, members: DataFrame | None =
     return (
         edge(parents.where("parent_id is not null").select("capture_id", F.col("parent_id").alias("from_id"), F.col("node_id").alias("to_id")), "contains", w["contains"])
         .unionByName(edge(reading_next(nodes, parents), "reading_next", w["reading_next"]))
-        .unionByName(edge(overlaps(pairs), "overlaps", F.col("iou")))
+        .unionByName(edge(overlaps(nodes), "overlaps", F.col("iou")))
         .unionByName(edge(aligned(nodes, members), F.col("kind"), w["aligned"]))
         .unionByName(edge(near_knn(pairs), "near", w["near"]))
     )

@@ -198,7 +198,7 @@ def reading_next(spark, root):
 
 
 def overlaps(spark, root):
-    return R.overlaps(R.spatial_pairs(box_nodes(spark, root))).withColumn("iou", r6(F.col("iou")))
+    return R.overlaps(cut(box_nodes(spark, root))).withColumn("iou", r6(F.col("iou")))
 
 
 def aligned(spark, root):

@@ -55,3 +55,15 @@ def test_aligned_pairs_meet_by_region(spark, pages):
             want |= {(a[0], a[1], b[1], f"aligned_{k}") for k, p in (("start", 0.0), ("center", 0.5), ("end", 1.0)) if abs(a[3] + a[5] * p - b[3] - b[5] * p) <= 4}
     rows = [(x.capture_id, x.from_id, x.to_id, x.kind) for x in df.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 100
+
+
+@pytest.mark.parametrize("threshold", [0.1, 0.5, 1.0])
+def test_overlaps_meet_in_a_fine_grid(spark, pages, threshold):
+    want = set()
+    for a, b in sharing(pages):
+        i = max(0, min(a[3] + a[5], b[3] + b[5]) - max(a[3], b[3])) * max(0, min(a[4] + a[6], b[4] + b[6]) - max(a[4], b[4]))
+        if i > 0 and i / (a[5] * a[6] + b[5] * b[6] - i) >= threshold:
+            want.add((a[0], a[1], b[1]))
+    assert edges(R.overlaps(spark.createDataFrame(pages, SHAPE), threshold)) == want and want
+    with pytest.raises(ValueError):
+        R.overlaps(spark.createDataFrame(pages, SHAPE), 0.0)
