@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from paneflow import schemas as S
 from paneflow.operators.observe import lookup
 from paneflow.operators.ordering import ordinal
-from paneflow.session import cut, once, small
+from paneflow.session import cut, default_parallelism, once, ship_package, small
 
 LEVELS = 16
 
@@ -172,23 +172,6 @@ def _sided(df: DataFrame, side: str, shared: list[str]) -> DataFrame:
     return df.select(*shared, *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c not in shared])
 
 
-def spatial_pairs(nodes: DataFrame) -> DataFrame:
-    """Unordered pairs of nodes of a capture that share a cell of its grid: a twentieth of its extent, 50 px at least.
-
-    The pair is emitted in one cell only, the first that both cover, so no distinct is needed.
-    """
-    g = nodes.where("x is not null and y is not null and w is not null and h is not null").select("capture_id", "node_id", "x", "y", "w", "h")
-    span = g.groupBy("capture_id").agg(F.greatest(F.lit(100.0), F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))).alias("span"))
-    g = g.join(small(span), "capture_id").withColumn("cell", F.greatest(F.lit(50.0), F.col("span") / 20)).drop("span")
-    for c, s in (("x", "w"), ("y", "h")):
-        g = g.withColumn(f"{c}0", F.floor(F.col(c) / F.col("cell"))).withColumn(f"{c}1", F.floor((F.col(c) + F.col(s)) / F.col("cell")))
-    cells = g.withColumn("gx", F.explode(F.sequence("x0", "x1"))).withColumn("gy", F.explode(F.sequence("y0", "y1"))).drop("cell")
-    a = cells.select("capture_id", "gx", "gy", *[F.col(c).alias(f"a_{c}") for c in ("node_id", "x", "y", "w", "h", "x0", "y0")])
-    b = cells.select("capture_id", "gx", "gy", *[F.col(c).alias(f"b_{c}") for c in ("node_id", "x", "y", "w", "h", "x0", "y0")])
-    first = (F.col("gx") == F.greatest("a_x0", "b_x0")) & (F.col("gy") == F.greatest("a_y0", "b_y0"))
-    return a.join(b, ["capture_id", "gx", "gy"]).where(first & (F.col("a_node_id") < F.col("b_node_id"))).drop("gx", "gy", "a_x0", "a_y0", "b_x0", "b_y0")
-
-
 def _iou() -> Column:
     iw = F.greatest(F.lit(0.0), F.least(F.col("a_x") + F.col("a_w"), F.col("b_x") + F.col("b_w")) - F.greatest("a_x", "b_x"))
     ih = F.greatest(F.lit(0.0), F.least(F.col("a_y") + F.col("a_h"), F.col("b_y") + F.col("b_h")) - F.greatest("a_y", "b_y"))
@@ -245,19 +228,140 @@ def aligned(nodes: DataFrame, members: DataFrame, tolerance: float = 4.0) -> Dat
     return a.join(b, shared).where((F.col("a_node_id") < F.col("b_node_id")) & near & first).select("capture_id", F.col("a_node_id").alias("from_id"), F.col("b_node_id").alias("to_id"), "kind")
 
 
-def near_knn(pairs: DataFrame, k: int = 4) -> DataFrame:
-    """Edges to the k nearest by centre among the grid's pairs (ties by id), each pair once."""
-    dx = F.col("a_x") + F.col("a_w") / 2 - F.col("b_x") - F.col("b_w") / 2
-    dy = F.col("a_y") + F.col("a_h") / 2 - F.col("b_y") - F.col("b_h") / 2
-    d = pairs.select("capture_id", "a_node_id", "b_node_id", (dx * dx + dy * dy).alias("d"))
-    both = d.select("capture_id", F.col("a_node_id").alias("n"), F.col("b_node_id").alias("m"), "d").unionByName(d.select("capture_id", F.col("b_node_id").alias("n"), F.col("a_node_id").alias("m"), "d"))
-    best = both.withColumn("r", F.row_number().over(W.partitionBy("capture_id", "n").orderBy("d", "m"))).where(F.col("r") <= k)
-    return best.select("capture_id", F.least("n", "m").alias("from_id"), F.greatest("n", "m").alias("to_id")).distinct()
+#: Nodes of a tile, about. A capture of twice as many at most is one tile.
+TILE_NODES = 512
+
+
+def near_knn(nodes: DataFrame, k: int = 4, tile_nodes: int = TILE_NODES) -> DataFrame:
+    """Edges to the k nearest by centre among the nodes that share a cell of the grid (ties by id), each pair once.
+
+    A capture is cut into tiles of about ``tile_nodes`` centres, each with a margin of half a tile from its neighbours. A
+    node whose k nearest are nearer than the end of the margin has them in its tile; any other, if there is one, is
+    compared with all nodes that share a cell with it.
+    """
+    spark = nodes.sparkSession
+    ship_package(spark)
+    # the table comes twice: for the tiles' size and for the tiles
+    g = grid(nodes).withColumns({"cx": F.col("x") + F.col("w") / 2, "cy": F.col("y") + F.col("h") / 2})
+    ends = g.groupBy("capture_id").agg(F.count("*").alias("n"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("cx", "cy") for f in (F.min, F.max)])
+    wide, high, share = F.col("cx_max") - F.col("cx_min"), F.col("cy_max") - F.col("cy_min"), tile_nodes / F.col("n")
+    size = F.when(F.col("n") > 2 * tile_nodes, F.greatest(F.lit(1.0), F.sqrt(wide * high * share), wide * share, high * share))
+    ends = ends.select("capture_id", "cx_min", "cy_min", size.alias("tile"), F.floor(wide / size).alias("cx_last"), F.floor(high / size).alias("cy_last"))
+    g = g.join(small(ends), "capture_id")
+    for c in ("cx", "cy"):
+        at = lambda d: F.coalesce(F.greatest(F.lit(0), F.least(F.col(f"{c}_last"), F.floor((F.col(c) - F.col(f"{c}_min")) / F.col("tile") + d))), F.lit(0))  # noqa: B023, E731
+        g = g.withColumns({f"{c}_own": at(0.0), f"{c}_tile": F.explode(F.sequence(at(-0.5), at(0.5)))})
+    place = ["capture_id", "cx_tile", "cy_tile"]
+    # how far it is from a node to the end of what its tile knows; beyond the outermost tiles there is nothing
+    low = lambda c: F.when(F.col(f"{c}_tile") > 0, F.col(c) - F.col(f"{c}_min") - (F.col(f"{c}_tile") - 0.5) * F.col("tile"))
+    high_ = lambda c: F.when(F.col(f"{c}_tile") < F.col(f"{c}_last"), (F.col(f"{c}_tile") + 1.5) * F.col("tile") - F.col(c) + F.col(f"{c}_min"))
+    known = F.coalesce(F.least(low("cx"), high_("cx"), low("cy"), high_("cy")), F.lit(float("inf")))
+    own = (F.col("cx_own") == F.col("cx_tile")) & (F.col("cy_own") == F.col("cy_tile"))
+    g = g.select(*place, "node_id", "x", "y", "w", "h", "x0", "x1", "y0", "y1", own.alias("own"), known.alias("known"), F.col("tile").isNull().alias("whole"))
+    tiles = g.repartition(default_parallelism(spark), *place).sortWithinPartitions(*place, "node_id")
+    found = cut(tiles.mapInPandas(_tiles_nearest(k), "capture_id string, from_id string, to_id string, whole boolean"))
+    pairs = found.where("to_id is not null").select("capture_id", "from_id", "to_id", "whole")
+    left = found.where("to_id is null").select("capture_id", F.col("from_id").alias("node_id"))
+    if not left.isEmpty():
+        pairs = pairs.unionByName(_nearest_in_cells(nodes, left, k).withColumn("whole", F.lit(False)))
+    # a tile that is the whole capture has each pair once
+    several = pairs.where("not whole").select("capture_id", "from_id", "to_id").distinct()
+    return pairs.where("whole").select("capture_id", "from_id", "to_id").unionByName(several)
+
+
+def _nearest_in_cells(nodes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """As ``near_knn``, for some nodes only: each is compared with all that share a cell with it."""
+    cells = grid(nodes.join(asked.select("capture_id").distinct(), "capture_id", "left_semi")).withColumn("gx", F.explode(F.sequence("x0", "x1"))).withColumn("gy", F.explode(F.sequence("y0", "y1")))
+    shared = ["capture_id", "gx", "gy"]
+    p = _sided(cells.join(asked, ["capture_id", "node_id"], "left_semi"), "p", shared).join(_sided(cells, "q", shared), shared)
+    p = p.where((F.col("gx") == F.greatest("p_x0", "q_x0")) & (F.col("gy") == F.greatest("p_y0", "q_y0")) & (F.col("p_node_id") != F.col("q_node_id")))
+    # the difference is taken from the lower id to the higher, so that a pair has one distance
+    apart = lambda c, s: F.when(F.col("p_node_id") < F.col("q_node_id"), F.col(f"p_{c}") + F.col(f"p_{s}") / 2 - F.col(f"q_{c}") - F.col(f"q_{s}") / 2).otherwise(F.col(f"q_{c}") + F.col(f"q_{s}") / 2 - F.col(f"p_{c}") - F.col(f"p_{s}") / 2)
+    p = p.select("capture_id", F.col("p_node_id").alias("n"), F.col("q_node_id").alias("m"), apart("x", "w").alias("dx"), apart("y", "h").alias("dy")).withColumn("d", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    best = p.withColumn("r", F.row_number().over(W.partitionBy("capture_id", "n").orderBy("d", "m"))).where(F.col("r") <= k)
+    return best.select("capture_id", F.least("n", "m").alias("from_id"), F.greatest("n", "m").alias("to_id"))
+
+
+def _tiles_nearest(k: int, block: int = 1 << 20):
+    """Over rows sorted by tile and id: the pairs of the tiles' own nodes with their nearest, and without a second id the nodes whose nearest may lie beyond."""
+    import numpy as np
+    import pandas as pd
+
+    def nearest(tile: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(tile["x"])
+        owned, every = np.flatnonzero(tile["own"]), np.arange(n)
+        lo, hi, open_ = [], [], []
+        step = max(1, block // max(1, n))
+        for at in range(0, len(owned), step):
+            o = owned[at : at + step]
+            d = np.zeros((len(o), n))
+            shares = o[:, None] != every
+            for c, s in (("x", "w"), ("y", "h")):
+                p, half, c0, c1 = tile[c], tile[s] / 2, tile[f"{c}0"], tile[f"{c}1"]
+                far = p + half
+                # the difference is taken from the lower id to the higher, so that a pair has one distance
+                diff = np.where(o[:, None] < every, far[o][:, None] - p - half, far - p[o][:, None] - half[o][:, None])
+                d += diff * diff
+                shares &= (c0[o][:, None] <= c1) & (c0 <= c1[o][:, None])
+            d[~shares] = np.inf
+            last = np.partition(d, k - 1, axis=1)[:, k - 1] if n > k else np.full(len(o), np.inf)
+            margin = tile["known"][o] * (1 - 1e-9) - 1e-6
+            sure = np.isinf(tile["known"][o]) | (last < margin * margin) & (margin > 0)
+            open_.append(o[~sure])
+            r, c = np.nonzero((d <= last[:, None]) & shares & sure[:, None])
+            order = np.lexsort((c, d[r, c], r))
+            r, c = r[order], c[order]
+            top = np.arange(len(r)) - np.searchsorted(r, r) < k
+            lo.append(np.minimum(o[r[top]], c[top]))
+            hi.append(np.maximum(o[r[top]], c[top]))
+        pairs = np.unique(np.concatenate(lo) * n + np.concatenate(hi)) if lo else np.zeros(0, dtype=np.int64)
+        return pairs // n, pairs % n, np.concatenate(open_) if open_ else np.zeros(0, dtype=np.int64)
+
+    numbers = ("x", "y", "w", "h", "x0", "x1", "y0", "y1", "own", "known")
+
+    def run(parts):
+        held: list[pd.DataFrame] = []
+
+        def close(frames: list[pd.DataFrame]) -> pd.DataFrame:
+            """The results of whole tiles."""
+            pdf = frames[0] if len(frames) == 1 else pd.concat(frames)
+            starts = [*begins(pdf), len(pdf)]
+            cols, ids, capture, whole = {c: pdf[c].to_numpy() for c in numbers}, pdf["node_id"].to_numpy(), pdf["capture_id"].to_numpy(), pdf["whole"].to_numpy()
+            froms, tos = [], []
+            for s, e in zip([0, *starts[:-1]], starts):
+                lo, hi, open_ = nearest({c: v[s:e] for c, v in cols.items()})
+                froms += [lo + s, open_ + s]
+                tos += [hi + s, np.full(len(open_), -1)]
+            f, t = np.concatenate(froms), np.concatenate(tos)
+            return pd.DataFrame({"capture_id": capture[f], "from_id": ids[f], "to_id": np.where(t < 0, None, ids[t]), "whole": whole[f]})
+
+        def begins(pdf: pd.DataFrame) -> np.ndarray:
+            """Where tiles begin, but for the first."""
+            new = np.zeros(max(0, len(pdf) - 1), dtype=bool)
+            for c in ("capture_id", "cx_tile", "cy_tile"):
+                v = pdf[c].to_numpy()
+                new |= v[1:] != v[:-1]
+            return np.flatnonzero(new) + 1
+
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            starts = begins(pdf)
+            if held and tuple(held[-1][["capture_id", "cx_tile", "cy_tile"]].iloc[-1]) != tuple(pdf[["capture_id", "cx_tile", "cy_tile"]].iloc[0]):
+                yield close(held)
+                held = []
+            if len(starts):
+                yield close([*held, pdf.iloc[: starts[-1]]])
+                held = []
+            held.append(pdf.iloc[starts[-1] :] if len(starts) else pdf)
+        if held:
+            yield close(held)
+
+    return run
 
 
 def relations(nodes: DataFrame, parents: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """All edges before the cap: capture_id, kind, from_id, to_id, weight. ``members`` are those of the regions, if they are known already."""
-    pairs = cut(spatial_pairs(nodes))
     members = region_members(nodes, parents) if members is None else members
     w = S.EDGE_WEIGHTS
     edge = lambda df, kind, weight: df.select("capture_id", (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), "from_id", "to_id", (weight if isinstance(weight, Column) else F.lit(weight)).alias("weight"))
@@ -266,7 +370,7 @@ def relations(nodes: DataFrame, parents: DataFrame, members: DataFrame | None =
         .unionByName(edge(reading_next(nodes, parents), "reading_next", w["reading_next"]))
         .unionByName(edge(overlaps(nodes), "overlaps", F.col("iou")))
         .unionByName(edge(aligned(nodes, members), F.col("kind"), w["aligned"]))
-        .unionByName(edge(near_knn(pairs), "near", w["near"]))
+        .unionByName(edge(near_knn(nodes), "near", w["near"]))
     )
 
 

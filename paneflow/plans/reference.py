@@ -207,7 +207,7 @@ def aligned(spark, root):
 
 
 def near_knn(spark, root):
-    return R.near_knn(R.spatial_pairs(box_nodes(spark, root)))
+    return R.near_knn(cut(box_nodes(spark, root)))
 
 
 def _graph(spark, root):

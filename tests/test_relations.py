@@ -31,6 +31,15 @@ def sharing(rows):
                     yield a, b
 
 
+def nearest(rows, k=4):
+    found = {}
+    for a, b in sharing(rows):
+        dx, dy = a[3] + a[5] / 2 - b[3] - b[5] / 2, a[4] + a[6] / 2 - b[4] - b[6] / 2
+        for n, m in ((a, b), (b, a)):
+            found.setdefault(n[:2], []).append((dx * dx + dy * dy, m[1]))
+    return {(c, *sorted((n, m))) for (c, n), ms in found.items() for _, m in sorted(ms)[:k]}
+
+
 @pytest.fixture(scope="module")
 def pages():
     # a page of scattered boxes, a tall column, boxes on one place, and far ones that share a cell with a few only
@@ -67,3 +76,9 @@ def test_overlaps_meet_in_a_fine_grid(spark, pages, threshold):
     assert edges(R.overlaps(spark.createDataFrame(pages, SHAPE), threshold)) == want and want
     with pytest.raises(ValueError):
         R.overlaps(spark.createDataFrame(pages, SHAPE), 0.0)
+
+
+@pytest.mark.parametrize("tile", [3, 12, 512])
+def test_nearest_in_tiles(spark, pages, tile):
+    """Small tiles leave nodes whose nearest lie beyond, which are decided apart; the edges are the same."""
+    assert edges(R.near_knn(spark.createDataFrame(pages, SHAPE), tile_nodes=tile)) == nearest(pages)
