@@ -82,3 +82,32 @@ def test_overlaps_meet_in_a_fine_grid(spark, pages, threshold):
 def test_nearest_in_tiles(spark, pages, tile):
     """Small tiles leave nodes whose nearest lie beyond, which are decided apart; the edges are the same."""
     assert edges(R.near_knn(spark.createDataFrame(pages, SHAPE), tile_nodes=tile)) == nearest(pages)
+
+
+def walked(rows, cap):
+    """The rule as it is told: from the lightest edge on, drop what has an end over the cap at that time."""
+    degree = {}
+    for r in rows:
+        for n in (r.from_id, r.to_id):
+            degree[r.capture_id, n] = degree.get((r.capture_id, n), 0) + 1
+    gone = set()
+    for r in sorted(rows, key=lambda r: (r.weight, r.edge_key)):
+        ends = [(r.capture_id, n) for n in (r.from_id, r.to_id)]
+        if r.kind != "contains" and any(degree[e] > cap for e in ends):
+            gone.add((r.capture_id, r.edge_key))
+            for e in ends:
+                degree[e] -= 1
+    return {(r.capture_id, r.edge_key) for r in rows} - gone
+
+
+def test_edge_cap_by_ranks_equals_the_walk(spark):
+    r = random.Random(3)
+    kinds = ["contains", "near", "aligned_start", "overlaps", "reading_next"]
+    found = {(f"c{r.randrange(3)}", r.choice(kinds), f"n{min(r.randrange(12), r.randrange(40))}", f"n{r.randrange(12)}") for _ in range(900)}
+    df = spark.createDataFrame([(*x, r.choice([0.3, 0.5, 0.7])) for x in sorted(found)], "capture_id string, kind string, from_id string, to_id string, weight double")
+    all_ = R.edge_cap(df, 10**6).collect()
+    assert len(all_) == len(found)
+    for cap in (1, 5, 17, 40):
+        kept = R.edge_cap(df, cap)
+        assert {(x.capture_id, x.edge_key) for x in kept.collect()} == walked(all_, cap)
+    assert "InPandas" not in kept._jdf.queryExecution().optimizedPlan().toString()
