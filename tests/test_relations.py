@@ -1,10 +1,14 @@
 """Relations against plain loops over all pairs, and that they never write or walk what grows as the square of a capture."""
 
 import math
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
+
 from paneflow.operators import structure as R
+from paneflow.session import cut
 
 SHAPE = "capture_id string, node_id string, frame_id string, x double, y double, w double, h double, role string, kind string, visibility string"
 
@@ -111,3 +115,22 @@ def test_edge_cap_by_ranks_equals_the_walk(spark):
         kept = R.edge_cap(df, cap)
         assert {(x.capture_id, x.edge_key) for x in kept.collect()} == walked(all_, cap)
     assert "InPandas" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def tall(spark):
+    """A page of 4,000 boxes in a column: nearly 400,000 pairs share a cell."""
+    n = cut(spark.createDataFrame(page("t", [(20, 40 * i, 100 + i % 997, 30) for i in range(4000)]), SHAPE))
+    return n, cut(n.select("capture_id", "node_id", F.lit(None).cast("string").alias("parent_id")))
+
+
+def written(spark, work):
+    at = spark._jvm.java.net.URI(spark.sparkContext._jsc.sc().getCheckpointDir().get()).getPath()
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(at) for f in fs)
+    before = size()
+    work()
+    return size() - before
+
+
+def test_relations_write_no_pairs(spark, tall):
+    assert written(spark, lambda: R.relations(*tall).groupBy("kind").count().collect()) < 8_000_000
