@@ -134,3 +134,9 @@ def written(spark, work):
 
 def test_relations_write_no_pairs(spark, tall):
     assert written(spark, lambda: R.relations(*tall).groupBy("kind").count().collect()) < 8_000_000
+
+
+def test_degrees_write_no_pairs(spark, tall):
+    got = {}
+    assert written(spark, lambda: got.update({r.node_id: r.degree for r in R.degrees(R.relations(*tall)).collect()})) < 8_000_000
+    assert len(got) == 4000
