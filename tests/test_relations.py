@@ -140,3 +140,17 @@ def test_degrees_write_no_pairs(spark, tall):
     got = {}
     assert written(spark, lambda: got.update({r.node_id: r.degree for r in R.degrees(R.relations(*tall)).collect()})) < 8_000_000
     assert len(got) == 4000
+
+
+def test_metrics_count_each_edge_once(spark, tall):
+    n, p = tall
+    e = R.relations(n, p)
+    degree, known = {}, [(r.from_id, r.to_id) for r in e.collect()]
+    for ends in known:
+        for x in ends:
+            degree[x] = degree.get(x, 0) + 1
+    rows = []
+    assert written(spark, lambda: rows.extend(R.graph_metrics(n, R.relations(n, p), p).collect())) < 8_000_000
+    assert [(r.nodes, r.edges, r.max_degree) for r in rows] == [(4000, len(known), max(degree.values()))]
+    (none,) = R.graph_metrics(n, e.limit(0), p).collect()
+    assert (none.edges, none.max_degree) == (0, 0)
