@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paneflow.operators import structure as R
+from paneflow.operators import views as Q
 from paneflow.session import cut
 
 SHAPE = "capture_id string, node_id string, frame_id string, x double, y double, w double, h double, role string, kind string, visibility string"
@@ -154,3 +155,13 @@ def test_metrics_count_each_edge_once(spark, tall):
     assert [(r.nodes, r.edges, r.max_degree) for r in rows] == [(4000, len(known), max(degree.values()))]
     (none,) = R.graph_metrics(n, e.limit(0), p).collect()
     assert (none.edges, none.max_degree) == (0, 0)
+
+
+def test_focus_writes_a_pair_of_nodes_once(spark):
+    """Edges of several kinds between two nodes, in either direction, are one way to go."""
+    rows = [("c", kind, f"n{i:05d}", f"n{i + 1:05d}", 0.5) for i in range(20000) for kind in ("aligned_start", "aligned_end", "near")]
+    e = spark.createDataFrame(rows, "capture_id string, kind string, from_id string, to_id string, weight double")
+    got = []
+    start = spark.createDataFrame([("c", "n00009")], "capture_id string, node_id string")
+    assert written(spark, lambda: got.extend(Q.focus_view(e, start).collect())) < 1_800_000
+    assert {(r.node_id, r.distance) for r in got} == {("n00007", 2), ("n00008", 1), ("n00009", 0), ("n00010", 1), ("n00011", 2)}
