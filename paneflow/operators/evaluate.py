@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from paneflow.functions.canonical import canonical, deflated_size, sha256_text
 from paneflow.functions.text import patch_tokens, token_estimate
 from paneflow.operators.ordering import ordinal
-from paneflow.session import cut, small, small_rows
+from paneflow.session import cut, default_parallelism, ship_package
 
 #: What each surface may ask for.
 SURFACE_VIEWS = {"gate": ["violations", "patchContext", "focus"], "mcp_review": ["violations", "patchContext", "focus"], "pointer": ["focus", "diff"], "interactive_review": ["actionMap"]}
@@ -64,28 +64,61 @@ def nth_draw(k: Column, seed: int) -> Column:
     return bind(bind(bind(a, first), second), lambda t: t.bitwiseXOR(F.shiftright(t, 14)) / F.lit(4294967296.0))
 
 
-def bootstrap_exact(measures: DataFrame, iterations: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
+#: Pairs of a cohort that a task of ``bootstrap_exact`` holds at once, and draws that it makes, about.
+BLOCK_PAIRS, TASK_DRAWS = 1 << 20, 20_000_000
+
+
+def bootstrap_exact(measures: DataFrame, iterations: int = 2000, seed: int = 42, level: float = 0.95, block: int = BLOCK_PAIRS) -> DataFrame:
     """cohort, point, lower, upper, pairs of 1 - sum(candidate) / sum(base): the interval of ``bootstrap_ratio`` for each cohort, with its very draws.
 
-    Each draw is computed from its number, so replicates are spread over tasks and combine on the map side. The work is
-    iterations x pairs, as resampling has it; ``bootstrap_cohorts`` is the cheaper estimate for large cohorts. Pairs
+    Each draw is computed from its number, so replicates are spread over tasks. A task holds the numbers of ``block``
+    pairs at most, makes all draws of its replicates and sums those that fall into its block. The work is iterations x
+    pairs, as resampling has it, for each block; ``bootstrap_cohorts`` is the cheaper estimate for large cohorts. Pairs
     stand in the order of their key (a number).
     """
+    ship_package(measures.sparkSession)
+    measures = cut(measures.select("cohort", "key", "base", "candidate"))
     rows = ordinal(measures.where("cohort is not null"), ["cohort"], [F.floor(F.col("key") / 4096)], [F.col("key")], "j").select("cohort", "j", "base", "candidate")
-    rows = cut(rows)
-    sizes = rows.groupBy("cohort").agg(F.count("*").alias("n"))
-    draws = rows.select("cohort", "j").join(small(sizes), "cohort").select("cohort", "n", "j", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("i"))
-    k = F.col("i").cast("bigint") * F.col("n") + F.col("j") + 1
-    taken = draws.select("cohort", "i", F.floor(nth_draw(k, seed) * F.col("n")).cast("int").alias("j"))
-    # how often a replicate takes each pair is counted before pairs are looked up
-    counted = taken.groupBy("cohort", "i", "j").agg(F.count("*").alias("w"))
-    sums = counted.join(small_rows(rows), ["cohort", "j"]).groupBy("cohort", "i").agg(F.sum(F.col("w") * F.col("base")).alias("b"), F.sum(F.col("w") * F.col("candidate")).alias("c"))
+    sizes = measures.groupBy("cohort").agg(F.count("*").alias("n"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("j")
+        return pd.DataFrame({"cohort": [pdf["cohort"].iloc[0]], "at": [int(pdf["j"].iloc[0])], **{c: [pdf[c].to_numpy(dtype="<f8").tobytes()] for c in ("base", "candidate")}})
+
+    packed = rows.withColumn("part", F.floor(F.col("j") / block)).groupBy("cohort", "part").applyInPandas(pack, "cohort string, at bigint, base binary, candidate binary")
+    tasks = default_parallelism(measures.sparkSession)
+    step = F.greatest(F.lit(1), F.ceil(F.lit(iterations) / F.greatest(F.lit(1), F.least(F.lit(2 * tasks), F.ceil(F.col("n") * iterations / TASK_DRAWS))))).cast("int")
+    work = packed.join(sizes, "cohort").withColumn("step", step).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.col("step")))).repartition(tasks)
+
+    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for cohort, at, base, candidate, n, step, first in pdf[["cohort", "at", "base", "candidate", "n", "step", "first"]].itertuples(index=False, name=None):
+                sums = [_replicate(np.frombuffer(base, "<f8"), np.frombuffer(candidate, "<f8"), at, n, i, seed) for i in range(first, min(first + step, iterations))]
+                yield pd.DataFrame({"cohort": cohort, "i": np.arange(first, first + len(sums)), "b": [b for b, _ in sums], "c": [c for _, c in sums]})
+
+    sums = work.mapInPandas(draw, "cohort string, i int, b double, c double").groupBy("cohort", "i").agg(F.sum("b").alias("b"), F.sum("c").alias("c"))
     reps = sums.withColumn("v", F.when(F.col("b") > 0, 1 - F.col("c") / F.col("b")).otherwise(0.0)).groupBy("cohort").agg(F.array_sort(F.collect_list("v")).alias("v"))
     a = 1 - level
     at = lambda q: F.get("v", F.lit(int(math.floor(q * (iterations - 1)))))
     return reps.join(reduction(measures), "cohort").join(sizes, "cohort").select("cohort", F.col("reduction").alias("point"), at(a / 2).alias("lower"), at(1 - a / 2).alias("upper"), F.col("n").alias("pairs"))
 
 
+def _replicate(base: np.ndarray, candidate: np.ndarray, at: int, n: int, i: int, seed: int, chunk: int = 1 << 16) -> tuple[float, float]:
+    """The sums of replicate ``i`` over a cohort of ``n`` pairs, of which these stand from place ``at`` on: ``nth_draw`` for its n numbers."""
+    b = c = 0.0
+    for s in range(0, n, chunk):
+        a = (np.arange(i * n + s + 1, i * n + min(s + chunk, n) + 1, dtype=np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        a = a * np.uint32(0x6D2B79F5) + np.uint32(seed & 0xFFFFFFFF)
+        t = (a ^ (a >> np.uint32(15))) * (a | np.uint32(1))
+        t ^= t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))
+        j = ((t ^ (t >> np.uint32(14))) / 4294967296.0 * n).astype(np.int64) - at
+        if len(base) < n:
+            j = j[(j >= 0) & (j < len(base))]
+        b += float(base[j].sum())
+        c += float(candidate[j].sum())
+    return b, c
+
+
 def bootstrap_cohorts(measures: DataFrame, iterations: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """cohort, point, lower, upper of 1 - sum(candidate) / sum(base), over any number of pairs.
 

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from paneflow.operators import evaluate as E
 from paneflow.operators import structure as R
 from paneflow.operators import views as Q
 from paneflow.session import cut
@@ -165,3 +166,15 @@ def test_focus_writes_a_pair_of_nodes_once(spark):
     start = spark.createDataFrame([("c", "n00009")], "capture_id string, node_id string")
     assert written(spark, lambda: got.extend(Q.focus_view(e, start).collect())) < 1_800_000
     assert {(r.node_id, r.distance) for r in got} == {("n00007", 2), ("n00008", 1), ("n00009", 0), ("n00010", 1), ("n00011", 2)}
+
+
+@pytest.mark.parametrize("block", [7, 23, 1 << 20])
+def test_bootstrap_takes_cohorts_by_blocks(spark, block):
+    """Draws are made in the task that sums them, so none is a row, whatever the block of pairs."""
+    pairs = {c: [(float(10 + i * 7 % 13), float(i * 5 % 9)) for i in range(n)] for c, n in (("one", 1), ("few", 23), ("some", 61))}
+    df = spark.createDataFrame([(c, i, b, x) for c, ps in pairs.items() for i, (b, x) in enumerate(ps)], "cohort string, key bigint, base double, candidate double")
+    got = E.bootstrap_exact(df, 200, block=block)
+    for r in got.collect():
+        want = E.bootstrap_ratio(pairs[r.cohort], 200)
+        assert (r.point, r.lower, r.upper, r.pairs) == pytest.approx((want["point"], want["lower"], want["upper"], len(pairs[r.cohort])))
+    assert got.count() == 3
