@@ -72,6 +72,14 @@ def test_aligned_pairs_meet_by_region(spark, pages):
     assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 100
 
 
+def test_aligned_ends_at_the_grid_as_in_the_golden_scene(spark):
+    """The published ordered edge set has no aligned edge from a to c, though both are of one region and start at one place."""
+    rows = page("s", [(0, 0, 400, 400), (10, 10, 200, 40), (10, 60, 200, 40), (10, 110, 200, 40), (10, 160, 200, 40)])
+    members = spark.createDataFrame([(r[0], r[1], "reg1") for r in rows], "capture_id string, node_id string, region string")
+    got = {(r.from_id, r.to_id, r.kind) for r in R.aligned(spark.createDataFrame(rows, SHAPE), members).collect()}
+    assert got == {(a, b, f"aligned_{k}") for a, b in (("n0001", "n0002"), ("n0002", "n0003"), ("n0003", "n0004")) for k in ("start", "center", "end")}
+
+
 @pytest.mark.parametrize("threshold", [0.1, 0.5, 1.0])
 def test_overlaps_meet_in_a_fine_grid(spark, pages, threshold):
     want = set()
